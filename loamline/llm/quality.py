@@ -20,7 +20,8 @@ from loamline.llm.common import blank_words, let
 
 WINDOW = 8
 #: Rows of the sample on which the rules' cost and selectivity are estimated.
-SAMPLE_ROWS = 500
+SAMPLE_ROWS = 300
+SAMPLE_CHARS = 100_000
 
 # Limits of the rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -98,9 +99,14 @@ def with_figures(rows: DataFrame) -> DataFrame:
     )
 
 
-def order_rules(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def sample_texts(documents: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The figures of a bounded sample: the first rows that a few tasks find, texts of up to SAMPLE_CHARS characters."""
+    some = documents.select(F.col(text_col).alias("text")).filter(F.length("text") <= SAMPLE_CHARS).head(rows)
+    return with_figures(documents.sparkSession.createDataFrame([(x["text"],) for x in some], "text string").coalesce(1))
+
+
+def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     """Rules by rejections per second, the best first. One job gives every rule's selectivity, one job each its cost."""
-    sample = rows.limit(sample_rows)
     rates = sample.agg(F.count("*").alias("n"), *(F.sum(r.rejects.cast("int")).alias(f"r{k}") for k, r in enumerate(rules))).first()
     if not rates["n"]:
         return rules
@@ -119,11 +125,11 @@ def order_rules(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_RO
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base figures, base_failed and kept for each row."""
     rows = figures(documents, id_col, text_col)
-    return rows.withColumn("kept", _kept(rows, rules, sample_rows)).drop("text", "words")
+    return rows.withColumn("kept", _kept(sample_texts(documents, text_col, sample_rows), rules)).drop("text", "words")
 
 
-def _kept(rows: DataFrame, rules: list[Rule] | None, sample_rows: int) -> Column:
-    rules = order_rules(rows, default_rules() if rules is None else rules, sample_rows)
+def _kept(sample: DataFrame, rules: list[Rule] | None) -> Column:
+    rules = order_rules(sample, default_rules() if rules is None else rules)
     verdict = F.when(F.col("base_failed"), False)
     for rule in rules:
         verdict = verdict.when(F.coalesce(rule.rejects, F.lit(False)), False)
@@ -135,5 +141,5 @@ def keep_good(documents: DataFrame, text_col: str = "text", rules: list[Rule] |
     carried = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
     rows = with_figures(carried.select("row", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text")))
     # explode() drops the nulls and, unlike a filter, is not pushed below the figures and so evaluated twice.
-    kept = rows.select(F.explode(F.when(_kept(rows, rules, sample_rows), F.array("row"))).alias("row"))
+    kept = rows.select(F.explode(F.when(_kept(sample_texts(documents, text_col, sample_rows), rules), F.array("row"))).alias("row"))
     return kept.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))
