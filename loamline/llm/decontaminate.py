@@ -15,7 +15,7 @@ rows each get their own result; null ids are kept. A window that several items h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import LOWER, UPPER, cut, let, row_key
@@ -52,7 +52,7 @@ def _exploded(documents: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def find_windows(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """row, start, size, phrase for each occurrence of an item window in a document row."""
+    """row, start, size, phrase, items for each occurrence of an item window in a document row."""
     windows = cut(item_windows(benchmark, item_id, item_text, window).withColumn("id", F.monotonically_increasing_id()))
     rows = documents.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), cased_words(F.col(text_col)).alias("words"))
     blocks = max(1, -(-windows.count() // block_windows))
@@ -67,27 +67,29 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
         # Words absent from the documents leave their windows without a partner.
         ranked = some.select("id", "size", F.posexplode("words").alias("offset", "w")).withColumn("word", F.lower("w")).join(F.broadcast(counts), "word", "left")
         rarest = ranked.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "word")).alias("least"))
-        probes = some.join(rarest, "id").filter("least.n > 0").select("id", "phrase", "size", F.col("least.offset").alias("offset"), F.col("least.word").alias("probe"))
+        probes = some.join(rarest, "id").filter("least.n > 0").select("id", "phrase", "items", "size", F.col("least.offset").alias("offset"), F.col("least.word").alias("probe"))
         start = F.col("at") - F.col("offset")
         fits = (start >= 0) & (start + F.col("size") <= F.size("words"))
         same = ascii_lower(F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ")) == F.col("phrase")
         tokens = _exploded(rows, ["row", "words"])
-        part = tokens.join(F.broadcast(probes), (F.col("word") == F.col("probe")) & fits & same).select("row", start.alias("start"), "size", "phrase")
+        part = tokens.join(F.broadcast(probes), (F.col("word") == F.col("probe")) & fits & same).select("row", start.alias("start"), "size", "phrase", "items")
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted array), contaminated for each input row."""
-    found = cut(find_windows(documents, benchmark, window, block_windows, id_col, text_col, item_id, item_text))
-    order = Window.partitionBy("row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.select("row", "start", "size").distinct()
-    fresh = F.greatest(F.lit(0), F.col("start") + F.col("size") - F.greatest("start", F.coalesce(F.max(F.col("start") + F.col("size")).over(order), F.lit(0))))
-    hits = spans.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
-    windows = item_windows(benchmark, item_id, item_text, window).select("phrase", "items")
-    items = found.select("row", "phrase").distinct().join(windows, "phrase").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = find_windows(documents, benchmark, window, block_windows, id_col, text_col, item_id, item_text)
+    # One shuffle: a row's matches are at most its words times the benchmark's distinct window lengths.
+    hits = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    def cover(acc, s):
+        end = s["start"] + s["size"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(s["start"], acc["end"]))).alias("n"))
+
+    hits = hits.select("row", F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), cover, lambda acc: acc["n"]).alias("n_hit"), "items")
     base = documents.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.size(cased_words(F.col(text_col))).cast("long").alias("n_words"))
-    out = base.join(hits.join(items, "row"), "row", "left")
+    out = base.join(hits, "row", "left")
     return out.select(
         "doc_id",
         "n_words",
