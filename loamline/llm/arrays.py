@@ -114,3 +114,11 @@ def pair_bytes(high: np.ndarray, low: np.ndarray) -> pa.Array:
     raw[:, 0], raw[:, 1] = high, low
     offsets = np.arange(len(high) + 1, dtype=np.int32) * 16
     return pa.BinaryArray.from_buffers(pa.binary(), len(high), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def in_bloom(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) may be among those of common.bloom()."""
+    found = np.ones(len(hashes), bool)
+    for spot in ((hashes >> U64(39)).astype(np.int64), ((hashes >> U64(12)) & U64(0x1FFFFFF)).astype(np.int64)):
+        found &= (words[spot >> 6] >> (spot & 63)) & 1 == 1
+    return found

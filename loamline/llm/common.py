@@ -51,3 +51,17 @@ def cut(frame: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def bloom(hashes: DataFrame):
+    """A broadcast Bloom filter (see arrays.in_bloom) of a column x of 64-bit hashes: 2^25 bits however many there are.
+
+    Two spots of 25 bits each are set for each hash. Rows that pass by chance are for a later join to drop.
+    """
+    import numpy as np
+
+    spots = hashes.select(F.explode(F.array(F.expr("cast(shiftrightunsigned(x, 39) as int)"), F.expr("cast(shiftrightunsigned(x, 12) & 33554431 as int)"))).alias("spot"))
+    masks = spots.groupBy(F.expr("spot div 64").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("mask")).toArrow()
+    words = np.zeros((1 << 25) // 64, np.int64)
+    words[masks.column("word").to_numpy()] = masks.column("mask").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(words)

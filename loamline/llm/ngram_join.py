@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
-from loamline.llm.common import cut
+from loamline.llm.common import bloom, cut
 from loamline.llm.components import connected
 
 #: Defaults of the operator; the registered query uses its contract's values.
@@ -134,20 +134,9 @@ def signatures(texts: DataFrame, words: int, percent: int, seed: int, sketch: np
     return texts.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, rid binary, n long, need int, prefix array<bigint>")
 
 
-def _spots(rid: str, byte: int) -> str:
-    return f"cast(conv(hex(substring({rid}, {byte}, 3)), 16, 10) as int)"
-
-
 def whole_sets(texts: DataFrame, words: int, seed: int, wanted: DataFrame) -> DataFrame:
     """rid, grams for each rid of wanted. A Bloom filter of 2^24 bits spares most other rows the shuffle; the join decides."""
-    spots = wanted.select(F.explode(F.array(F.expr(_spots("rid", 1)), F.expr(_spots("rid", 9)))).alias("spot"))
-    masks = spots.groupBy(F.expr("cast(spot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("mask")).toArrow()
-    bits = np.zeros((1 << 24) // 64, np.int64)
-    bits[masks.column("word").to_numpy()] = masks.column("mask").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def maybe(x):
-        return (shared.value[x >> 6] >> (x & 63)) & 1 == 1
+    shared = bloom(wanted.select(F.conv(F.hex(F.substring("rid", 1, 8)), 16, -10).cast("long").alias("x")))
 
     def emit(batches):
         hasher, given = arrays.Hasher(seed), set()
@@ -156,7 +145,7 @@ def whole_sets(texts: DataFrame, words: int, seed: int, wanted: DataFrame) -> Da
                 owner, grams = shingle_sets(data, ends, words, hasher)
                 first, n, (a, b) = _named(owner, grams, high - low)
                 rids = arrays.pair_bytes(a, b)
-                rows = np.flatnonzero((n > 0) & maybe((a >> arrays.U64(40)).astype(np.int64)) & maybe((b >> arrays.U64(40)).astype(np.int64)))
+                rows = np.flatnonzero((n > 0) & arrays.in_bloom(shared.value, a))
                 rows = [k for k in rows.tolist() if (x := rids[k].as_py()) not in given and not given.add(x)]
                 if rows:
                     inside = np.concatenate([np.arange(first[k], first[k + 1]) for k in rows])
@@ -179,19 +168,14 @@ def _named(owner: np.ndarray, grams: np.ndarray, rows: int):
     return first, n, sums
 
 
-def _similar(percent: int):
-    """Whether sets of n and m n-grams can be, and a and b are, similar enough."""
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    both = F.size(F.array_intersect("a.grams", "b.grams"))
-    return fits, 100 * both >= percent * (F.size("a.grams") + F.size("b.grams") - both)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (rid, other, ...) whose sets are similar enough. The side with hot members joins while rows are narrow."""
-    _, similar = _similar(percent)
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """The pairs (rid, other, ...) whose whole sets are similar enough. The side with hot members joins while rows are narrow."""
+    both = pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct()
+    sets = cut(whole_sets(texts, words, seed, both))
     one = pairs.join(sets.select(F.col("rid").alias("other"), F.struct("grams").alias("b")), "other")
     two = one.join(sets.select("rid", F.struct("grams").alias("a")), "rid")
-    return two.filter(similar).drop("a", "b")
+    shared = F.size(F.array_intersect("a.grams", "b.grams"))
+    return two.filter(100 * shared >= percent * (F.size("a.grams") + F.size("b.grams") - shared)).drop("a", "b")
 
 
 def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -201,23 +185,27 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     some = signed.filter("rid is not null")
     firsts = cut(some.groupBy("rid").agg(F.min("doc_id").alias("low"), F.first(F.struct("n", "need", "prefix")).alias("set")).select("rid", "low", "set.*"))
 
-    postings = firsts.select("rid", "n", "need", F.explode("prefix").alias("token"))
+    postings = firsts.select("rid", "n", "need", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
     live = cut(postings.join(common, "token", "left_semi"))
-    sets = cut(whole_sets(texts, words, seed, live.select("rid").distinct()))
-    fits, _ = _similar(percent)
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    # An overlap large enough leaves at least this many n-grams outside the rests beyond both prefixes.
+    overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
+    enough = F.greatest(F.least("need", "need2"), overlap - F.greatest("rest", "rest2"))
 
     roots, tried, links = live.select("rid", F.col("rid").alias("root")).distinct(), None, None
     for k in range(PIVOT_ROUNDS):
         roots = cut(roots)
         lists = live.join(roots, "rid")
-        pivot = F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("o"), F.col("rid").alias("other"), F.col("n").alias("m"), F.col("root").alias("far"))).alias("pivot")
-        mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), pivot).filter("x <> y").select("token", "pivot.*")
-        met = lists.join(mixed, "token").filter((F.col("root") != F.col("far")) & fits).groupBy("rid", "root", "other", "far").agg(F.count("*").alias("shared"))
+        one = F.struct(F.xxhash64("rid", F.lit(k)).alias("o"), F.col("rid").alias("other"), F.col("n").alias("m"), F.col("need").alias("need2"), F.col("rest").alias("rest2"), F.col("root").alias("far"))
+        mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(one).alias("pivot")).filter("x <> y").select("token", "pivot.*")
+        met = lists.join(mixed, "token").filter((F.col("root") != F.col("far")) & fits).groupBy("rid", "root", "other", "far").agg(F.count("*").alias("shared"), F.first(enough).alias("enough"))
+        # Lists with other pivots don't count here, so what falls short now is left to the last step, not lost.
+        met = met.filter("shared >= enough")
         if tried is not None:
             met = met.join(tried, ["rid", "other"], "left_anti")
         pairs = cut(met.groupBy("rid", "root").agg(F.max_by(F.struct("other", "far"), F.struct("shared", "other")).alias("best")).select("rid", "root", "best.*"))
-        linked = cut(verified(pairs, sets, percent))
+        linked = cut(verified(pairs, texts, words, percent, seed))
         seen = pairs.select("rid", "other")
         seen = seen.unionByName(seen.select(F.col("rid").alias("other"), F.col("other").alias("rid")))
         tried = seen if tried is None else tried.unionByName(seen)
@@ -230,10 +218,10 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     lists = live.join(roots, "rid")
     mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     lists = cut(lists.join(mixed, "token", "left_semi"))
-    other = lists.select("token", F.col("rid").alias("other"), F.col("n").alias("m"), F.col("need").alias("need2"), F.col("root").alias("far"))
-    pairs = lists.join(other, "token").filter((F.col("root") < F.col("far")) & fits).groupBy("rid", "root", "other", "far").agg(F.count("*").alias("shared"), F.first(F.least("need", "need2")).alias("least"))
-    pairs = pairs.filter("shared >= least").join(tried, ["rid", "other"], "left_anti")
-    linked = cut(verified(pairs, sets, percent))
+    other = lists.select("token", F.col("rid").alias("other"), F.col("n").alias("m"), F.col("need").alias("need2"), F.col("rest").alias("rest2"), F.col("root").alias("far"))
+    pairs = lists.join(other, "token").filter((F.col("root") < F.col("far")) & fits).groupBy("rid", "root", "other", "far").agg(F.count("*").alias("shared"), F.first(enough).alias("enough"))
+    pairs = cut(pairs.filter("shared >= enough").join(tried, ["rid", "other"], "left_anti").select("rid", "root", "other", "far"))
+    linked = cut(verified(pairs, texts, words, percent, seed))
     links = links.unionByName(linked.select(links.columns))
     roots = _merged(roots, linked)
 
