@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import decontaminate, ngram_join, pii, quality, suffix_dedup
+from loamline.llm import bpe, decontaminate, ngram_join, pii, quality, suffix_dedup
 from loamline.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -31,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_suffix_dedup": op4_suffix_dedup, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op10_quality_rules": op10_quality_rules}
+    return {"op1_pii": op1_pii, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
