@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
@@ -135,23 +135,27 @@ def signatures(texts: DataFrame, words: int, percent: int, seed: int, sketch: np
 
 
 def whole_sets(texts: DataFrame, words: int, seed: int, wanted: DataFrame) -> DataFrame:
-    """rid, grams for each rid of wanted. A Bloom filter of 2^24 bits spares most other rows the shuffle; the join decides."""
-    shared = bloom(wanted.select(F.conv(F.hex(F.substring("rid", 1, 8)), 16, -10).cast("long").alias("x")))
+    """rid, grams for each rid of wanted (rid, low). Bloom filters of ids and of rids spare most other rows work and shuffle; the join decides."""
+    named = bloom(wanted.select(F.conv(F.hex(F.substring("rid", 1, 8)), 16, -10).cast("long").alias("x")))
+    ids = bloom(wanted.select(F.coalesce(F.xxhash64("low"), F.lit(0)).alias("x")))
 
     def emit(batches):
         hasher, given = arrays.Hasher(seed), set()
         for batch in batches:
-            for low, high, data, ends in arrays.chunks(batch.column(0)):
+            some = arrays.in_bloom(ids.value, batch.column(1).to_numpy().view(arrays.U64))
+            if not some.any():
+                continue
+            for low, high, data, ends in arrays.chunks(batch.column(0).filter(pa.array(some))):
                 owner, grams = shingle_sets(data, ends, words, hasher)
                 first, n, (a, b) = _named(owner, grams, high - low)
                 rids = arrays.pair_bytes(a, b)
-                rows = np.flatnonzero((n > 0) & arrays.in_bloom(shared.value, a))
+                rows = np.flatnonzero((n > 0) & arrays.in_bloom(named.value, a))
                 rows = [k for k in rows.tolist() if (x := rids[k].as_py()) not in given and not given.add(x)]
                 if rows:
                     inside = np.concatenate([np.arange(first[k], first[k + 1]) for k in rows])
                     yield pa.RecordBatch.from_arrays([rids.take(pa.array(rows)), arrays.long_lists(grams[inside], n[rows])], ["rid", "grams"])
 
-    found = texts.select("text").mapInArrow(emit, "rid binary, grams array<bigint>")
+    found = texts.select("text", F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("id")).mapInArrow(emit, "rid binary, grams array<bigint>")
     return found.join(wanted, "rid", "left_semi").groupBy("rid").agg(F.first("grams").alias("grams"))
 
 
@@ -170,7 +174,7 @@ def _named(owner: np.ndarray, grams: np.ndarray, rows: int):
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """The pairs (rid, other, ...) whose whole sets are similar enough. The side with hot members joins while rows are narrow."""
-    both = pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct()
+    both = pairs.select("rid", "low").unionByName(pairs.select(F.col("other").alias("rid"), F.col("low2").alias("low"))).distinct()
     sets = cut(whole_sets(texts, words, seed, both))
     one = pairs.join(sets.select(F.col("rid").alias("other"), F.struct("grams").alias("b")), "other")
     two = one.join(sets.select("rid", F.struct("grams").alias("a")), "rid")
@@ -185,26 +189,32 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     some = signed.filter("rid is not null")
     firsts = cut(some.groupBy("rid").agg(F.min("doc_id").alias("low"), F.first(F.struct("n", "need", "prefix")).alias("set")).select("rid", "low", "set.*"))
 
-    postings = firsts.select("rid", "n", "need", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("token"))
+    postings = firsts.select("rid", "n", "need", (F.col("n") - F.size("prefix")).alias("rest"), "low", F.posexplode("prefix").alias("at", "token"))
     common = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
-    live = cut(postings.join(common, "token", "left_semi"))
+    # Of a prefix, only n-grams that other classes' prefixes hold count: of those, `own` come from here on.
+    order = Window.partitionBy("rid").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    live = postings.join(common, "token", "left_semi").withColumn("own", F.count("*").over(order)).withColumn("all", F.max("own").over(Window.partitionBy("rid"))).drop("at")
+    live = cut(live)
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     # An overlap large enough leaves at least this many n-grams outside the rests beyond both prefixes.
     overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
     enough = F.greatest(F.least("need", "need2"), overlap - F.greatest("rest", "rest2"))
+    partner = [F.col("rid").alias("other"), *(F.col(a).alias(b) for a, b in (("n", "m"), ("need", "need2"), ("rest", "rest2"), ("root", "far"), ("low", "low2"), ("own", "own2"), ("all", "all2")))]
 
     roots, tried, links = live.select("rid", F.col("rid").alias("root")).distinct(), None, None
     for k in range(PIVOT_ROUNDS):
         roots = cut(roots)
         lists = live.join(roots, "rid")
-        one = F.struct(F.xxhash64("rid", F.lit(k)).alias("o"), F.col("rid").alias("other"), F.col("n").alias("m"), F.col("need").alias("need2"), F.col("rest").alias("rest2"), F.col("root").alias("far"))
+        # First the member that has most in common with others, then any.
+        one = F.struct((F.lit(0) if k else -F.col("all")).alias("o"), F.xxhash64("rid", F.lit(k)).alias("p"), *partner)
         mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(one).alias("pivot")).filter("x <> y").select("token", "pivot.*")
-        met = lists.join(mixed, "token").filter((F.col("root") != F.col("far")) & fits).groupBy("rid", "root", "other", "far").agg(F.count("*").alias("shared"), F.first(enough).alias("enough"))
+        met = lists.join(mixed, "token").filter((F.col("root") != F.col("far")) & fits & (F.least("all", "all2") >= enough))
+        met = met.groupBy("rid", "root", "low", "other", "far", "low2").agg(F.count("*").alias("shared"), F.first(enough).alias("enough"))
         # Lists with other pivots don't count here, so what falls short now is left to the last step, not lost.
         met = met.filter("shared >= enough")
         if tried is not None:
             met = met.join(tried, ["rid", "other"], "left_anti")
-        pairs = cut(met.groupBy("rid", "root").agg(F.max_by(F.struct("other", "far"), F.struct("shared", "other")).alias("best")).select("rid", "root", "best.*"))
+        pairs = cut(met.groupBy("rid", "root", "low").agg(F.max_by(F.struct("other", "far", "low2"), F.struct("shared", "other")).alias("best")).select("rid", "root", "low", "best.*"))
         linked = cut(verified(pairs, texts, words, percent, seed))
         seen = pairs.select("rid", "other")
         seen = seen.unionByName(seen.select(F.col("rid").alias("other"), F.col("other").alias("rid")))
@@ -218,9 +228,10 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     lists = live.join(roots, "rid")
     mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     lists = cut(lists.join(mixed, "token", "left_semi"))
-    other = lists.select("token", F.col("rid").alias("other"), F.col("n").alias("m"), F.col("need").alias("need2"), F.col("rest").alias("rest2"), F.col("root").alias("far"))
-    pairs = lists.join(other, "token").filter((F.col("root") < F.col("far")) & fits).groupBy("rid", "root", "other", "far").agg(F.count("*").alias("shared"), F.first(enough).alias("enough"))
-    pairs = cut(pairs.filter("shared >= enough").join(tried, ["rid", "other"], "left_anti").select("rid", "root", "other", "far"))
+    # A pair that shares enough n-grams has the first of them where both still have enough to come.
+    ahead = F.least("own", "own2") >= enough
+    pairs = lists.join(lists.select("token", *partner), "token").filter((F.col("root") < F.col("far")) & fits & ahead).select("rid", "root", "low", "other", "far", "low2").distinct()
+    pairs = cut(pairs.join(tried, ["rid", "other"], "left_anti").select("rid", "root", "low", "other", "far", "low2"))
     linked = cut(verified(pairs, texts, words, percent, seed))
     links = links.unionByName(linked.select(links.columns))
     roots = _merged(roots, linked)
