@@ -33,7 +33,7 @@ LENGTH = 400
 #: Bytes of an anchor; at most LENGTH. A longer one meets fewer strangers, but there are more of them.
 ANCHOR = 128
 #: Most different segments of an anchor that are sorted in one group.
-HOT = 1000
+HOT = 5000
 #: Starts that are worked on at once in a long text.
 TILE = 1 << 21
 _SEEDS = (71, 72)
