@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import bpe, decontaminate, ngram_join, pii, quality, suffix_dedup
+from loamline.llm import bpe, decontaminate, ngram_join, pii, quality, suffix_dedup, toxicity
 from loamline.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op10_quality_rules": op10_quality_rules}
+    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
