@@ -24,5 +24,9 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.join("loamline", os.path.relpath(full, root)))
         spark.sparkContext.addPyFile(path)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        # Rows may be whole documents: batches of a thousand keep Python workers small.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if app not in _shipped:
         _shipped.add(app)
     return spark
