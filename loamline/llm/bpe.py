@@ -131,6 +131,10 @@ class Codec(dict):
     def words(self, text: str) -> list[str]:
         return (self.full if self.high.search(text) else self.plain).findall(text)
 
+    def encode_ordinary(self, text: str) -> bytes:
+        """Like encode(), but special tokens in the text are ordinary text."""
+        return b"".join(map(self.__getitem__, self.words(text)))
+
     def encode(self, text: str) -> bytes:
         """The ids as packed little-endian unsigned 32-bit integers."""
         if self.cut is None or not any(t in text for t in self.special):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import bpe, decontaminate, ngram_join, pii, quality, suffix_dedup, toxicity
+from loamline.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
 from loamline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -35,13 +39,44 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.remove_lines(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op10_quality_rules": op10_quality_rules}
+    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
+
+
+#: Lines are told apart by their words, and occurrences of equal ones ranked by id and place.
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, no, x AS line, no < len(parts) AS broken
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(parts) WITH ORDINALITY AS u(x, no)
+), placed AS (
+  SELECT doc_id, no, line || CASE WHEN broken THEN chr(10) ELSE '' END AS body,
+         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\f\r]+') AS words
+  FROM lines
+), sized AS (
+  SELECT doc_id, no, body, strlen(body) AS bytes, sum(strlen(body)) OVER (PARTITION BY doc_id ORDER BY no) AS stop,
+         len(words) >= 10 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, no) > 1 AS gone
+  FROM placed
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY no), false) AS opens FROM sized
+), numbered AS (
+  SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM runs
+), spans AS (
+  SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, count(*) AS n_spans
+  FROM (SELECT doc_id, run, min(stop - bytes)::BIGINT AS a, max(stop)::BIGINT AS b FROM numbered WHERE gone GROUP BY doc_id, run) GROUP BY doc_id
+)
+SELECT n.doc_id, sum(bytes)::BIGINT AS n_bytes, coalesce(sum(bytes) FILTER (WHERE gone), 0)::BIGINT AS n_removed, coalesce(any_value(s.n_spans), 0)::BIGINT AS n_spans,
+       sha256(coalesce(string_agg(body, '' ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256, coalesce(any_value(s.spans), '') AS spans
+FROM numbered n LEFT JOIN spans s USING (doc_id) GROUP BY n.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": LINES_SQL}

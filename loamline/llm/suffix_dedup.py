@@ -228,13 +228,20 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int | Non
     """doc_id, n_bytes, removed (array<struct<low,high>> of the text's bytes) and kept (the remaining bytes; null if nothing is removed) for each row."""
     anchor = anchor or min(ANCHOR, length)
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ranges = cut(repeated_ranges(texts, length, anchor, hot))
+    return strip(texts, cut(repeated_ranges(texts, length, anchor, hot)), lambda batch: _digests(batch.column(1)))
+
+
+def strip(texts: DataFrame, ranges: DataFrame, keys) -> DataFrame:
+    """remove_repeats()'s columns for texts (doc_id, text) and ranges (digest, ranges), where keys gives the digests of a batch of texts.
+
+    Texts that lose nothing are finished where they are read; a Bloom filter tells which others have to meet their ranges.
+    """
     losing = bloom(ranges.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("x")))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def mark(batches):
         for batch in batches:
-            digests = _digests(batch.column(1))
+            digests = keys(batch)
             lose = arrays.in_bloom(losing.value, np.array([int.from_bytes(x[:8], "big") for x in digests], arrays.U64))
             _, ends = arrays.buffers(batch.column(1))
             text = pa.compute.if_else(pa.array(lose), batch.column(1), pa.scalar(None, batch.column(1).type))
@@ -267,6 +274,6 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int | Non
     return marked.select("doc_id", "n_bytes", "text", "sha", "ranges").mapInArrow(strip, f"doc_id {kind}, n_bytes long, removed array<struct<low:bigint,high:bigint>>, kept binary, kept_sha256 string")
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, *more: str) -> DataFrame:
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["high"] - x["low"])
-    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256", *more)
