@@ -114,13 +114,12 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input's columns with every found span of the text replaced by its kind in angle brackets.
+def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, length_col: str | None = None) -> DataFrame:
+    """The input's columns with every found span of the text replaced by its kind in angle brackets; length_col, if given, gets the new length.
 
     Overlapping spans are merged first; the kind that starts first names them. A null text stays null.
     """
     kinds = (*BASE_KINDS, *EXTRA)
-    hidden = "__pii_" + text_col
     # The spans are computed beside the row itself, so that no join is needed.
     carried = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
     spans = find_pii(carried.select(F.col("row").alias("doc_id"), F.col("row").getField(text_col).alias("text")), "doc_id", "text", threshold)
@@ -139,5 +138,12 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     cleaned = F.aggregate("spans", first, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = spans.select(F.col("doc_id").alias("row"), F.when(F.size("spans") > 0, cleaned).alias(hidden))
-    return out.select(*((F.coalesce(F.col(hidden), F.col("row").getField(c)) if c == text_col else F.col("row").getField(c)).alias(c) for c in documents.columns))
+    out = spans.select(F.col("doc_id").alias("row"), F.when(F.size("spans") > 0, cleaned).otherwise(F.col("doc_id").getField(text_col)).alias("clean"))
+
+    def column(name: str) -> Column:
+        own = F.col("row").getField(name)
+        if name == length_col:
+            return F.when(F.col("clean").isNotNull(), F.length("clean").cast(documents.schema[name].dataType)).otherwise(own)
+        return F.col("clean") if name == text_col else own
+
+    return out.select(*(column(c).alias(c) for c in documents.columns))

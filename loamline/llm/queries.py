@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
+import corpus_pipeline
+from loamline.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
 from loamline.llm.common import table
 
 
@@ -39,6 +40,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.remove_lines(table(spark, sf_dir, "documents")))
 
@@ -48,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules}
+    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules, "pipeline": corpus_pipeline.run}
 
 
 #: Lines are told apart by their words, and occurrences of equal ones ranked by id and place.
