@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
@@ -38,7 +38,7 @@ SKETCH_PARTS = 64
 MAX_MATCH = 4
 VERIFY_COST = 0.05
 #: Pivot rounds before lists are joined with themselves.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 3
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -182,6 +182,44 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     return two.filter(100 * shared >= percent * (F.size("a.grams") + F.size("b.grams") - shared)).drop("a", "b")
 
 
+def _postings(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rid, low, n, need, rest, token, own and all of the prefix n-grams that may be among wanted (token), by a Bloom filter: own of them come from here on, all in all."""
+    shared = bloom(wanted.select(F.col("token").alias("x")))
+    names = ["rid", "low", "n", "need"]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(4)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            tokens = lists.values.to_numpy()[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            keep = np.flatnonzero(arrays.in_bloom(shared.value, tokens.view(arrays.U64)))
+            row_kept = row[keep]
+            count = np.bincount(row_kept, minlength=batch.num_rows)
+            own = np.cumsum(count)[row_kept] - np.arange(len(keep))
+            rest = batch.column(2).to_numpy() - np.diff(ends)
+            at = pa.array(row_kept)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(at) for k in range(4)), pa.array(rest[row_kept]), pa.array(tokens[keep]), pa.array(own.astype(np.int32)), pa.array(count[row_kept].astype(np.int32))],
+                [*names, "rest", "token", "own", "all"],
+            )
+
+    kind = firsts.schema["low"].dataType.simpleString()
+    return firsts.select(*names, "prefix").mapInArrow(run, f"rid binary, low {kind}, n long, need int, rest long, token long, own int, all int")
+
+
+def _least_shared(percent: int):
+    """The fewest prefix n-grams that a set of size n shares with any partner of a size from least to most.
+
+    For smaller partners the bound rises with their size, for larger ones it falls, so the ends of the range tell; one is taken off for rounding.
+    """
+    low = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
+    high = F.least(F.col("most"), F.floor(F.col("n") * 100 / percent + 1e-9))
+    shared = lambda m: F.ceil(percent * (F.col("n") + m) / (100 + percent) - 1e-9) - F.greatest(F.col("rest"), F.ceil(m * percent / 100 - 1e-9) - 1)
+    return F.when(low > high, F.lit(1 << 40)).otherwise(F.greatest(F.lit(1), F.least(shared(low), shared(high)) - 1))
+
+
 def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 20) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has doc_id, rid, n; groups has rid, n, component (smallest doc_id) and links (how many other classes were verified as linked directly)."""
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -189,16 +227,16 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     some = signed.filter("rid is not null")
     firsts = cut(some.groupBy("rid").agg(F.min("doc_id").alias("low"), F.first(F.struct("n", "need", "prefix")).alias("set")).select("rid", "low", "set.*"))
 
-    postings = firsts.select("rid", "n", "need", (F.col("n") - F.size("prefix")).alias("rest"), "low", F.posexplode("prefix").alias("at", "token"))
-    common = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
-    # Of a prefix, only n-grams that other classes' prefixes hold count: of those, `own` come from here on.
-    order = Window.partitionBy("rid").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live = postings.join(common, "token", "left_semi").withColumn("own", F.count("*").over(order)).withColumn("all", F.max("own").over(Window.partitionBy("rid"))).drop("at")
-    live = cut(live)
+    # What other classes' sizes a list holds bounds how many n-grams a partner from it has to share.
+    sizes = firsts.select(F.explode("prefix").alias("token"), F.col("n").cast("int").alias("n")).groupBy("token").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = cut(sizes.filter((F.col("members") > 1) & ((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most")))).select("token", "least", "most"))
+    live = cut(_postings(firsts, sizes).join(sizes, "token").filter(F.col("own") >= _least_shared(percent)).drop("least", "most"))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     # An overlap large enough leaves at least this many n-grams outside the rests beyond both prefixes.
     overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
     enough = F.greatest(F.least("need", "need2"), overlap - F.greatest("rest", "rest2"))
+    # A pair that shares enough n-grams has the first of them where both still have enough to come.
+    ahead = F.least("own", "own2") >= enough
     partner = [F.col("rid").alias("other"), *(F.col(a).alias(b) for a, b in (("n", "m"), ("need", "need2"), ("rest", "rest2"), ("root", "far"), ("low", "low2"), ("own", "own2"), ("all", "all2")))]
 
     roots, tried, links = live.select("rid", F.col("rid").alias("root")).distinct(), None, None
@@ -208,10 +246,8 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
         # First the member that has most in common with others, then any.
         one = F.struct((F.lit(0) if k else -F.col("all")).alias("o"), F.xxhash64("rid", F.lit(k)).alias("p"), *partner)
         mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(one).alias("pivot")).filter("x <> y").select("token", "pivot.*")
-        met = lists.join(mixed, "token").filter((F.col("root") != F.col("far")) & fits & (F.least("all", "all2") >= enough))
-        met = met.groupBy("rid", "root", "low", "other", "far", "low2").agg(F.count("*").alias("shared"), F.first(enough).alias("enough"))
-        # Lists with other pivots don't count here, so what falls short now is left to the last step, not lost.
-        met = met.filter("shared >= enough")
+        met = lists.join(mixed, "token").filter((F.col("root") != F.col("far")) & fits & ahead)
+        met = met.groupBy("rid", "root", "low", "other", "far", "low2").agg(F.count("*").alias("shared"))
         if tried is not None:
             met = met.join(tried, ["rid", "other"], "left_anti")
         pairs = cut(met.groupBy("rid", "root", "low").agg(F.max_by(F.struct("other", "far", "low2"), F.struct("shared", "other")).alias("best")).select("rid", "root", "low", "best.*"))
@@ -228,8 +264,6 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     lists = live.join(roots, "rid")
     mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     lists = cut(lists.join(mixed, "token", "left_semi"))
-    # A pair that shares enough n-grams has the first of them where both still have enough to come.
-    ahead = F.least("own", "own2") >= enough
     pairs = lists.join(lists.select("token", *partner), "token").filter((F.col("root") < F.col("far")) & fits & ahead).select("rid", "root", "low", "other", "far", "low2").distinct()
     pairs = cut(pairs.join(tried, ["rid", "other"], "left_anti").select("rid", "root", "low", "other", "far", "low2"))
     linked = cut(verified(pairs, texts, words, percent, seed))
