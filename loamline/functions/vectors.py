@@ -70,6 +70,7 @@ def embed(text: str, dim: int = 64) -> list[float]:
     lanes = np.arange(dim, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
     for b in text.encode():
         lanes = lanes * np.uint64(31) + np.uint64(b)
+    lanes = (lanes ^ (lanes >> np.uint64(31))) * np.uint64(0xD1B54A32D192ED03)
     values = (lanes >> np.uint64(40)).astype(np.float64) / float(1 << 24) - 0.5
     norm = np.linalg.norm(values)
     return (values / norm if norm else values).astype(np.float32).tolist()

@@ -58,7 +58,7 @@ def centred(rows: DataFrame, is_anchor, size: int) -> DataFrame:
     at = F.min(F.when(is_anchor, F.col("pos"))).over(own)
     start = F.greatest(F.lit(0), F.least(F.col("__at") - F.floor(F.lit(size / 2)), F.col("total") - size)).cast("int")
     rows = rows.withColumn("__at", at).withColumn("__start", start)
-    rows = rows.filter((F.col("pos") >= F.col("__start")) & (F.col("pos") < F.col("__start") + size))
+    rows = rows.filter(F.col("__at").isNotNull() & (F.col("pos") >= F.col("__start")) & (F.col("pos") < F.col("__start") + size))
     return rows.withColumn("anchor_index", (F.col("__at") - F.col("__start")).cast("int")).drop("__at", "__start")
 
 

@@ -86,7 +86,8 @@ class JobQueue:
                 raise RetrievalError("invalid_request", "the queue is full")
             if any(j.store_id == store_id and j.state in ("pending", "running") for j in self.jobs.values()):
                 raise RetrievalError("invalid_request", "the store has a job already")
-            job = self.jobs[(made := Job(ulid(), store_id)).id] = made
+            job = Job(ulid(), store_id)
+            self.jobs[job.id] = job
             self.busy.setdefault(store_id, threading.Lock())
         self.pool.submit(self._run, job, work)
         return job

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import vectors
+from loamline.functions.columns import let
 from loamline.functions.text import fold, tokens
 
 LEG_K, TOP_N, MAX_N, RRF_K = 50, 10, 100, 60
@@ -99,8 +100,8 @@ def bm25_scores(chunks: DataFrame, query: str) -> DataFrame:
     if not phrases:
         return chunks.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     kinds = list(dict.fromkeys(map(tuple, phrases)))
-    held = chunks.withColumn("__terms", tokens(F.col("text")))
-    held = held.withColumn("__len", F.size("__terms")).withColumns({f"__f{k}": occurrences(F.col("__terms"), list(p)) for k, p in enumerate(kinds)}).drop("__terms")
+    counted = let(tokens(F.col("text")), lambda t: F.struct(F.size(t).alias("len"), *(occurrences(t, list(p)).alias(f"f{k}") for k, p in enumerate(kinds))))
+    held = chunks.withColumn("__c", counted).select(*chunks.columns, F.col("__c.len").alias("__len"), *(F.col(f"__c.f{k}").alias(f"__f{k}") for k in range(len(kinds))))
     stats = held.agg(F.count("*").alias("__N"), F.avg("__len").alias("__avg"), *(F.sum((F.col(f"__f{k}") > 0).cast("long")).alias(f"__n{k}") for k in range(len(kinds))))
     score = F.lit(0.0)
     for k, phrase in enumerate(kinds):
@@ -137,8 +138,8 @@ def bm25_from_postings(postings: DataFrame, lengths: DataFrame, query: str) -> D
     if legs is None:
         return lengths.select("store_id", "chunk_id", F.lit(0.0).alias("score")).filter(F.lit(False))
     found = legs.groupBy("phrase").agg(F.count("*").alias("n"))
-    stats = lengths.agg(F.count("*").alias("N"), F.avg("len").alias("mean"))
-    idf = F.ln((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    stats = lengths.agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
+    idf = F.ln((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     rows = legs.join(F.broadcast(found), "phrase").join(lengths, ["store_id", "chunk_id"]).join(F.broadcast(stats))
     return rows.groupBy("store_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("held")).filter(F.col("held") == len(kinds)).drop("held")

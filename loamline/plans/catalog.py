@@ -289,9 +289,9 @@ def b2(spark, sf_dir):
 
 
 @query("B6_heading_paths", """WITH h AS (SELECT doc_id, unnest(range(0, 12)) AS seq FROM documents), k AS (SELECT *, (seq + doc_id) % 3 + 1 AS level, 'H' || seq AS text FROM h),
-  w AS (SELECT a.doc_id, a.seq, b.level, max(b.seq) AS at FROM k a LEFT JOIN k b ON a.doc_id = b.doc_id AND b.seq < a.seq GROUP BY a.doc_id, a.seq, b.level),
-  o AS (SELECT x.doc_id, x.seq, x.level, x.at FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id AND y.seq = x.seq AND y.level < x.level AND y.at > x.at)),
-  p AS (SELECT doc_id, seq, max(level) AS depth, max(CASE WHEN level = 1 THEN 'H' || at END) AS a, max(CASE WHEN level = 2 THEN 'H' || at END) AS b, max(CASE WHEN level = 3 THEN 'H' || at END) AS c FROM o GROUP BY doc_id, seq)
+  w AS (SELECT a.doc_id, a.seq, b.level, max(b.seq) AS top FROM k a LEFT JOIN k b ON a.doc_id = b.doc_id AND b.seq < a.seq GROUP BY a.doc_id, a.seq, b.level),
+  o AS (SELECT x.doc_id, x.seq, x.level, x.top FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id AND y.seq = x.seq AND y.level < x.level AND y.top > x.top)),
+  p AS (SELECT doc_id, seq, max(level) AS depth, max(CASE WHEN level = 1 THEN 'H' || top END) AS a, max(CASE WHEN level = 2 THEN 'H' || top END) AS b, max(CASE WHEN level = 3 THEN 'H' || top END) AS c FROM o GROUP BY doc_id, seq)
 SELECT 'doc://' || doc_id AS uri, seq::INT AS seq, array_to_string(list_slice([coalesce(a, ''), coalesce(b, ''), coalesce(c, '')], 1, coalesce(depth, 0)::INT), '>') AS path FROM p""")
 def b6(spark, sf_dir):
     docs = corpus.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("uri"), "doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("seq"))
@@ -504,8 +504,8 @@ def _turn_chunks(spark, sf_dir):
     return corpus.turns(spark, sf_dir).select(F.lit("c").alias("store_id"), "resource_id", F.concat_ws("-", F.col("resource_id").cast("string"), F.col("seq").cast("string")).alias("chunk_id"), F.col("seq").alias("block_seq"), F.lit(0).alias("seq_in_block"))
 
 
-@query("W4_centred_page", f"""WITH {_TURNS}, a AS (SELECT *, min(CASE WHEN block_seq >= 2 THEN pos END) OVER (PARTITION BY resource_id) AS at FROM t), s AS (SELECT *, greatest(0, least(at - 1, total - 3)) AS start FROM a)
-SELECT resource_id, chunk_id, pos::INT AS pos, (at - start)::INT AS anchor_index FROM s WHERE pos >= start AND pos < start + 3""")
+@query("W4_centred_page", f"""WITH {_TURNS}, a AS (SELECT *, min(CASE WHEN block_seq >= 2 THEN pos END) OVER (PARTITION BY resource_id) AS anchor FROM t), s AS (SELECT *, greatest(0, least(anchor - 1, total - 3)) AS start FROM a)
+SELECT resource_id, chunk_id, pos::INT AS pos, (anchor - start)::INT AS anchor_index FROM s WHERE anchor IS NOT NULL AND pos >= start AND pos < start + 3""")
 def w4(spark, sf_dir):
     return reading.centred(reading.numbered(_turn_chunks(spark, sf_dir)), F.col("block_seq") >= 2, 3).select("resource_id", "chunk_id", "pos", "anchor_index")
 
@@ -539,11 +539,11 @@ def fn_rfc(spark, sf_dir):
     return corpus.table(spark, sf_dir, "events").select("event_id", text.rfc3339(F.lit(1700000000) + F.col("event_id") * 977).alias("at"))
 
 
-@query("fn_durations", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id * 3600 WHEN 1 THEN event_id * 60 WHEN 2 THEN event_id WHEN 3 THEN event_id * 86400 WHEN 4 THEN event_id ELSE NULL END AS seconds FROM events WHERE event_id > 0")
+@query("fn_durations", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id * 3600 WHEN 1 THEN event_id * 60 WHEN 2 THEN event_id WHEN 3 THEN event_id * 86400 WHEN 4 THEN event_id ELSE -1 END AS seconds FROM events WHERE event_id > 0")
 def fn_durations(spark, sf_dir):
     n, k = F.col("event_id").cast("string"), F.col("event_id") % 6
     value = F.when(k == 5, F.concat(n, F.lit(" weeks"))).otherwise(F.concat(n, F.element_at(F.array(*map(F.lit, ["h", "m", "s", "d", "", "?"])), (k + 1).cast("int"))))
-    return corpus.table(spark, sf_dir, "events").filter("event_id > 0").select("event_id", text.duration_seconds(value).alias("seconds"))
+    return corpus.table(spark, sf_dir, "events").filter("event_id > 0").select("event_id", F.coalesce(text.duration_seconds(value), F.lit(-1).cast("long")).alias("seconds"))
 
 
 @query("fn_store_names", "SELECT event_id, n NOT IN ('', '.', '..', 'a/b', 'a\\b') AS valid FROM (SELECT event_id, ['', '.', '..', 'a/b', 'a\\b', 'notes', 'My Store', '...'][(event_id % 8 + 1)::INT] AS n FROM events)")
@@ -559,10 +559,10 @@ def fn_reference(spark, sf_dir):
     return corpus.table(spark, sf_dir, "pages").select("page_id", text.reference_kind(value).alias("kind"))
 
 
-@query("fn_tolerant_json", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id END AS id FROM events")
+@query("fn_tolerant_json", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN -1 ELSE event_id END AS id FROM events")
 def fn_json(spark, sf_dir):
     raw = F.when(F.col("event_id") % 4 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("event_id").alias("id"))))
-    return corpus.table(spark, sf_dir, "events").select("event_id", registry.tolerant_json(raw, "id long")["id"].alias("id"))
+    return corpus.table(spark, sf_dir, "events").select("event_id", F.coalesce(registry.tolerant_json(raw, "id long")["id"], F.lit(-1).cast("long")).alias("id"))
 
 
 @query("fn_meta_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['x.' || event_type] ELSE []::VARCHAR[] END AS unknown FROM events")
@@ -620,7 +620,7 @@ def i5(spark, sf_dir):
     return maintenance.plan_changes(*_snapshots(spark, sf_dir), None, corpus.POLICY, prune=True, complete=False).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("I6_counters", _PLAN + " SELECT count_if(action IN ('insert', 'replace')) AS indexed, count_if(action IN ('skip', 'empty')) AS skipped, count_if(action = 'unsupported') AS unsupported, count_if(action = 'error') AS errors, count_if(action = 'delete') AS deleted, count_if(action = 'prunable') AS docs_prunable FROM plan")
+@query("I6_counters", _PLAN + " SELECT count_if(action IN ('insert', 'replace'))::BIGINT AS indexed, count_if(action IN ('skip', 'empty'))::BIGINT AS skipped, count_if(action = 'unsupported')::BIGINT AS unsupported, count_if(action = 'error')::BIGINT AS errors, count_if(action = 'delete')::BIGINT AS deleted, count_if(action = 'prunable')::BIGINT AS docs_prunable FROM plan")
 def i6(spark, sf_dir):
     return maintenance.counters(i1(spark, sf_dir))
 
@@ -660,10 +660,10 @@ def k2(spark, sf_dir):
     return maintenance.upsert_resources(shaped(rows.filter("doc_id % 3 <> 0"), "old"), shaped(rows.filter("doc_id % 2 = 0"), "new"))
 
 
-@query("K3_upsert_blocks", "SELECT conv_id AS resource_id, turn::INT AS seq, CASE WHEN turn % 2 = 0 THEN upper(text) ELSE text END AS text FROM conversations")
+@query("K3_upsert_blocks", "SELECT conv_id AS resource_id, turn::INT AS seq, CASE WHEN turn % 2 = 0 THEN text || '!' ELSE text END AS text FROM conversations")
 def k3(spark, sf_dir):
     rows = corpus.turns(spark, sf_dir).select("resource_id", "seq", "text")
-    return maintenance.upsert(rows, rows.filter("seq % 2 = 0").withColumn("text", F.upper("text")), ["resource_id", "seq"])
+    return maintenance.upsert(rows, rows.filter("seq % 2 = 0").withColumn("text", F.concat("text", F.lit("!"))), ["resource_id", "seq"])
 
 
 @query("M7_delete_by_resource", f"WITH {RES} SELECT store_id, count(*) AS removed FROM ch WHERE doc_id % 9 = 0 GROUP BY store_id")
