@@ -24,7 +24,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-OCTETS = r"^0*+(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.0*+(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){3}$"
+OCTET = r"(?:0*+(?:[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])|0++)"
+OCTETS = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 # The further kinds as (pattern, prior, context words).
