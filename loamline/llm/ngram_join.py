@@ -88,7 +88,7 @@ def rarity_sketch(texts: DataFrame, words: int, seed: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], ["part", "counts"])
 
     parts = texts.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(merge, "part int, counts binary").collect()
-    return np.concatenate([np.frombuffer(x["counts"], "<i4") for x in sorted(parts, key=lambda x: x["part"])])
+    return np.concatenate([np.frombuffer(x["counts"], "<i4") for x in sorted(parts, key=lambda x: x["part"])]) if parts else np.zeros(SKETCH, np.int32)
 
 
 def _prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
