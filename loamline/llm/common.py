@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,45 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+class Scratch:
+    """Tables cut() within a with block, deleted at its end. What leaves the block must be cut outside of it first."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, frame: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        frame.write.parquet(path)
+        out = self.spark.read.schema(frame.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that no later step reads, and let Spark's cleaner find the shuffles of finished jobs."""
+        for frame in frames:
+            self._delete(self.held.pop(id(frame))[1])
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.held.values():
+            self._delete(path)
+        self.held.clear()
+
+
+def small(frame: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The table, cut, and marked for broadcast if it has at most so many rows (of a few bytes each); otherwise joins shuffle."""
+    out = cut(frame)
+    return F.broadcast(out) if out.count() <= rows else out
+
+
 def bloom(hashes: DataFrame):
     """A broadcast Bloom filter (see arrays.in_bloom) of a column x of 64-bit hashes: 2^25 bits however many there are.
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import LOWER, UPPER, cut, let, row_key
+from loamline.llm.common import LOWER, UPPER, cut, let, row_key, small
 
 WINDOW = 10
 #: Most windows that one broadcast holds; further ones go into further broadcasts.
@@ -109,4 +109,4 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     found = find_windows(documents, benchmark, window, id_col=id_col, text_col=text_col)
     hidden = "__contaminated_row"
     keyed = documents.withColumn(hidden, row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(found.select(F.col("row").alias(hidden)).distinct(), hidden, "left_anti").drop(hidden)
+    return keyed.join(small(found.select(F.col("row").alias(hidden)).distinct()), hidden, "left_anti").drop(hidden)

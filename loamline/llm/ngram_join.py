@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
-from loamline.llm.common import bloom, cut
+from loamline.llm.common import Scratch, bloom, cut, small
 from loamline.llm.components import connected
 
 #: Defaults of the operator; the registered query uses its contract's values.
@@ -172,14 +172,17 @@ def _named(owner: np.ndarray, grams: np.ndarray, rows: int):
     return first, n, sums
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int, scratch: Scratch) -> DataFrame:
     """The pairs (rid, other, ...) whose whole sets are similar enough. The side with hot members joins while rows are narrow."""
     both = pairs.select("rid", "low").unionByName(pairs.select(F.col("other").alias("rid"), F.col("low2").alias("low"))).distinct()
-    sets = cut(whole_sets(texts, words, seed, both))
+    sets = scratch.cut(whole_sets(texts, words, seed, both))
+    scratch.drop()
     one = pairs.join(sets.select(F.col("rid").alias("other"), F.struct("grams").alias("b")), "other")
     two = one.join(sets.select("rid", F.struct("grams").alias("a")), "rid")
     shared = F.size(F.array_intersect("a.grams", "b.grams"))
-    return two.filter(100 * shared >= percent * (F.size("a.grams") + F.size("b.grams") - shared)).drop("a", "b")
+    out = scratch.cut(two.filter(100 * shared >= percent * (F.size("a.grams") + F.size("b.grams") - shared)).drop("a", "b"))
+    scratch.drop(sets)
+    return out
 
 
 def _postings(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,7 +226,15 @@ def _least_shared(percent: int):
 def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 20) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has doc_id, rid, n; groups has rid, n, component (smallest doc_id) and links (how many other classes were verified as linked directly)."""
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = cut(signatures(texts, words, percent, seed, rarity_sketch(texts, words, seed)))
+    with Scratch(texts.sparkSession) as scratch:
+        signed = scratch.cut(signatures(texts, words, percent, seed, rarity_sketch(texts, words, seed)))
+        groups = cut(_groups(signed, texts, words, percent, seed, scratch))
+        return cut(signed.select("doc_id", "rid", "n")), groups
+
+
+def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed: int, scratch: Scratch) -> DataFrame:
+    """rid, n, component and links of classes()."""
+    cut = scratch.cut
     some = signed.filter("rid is not null")
     firsts = cut(some.groupBy("rid").agg(F.min("doc_id").alias("low"), F.first(F.struct("n", "need", "prefix")).alias("set")).select("rid", "low", "set.*"))
 
@@ -231,6 +242,7 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     sizes = firsts.select(F.explode("prefix").alias("token"), F.col("n").cast("int").alias("n")).groupBy("token").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
     sizes = cut(sizes.filter((F.col("members") > 1) & ((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most")))).select("token", "least", "most"))
     live = cut(_postings(firsts, sizes).join(sizes, "token").filter(F.col("own") >= _least_shared(percent)).drop("least", "most"))
+    scratch.drop(sizes)
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     # An overlap large enough leaves at least this many n-grams outside the rests beyond both prefixes.
     overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
@@ -251,14 +263,14 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
         if tried is not None:
             met = met.join(tried, ["rid", "other"], "left_anti")
         pairs = cut(met.groupBy("rid", "root", "low").agg(F.max_by(F.struct("other", "far", "low2"), F.struct("shared", "other")).alias("best")).select("rid", "root", "low", "best.*"))
-        linked = cut(verified(pairs, texts, words, percent, seed))
+        linked = verified(pairs, texts, words, percent, seed, scratch)
         seen = pairs.select("rid", "other")
         seen = seen.unionByName(seen.select(F.col("rid").alias("other"), F.col("other").alias("rid")))
         tried = seen if tried is None else tried.unionByName(seen)
         links = linked if links is None else links.unionByName(linked)
         if linked.isEmpty():
             break
-        roots = _merged(roots, linked)
+        roots = _merged(roots, linked, scratch)
 
     roots = cut(roots)
     lists = live.join(roots, "rid")
@@ -266,19 +278,19 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     lists = cut(lists.join(mixed, "token", "left_semi"))
     pairs = lists.join(lists.select("token", *partner), "token").filter((F.col("root") < F.col("far")) & fits & ahead).select("rid", "root", "low", "other", "far", "low2").distinct()
     pairs = cut(pairs.join(tried, ["rid", "other"], "left_anti").select("rid", "root", "low", "other", "far", "low2"))
-    linked = cut(verified(pairs, texts, words, percent, seed))
+    linked = verified(pairs, texts, words, percent, seed, scratch)
     links = links.unionByName(linked.select(links.columns))
-    roots = _merged(roots, linked)
+    roots = _merged(roots, linked, scratch)
 
     named = firsts.select("rid", "n", "low").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     low = named.groupBy("root").agg(F.min("low").alias("component"))
     ends = links.select("rid").unionByName(links.select(F.col("other").alias("rid"))).groupBy("rid").agg(F.count("*").alias("links"))
     groups = named.join(low, "root").join(ends, "rid", "left").select("rid", "n", "component", F.coalesce("links", F.lit(0)).alias("links"))
-    return signed.select("doc_id", "rid", "n"), groups
+    return groups
 
 
-def _merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
-    moved = connected(linked.select(F.col("root").alias("a"), F.col("far").alias("b")))
+def _merged(roots: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    moved = connected(linked.select(F.col("root").alias("a"), F.col("far").alias("b")), scratch)
     return roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("rid", F.coalesce("above", "root").alias("root"))
 
 
@@ -290,11 +302,15 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
 
 
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without near duplicates: of each component, a row with its smallest id stays.
+    """The input rows without near duplicates: of each component, the row with its smallest id stays.
 
-    Of repeated rows with that id one stays. Rows with empty sets or null ids all stay, as they have no partner or no name.
+    Rows that repeat an id and text count once. Rows with null ids all stay, as they have no name.
     """
-    found = near_duplicates(documents, words, percent, id_col, text_col)
-    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = documents.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return out
+    found = near_duplicates(documents, words, percent, id_col, text_col).filter("doc_id is not null")
+    others = small(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct())
+    again = small(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")))
+    kept = documents.join(others, F.col(id_col) == F.col("__id"), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, F.col(id_col) == F.col("__id"), "left_anti").unionByName(repeated)
