@@ -76,6 +76,8 @@ def remove_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     lines = cut(_lines(texts, min_words))
     first = lines.groupBy("one", "two").agg(F.min(F.struct("doc_id", "row", "low")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("one", "two", "first")
+    # Written first, so that the join deals both sides anew and Spark can split a very frequent line.
+    first = cut(first)
     later = lines.join(first, ["one", "two"]).filter((F.col("row") != F.col("first.row")) | (F.col("low") != F.col("first.low")))
     ranges = cut(later.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
     return suffix_dedup.strip(texts, ranges.select(F.col("row").alias("digest"), "ranges"), _keys)
