@@ -283,7 +283,8 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     roots = _merged(roots, linked, scratch)
 
     named = firsts.select("rid", "n", "low").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    low = named.groupBy("root").agg(F.min("low").alias("component"))
+    # Written first, so that the join deals both sides anew and Spark can split a very large component.
+    low = cut(named.groupBy("root").agg(F.min("low").alias("component")))
     ends = links.select("rid").unionByName(links.select(F.col("other").alias("rid"))).groupBy("rid").agg(F.count("*").alias("links"))
     groups = named.join(low, "root").join(ends, "rid", "left").select("rid", "n", "component", F.coalesce("links", F.lit(0)).alias("links"))
     return groups
