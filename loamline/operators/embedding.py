@@ -48,3 +48,20 @@ def embed_chunks(chunks: DataFrame, provider: Provider | None = None) -> DataFra
 def embed_query(text: str, provider: Provider | None = None) -> list[float]:
     """The vector of a query, a document of one chunk."""
     return checked([[text]], (provider or rolling_hash())([[text]]))[0][0]
+
+
+def batched(call: Callable[[list[str]], list[tuple[int, list[float]]]], size: int = 32) -> Provider:
+    """A provider of a hosted model that takes up to size texts and answers with (index, vector) in any order; a missing index is an error."""
+
+    def run(documents: list[list[str]]) -> list[list[list[float]]]:
+        texts = [t for d in documents for t in d]
+        found: list[list[float]] = []
+        for k in range(0, len(texts), size):
+            part = dict(call(texts[k : k + size]))
+            if sorted(part) != list(range(len(texts[k : k + size]))):
+                raise ValueError("the provider left out some vectors")
+            found += [part[j] for j in range(len(part))]
+        rest = iter(found)
+        return [[next(rest) for _ in d] for d in documents]
+
+    return run

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS = {"stores": ["store_id"], "sources": ["source_id"], "resources": ["store_id", "resource_id"], "blocks": ["store_id", "resource_id", "seq"], "chunks": ["store_id", "chunk_id"]}
 
@@ -105,7 +106,7 @@ class Snapshots:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict:
-        """{version, tables: {name: path}}; empty for a fresh root."""
+        """{version, tables: {name: {path, schema}}}; empty for a fresh root."""
         at = f"{self.root}/manifest"
         if not self._fs.exists(self._path(at)):
             return {"version": self.VERSION, "tables": {}}
@@ -115,33 +116,35 @@ class Snapshots:
         return found
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.manifest()["tables"][name])
+        entry = self.manifest()["tables"][name]
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["path"])
 
     def write(self, tables: dict[str, DataFrame]) -> dict:
         """Write the tables as new snapshots, then let the pointer name them; tables not given stay as they are."""
         now = self.manifest()
-        paths = dict(now["tables"])
+        entries = dict(now["tables"])
         for name, frame in tables.items():
-            paths[name] = f"{self.root}/{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+            path = f"{self.root}/{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+            entries[name] = {"path": path, "schema": frame.schema.json()}
             writer = frame.write
-            (writer.partitionBy("store_id") if "store_id" in frame.columns and len(frame.columns) > 1 else writer).parquet(paths[name])
+            (writer.partitionBy("store_id") if "store_id" in frame.columns and len(frame.columns) > 1 else writer).parquet(path)
         fresh = self.root + "/manifest-" + uuid.uuid4().hex
-        self.spark.createDataFrame([(json.dumps({"version": self.VERSION, "tables": paths}),)], "value string").coalesce(1).write.text(fresh)
+        self.spark.createDataFrame([(json.dumps({"version": self.VERSION, "tables": entries}),)], "value string").coalesce(1).write.text(fresh)
         target = self._path(f"{self.root}/manifest")
         if self._fs.exists(target):
             self._fs.delete(target, True)
         if not self._fs.rename(self._path(fresh), target):
             raise OSError("the pointer could not be moved")
-        return {"version": self.VERSION, "tables": paths}
+        return {"version": self.VERSION, "tables": entries}
 
     def sizes(self) -> DataFrame:
         """table, bytes of the current snapshots."""
-        rows = [(n, self._fs.getContentSummary(self._path(p)).getLength()) for n, p in self.manifest()["tables"].items()]
+        rows = [(n, self._fs.getContentSummary(self._path(e["path"])).getLength()) for n, e in self.manifest()["tables"].items()]
         return self.spark.createDataFrame(rows, "table string, bytes long")
 
     def vacuum(self) -> int:
         """Delete snapshots that the pointer doesn't name; the bytes freed."""
-        keep, freed = set(self.manifest()["tables"].values()), 0
+        keep, freed = {e["path"] for e in self.manifest()["tables"].values()}, 0
         for name in {p.rsplit("/", 2)[-2] for p in keep}:
             for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
                 path = status.getPath()

@@ -34,6 +34,11 @@ def index(files: DataFrame, store_id: str, source_id: str, policy: str) -> dict[
     return {"resources": resources, "blocks": named.drop("uri", "preset"), "chunks": chunks}
 
 
+def outcomes(files: DataFrame) -> DataFrame:
+    """uri, status (ok, empty, unsupported, error) of files."""
+    return parse_documents(files.select("uri", "content")).select("uri", "status")
+
+
 def merge(store: maintenance.Snapshots, files: DataFrame, store_id: str, source_id: str, policy: str) -> None:
     """Index files into the store: unchanged ones are skipped, changed ones replace their earlier version, empty ones change nothing."""
     new = index(files, store_id, source_id, policy)
@@ -42,7 +47,7 @@ def merge(store: maintenance.Snapshots, files: DataFrame, store_id: str, source_
         store.write(new)
         return
     current = store.read("resources")
-    observed = files.select("uri").distinct().join(new["resources"].select("uri", "content_hash"), "uri", "left").withColumn("status", F.when(F.col("content_hash").isNull(), "empty").otherwise("ok"))
+    observed = outcomes(files).join(new["resources"].select("uri", "content_hash"), "uri", "left")
     own = current.filter((F.col("store_id") == store_id) & (F.col("source_id") == source_id)).select("uri", "resource_id", "content_hash", "policy_version")
     plan = maintenance.plan_changes(own, observed, None, policy, complete=False).cache()
     wanted = plan.filter(F.col("action").isin("insert", "replace")).join(new["resources"].select("uri", "resource_id"), "uri").select("resource_id")
