@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays, suffix_dedup
-from loamline.llm.common import cut
+from loamline.llm.common import Scratch, cut
 
 #: Words from which a line is long enough for a repeat to be a copy rather than chance.
 MIN_WORDS = 10
@@ -74,12 +74,13 @@ def _lines(texts: DataFrame, min_words: int) -> DataFrame:
 def remove_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, removed (array<struct<low,high>> of the original text's bytes; one for each run of lines), kept (bytes; null if nothing is removed) and kept_sha256."""
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    lines = cut(_lines(texts, min_words))
-    first = lines.groupBy("one", "two").agg(F.min(F.struct("doc_id", "row", "low")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("one", "two", "first")
-    # Written first, so that the join deals both sides anew and Spark can split a very frequent line.
-    first = cut(first)
-    later = lines.join(first, ["one", "two"]).filter((F.col("row") != F.col("first.row")) | (F.col("low") != F.col("first.low")))
-    ranges = cut(later.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
+    with Scratch(texts.sparkSession) as scratch:
+        lines = scratch.cut(_lines(texts, min_words))
+        first = lines.groupBy("one", "two").agg(F.min(F.struct("doc_id", "row", "low")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("one", "two", "first")
+        # Written first, so that the join deals both sides anew and Spark can split a very frequent line.
+        first = scratch.cut(first)
+        later = lines.join(first, ["one", "two"]).filter((F.col("row") != F.col("first.row")) | (F.col("low") != F.col("first.low")))
+        ranges = cut(later.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
     return suffix_dedup.strip(texts, ranges.select(F.col("row").alias("digest"), "ranges"), _keys)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
-from loamline.llm.common import bloom, cut
+from loamline.llm.common import Scratch, bloom, cut
 from loamline.llm.suffixes import shared_windows
 
 LENGTH = 400
@@ -200,8 +200,9 @@ def _digested(kinds: DataFrame, length: int) -> DataFrame:
     return ways.join(often, ["fp", "s", "window"], "left_semi").groupBy("fp", "cx").agg(F.collect_set(F.struct(F.col("s").alias("low"), F.col("s").alias("high"))).alias("spans"))
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """digest (of a text), ranges: array<struct<low,high>> of byte ranges, end exclusive, that repeated strings cover; they may overlap."""
+def repeated_ranges(texts: DataFrame, scratch: Scratch, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+    """digest (of a text), ranges: array<struct<low,high>> of byte ranges, end exclusive, that repeated strings cover; they may overlap. It reads tables of scratch."""
+    cut = scratch.cut
     repeated = cut(_anchors(texts, length, anchor))
     members = cut(_members(texts, length, anchor, repeated))
     kinds = members.groupBy("fp", "cx").agg(F.sum("times").alias("times"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("segment", ignorenulls=True).alias("segment"))
@@ -228,7 +229,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int | Non
     """doc_id, n_bytes, removed (array<struct<low,high>> of the text's bytes) and kept (the remaining bytes; null if nothing is removed) for each row."""
     anchor = anchor or min(ANCHOR, length)
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return strip(texts, cut(repeated_ranges(texts, length, anchor, hot)), lambda batch: _digests(batch.column(1)))
+    with Scratch(texts.sparkSession) as scratch:
+        ranges = cut(repeated_ranges(texts, scratch, length, anchor, hot))
+    return strip(texts, ranges, lambda batch: _digests(batch.column(1)))
 
 
 def strip(texts: DataFrame, ranges: DataFrame, keys) -> DataFrame:
