@@ -258,6 +258,8 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
         # First the member that has most in common with others, then any.
         one = F.struct((F.lit(0) if k else -F.col("all")).alias("o"), F.xxhash64("rid", F.lit(k)).alias("p"), *partner)
         mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(one).alias("pivot")).filter("x <> y").select("token", "pivot.*")
+        # Written first, so that the join deals both sides anew and Spark can split a very long list.
+        mixed = cut(mixed)
         met = lists.join(mixed, "token").filter((F.col("root") != F.col("far")) & fits & ahead)
         met = met.groupBy("rid", "root", "low", "other", "far", "low2").agg(F.count("*").alias("shared"))
         if tried is not None:
@@ -275,7 +277,7 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     roots = cut(roots)
     lists = live.join(roots, "rid")
     mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    lists = cut(lists.join(mixed, "token", "left_semi"))
+    lists = cut(lists.join(cut(mixed), "token", "left_semi"))
     pairs = lists.join(lists.select("token", *partner), "token").filter((F.col("root") < F.col("far")) & fits & ahead).select("rid", "root", "low", "other", "far", "low2").distinct()
     pairs = cut(pairs.join(tried, ["rid", "other"], "left_anti").select("rid", "root", "low", "other", "far", "low2"))
     linked = verified(pairs, texts, words, percent, seed, scratch)
