@@ -11,7 +11,8 @@ components, and lists within one component are left out. That is linear in a lis
 remain are joined with themselves across components only, with the multi-match count as the filter before
 verification, so no link between different texts is lost. Verification intersects whole sets exactly.
 
-Rarity is a fixed-width count sketch over all rows: any total order is correct, and the sketch's size doesn't grow with the data.
+Rarity is a fixed-width count sketch over all rows, then the n-gram's length: any total order is correct, and the sketch's size
+doesn't grow with the data.
 
 Defined results: null and empty texts have empty sets, which link with nothing; a text with fewer words than an
 n-gram is one n-gram; repeated rows and ids are kept, each with its component.
@@ -46,8 +47,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int, hasher: arrays.Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of the distinct n-grams of each row, in order of both."""
+def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int, hasher: arrays.Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, hashes and lengths (bytes in words) of the distinct n-grams of each row, in order of the first two."""
     data = _LOWER[data]
     start, end, row = arrays.word_bounds(~_BLANK[data], ends)
     hashes = hasher.ranges(hasher.prefix(data), start, end)
@@ -58,11 +59,13 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int, hasher: arrays.
     short = np.flatnonzero((count > 0) & (count < words))
     low, high = np.concatenate([at, first[short]]), np.concatenate([at + words, first[short + 1]])
     grams, owner = hasher.runs(hashes, low, high), np.concatenate([row[at], short])
+    size = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=size[1:])
     order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
+    grams, owner, size = grams[order], owner[order], (size[high] - size[low])[order]
     fresh = np.ones(len(grams), bool)
     fresh[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    return owner[fresh], grams[fresh]
+    return owner[fresh], grams[fresh], size[fresh]
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
@@ -107,11 +110,12 @@ def signatures(texts: DataFrame, words: int, percent: int, seed: int, sketch: np
         for batch in batches:
             for low, high, data, ends in arrays.chunks(batch.column(1)):
                 rows = high - low
-                owner, grams = shingle_sets(data, ends, words, hasher)
+                owner, grams, size = shingle_sets(data, ends, words, hasher)
                 first, n, sums = _named(owner, grams, rows)
-                seen = shared.value[_bucket(grams)]
-                order = np.lexsort((grams, seen, owner))
-                ranked, others = grams[order], np.maximum(seen[order] - quiet, 0.0)
+                # Rarest first: by what the sketch shows above its noise, then the longest, as long words seldom meet by chance.
+                seen = np.maximum(shared.value[_bucket(grams)] - quiet, 0.0)
+                order = np.lexsort((grams, -size, seen, owner))
+                ranked, others = grams[order], seen[order]
                 load = np.zeros(len(grams) + 1)
                 np.cumsum(others, out=load[1:])
                 need, best = np.ones(rows, np.int64), np.full(rows, np.inf)
@@ -146,7 +150,7 @@ def whole_sets(texts: DataFrame, words: int, seed: int, wanted: DataFrame) -> Da
             if not some.any():
                 continue
             for low, high, data, ends in arrays.chunks(batch.column(0).filter(pa.array(some))):
-                owner, grams = shingle_sets(data, ends, words, hasher)
+                owner, grams, _ = shingle_sets(data, ends, words, hasher)
                 first, n, (a, b) = _named(owner, grams, high - low)
                 rids = arrays.pair_bytes(a, b)
                 rows = np.flatnonzero((n > 0) & arrays.in_bloom(named.value, a))
