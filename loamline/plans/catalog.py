@@ -188,12 +188,12 @@ def s12(spark, sf_dir):
     return rows.select("event_id", uri.alias("uri")).withColumn("fetchable", feeds.fetchable(F.col("uri")))
 
 
-@query("S13_authors", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['u' || user_id] WHEN 1 THEN ['u' || user_id || '@e.example'] ELSE ['Feed'] END AS names FROM events")
+@query("S13_authors", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'u' || user_id WHEN 1 THEN 'u' || user_id || '@e.example' ELSE 'Feed' END AS names FROM events")
 def s13(spark, sf_dir):
     u = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     person = lambda n, e: F.struct(n.cast("string").alias("name"), e.cast("string").alias("email"))
     own = F.when(F.col("event_id") % 3 == 0, F.array(person(u, F.lit(None)))).when(F.col("event_id") % 3 == 1, F.array(person(F.lit("Author"), F.concat(u, F.lit("@e.example"))))).otherwise(F.filter(F.array(person(u, u)), lambda x: F.lit(False)))
-    return corpus.table(spark, sf_dir, "events").select("event_id", feeds.inherited_authors(own, F.array(person(F.lit("Feed"), F.lit(None)))).alias("names"))
+    return corpus.table(spark, sf_dir, "events").select("event_id", F.array_join(feeds.inherited_authors(own, F.array(person(F.lit("Feed"), F.lit(None)))), ", ").alias("names"))
 
 
 @query("S14_fallback", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'page ' || page_id WHEN 5 THEN NULL WHEN 1 THEN 'content ' || page_id WHEN 2 THEN 'summary' ELSE 'title' END AS body FROM pages""")
@@ -261,9 +261,9 @@ def x19(spark, sf_dir):
     return corpus.table(spark, sf_dir, "events").select("event_id", text.pdf_date(raw).alias("iso"))
 
 
-@query("X20_keywords", "SELECT doc_id, list_filter(list_transform(string_split_regex(left(text, 200), '[,;]'), lambda x: trim(x)), lambda x: x <> '') AS keywords FROM documents")
+@query("X20_keywords", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(left(text, 200), '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM documents")
 def x20(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", text.keywords(F.substring("text", 1, 200)).alias("keywords"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(F.substring("text", 1, 200)), "|").alias("keywords"))
 
 
 @query("X21_page_ranges", """WITH p AS (SELECT DISTINCT user_id AS k, event_id % 40 AS page FROM events), i AS (SELECT k, page, page - row_number() OVER (PARTITION BY k ORDER BY page) AS g FROM p),
@@ -332,9 +332,9 @@ def c10(spark, sf_dir):
 
 
 @query("C11_message_windows", """WITH t AS (SELECT conv_id, list(turn::INT ORDER BY turn) AS seqs, list('[' || role || ']: ' || text ORDER BY turn) AS said FROM conversations WHERE length(text) > 0 GROUP BY conv_id), w AS (SELECT *, unnest(range(1, len(seqs) + 1, 3)) AS s FROM t)
-SELECT conv_id AS resource_id, seqs[s] AS block_seq, list_slice(seqs, s, s + 5) AS window_block_seqs, array_to_string(list_slice(said, s, s + 5), chr(10) || chr(10)) AS text FROM w""")
+SELECT conv_id AS resource_id, seqs[s] AS block_seq, array_to_string(list_slice(seqs, s, s + 5), ',') AS window_block_seqs, array_to_string(list_slice(said, s, s + 5), chr(10) || chr(10)) AS text FROM w""")
 def c11(spark, sf_dir):
-    return chunking.message_windows(corpus.turns(spark, sf_dir))
+    return chunking.message_windows(corpus.turns(spark, sf_dir)).withColumn("window_block_seqs", F.array_join(F.col("window_block_seqs").cast("array<string>"), ","))
 
 
 @query("C12_turn_prefix", "SELECT conv_id, turn, '[' || role || '] (' || turn || '): ' || text AS said FROM conversations")
@@ -356,9 +356,9 @@ def e3(spark, sf_dir):
     return embedding.embed_chunks(corpus.chunks(spark, sf_dir).select("resource_id", "chunk_id", "block_seq", "seq_in_block", "text")).select("chunk_id", "embedding")
 
 
-@query("E6_quantise", "SELECT vec_id, list_transform(embedding, lambda x: greatest(-128, least(127, round(tanh(x::DOUBLE) * 127)::INT))) AS q FROM embeddings")
+@query("E6_quantise", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: greatest(-128, least(127, round(tanh(x::DOUBLE) * 127)::INT))), ',') AS q FROM embeddings")
 def e6(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantise(F.col("embedding")).alias("q"))
+    return corpus.table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(vectors.quantise(F.col("embedding")).cast("array<string>"), ",").alias("q"))
 
 
 @query("R7_bits", """WITH s AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings)
@@ -565,10 +565,10 @@ def fn_json(spark, sf_dir):
     return corpus.table(spark, sf_dir, "events").select("event_id", F.coalesce(registry.tolerant_json(raw, "id long")["id"], F.lit(-1).cast("long")).alias("id"))
 
 
-@query("fn_meta_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ['x.' || event_type] ELSE []::VARCHAR[] END AS unknown FROM events")
+@query("fn_meta_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'x.' || event_type ELSE '' END AS unknown FROM events")
 def fn_meta(spark, sf_dir):
     other = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("x."), F.col("event_type"))).otherwise("msg.sender")
-    return corpus.table(spark, sf_dir, "events").select("event_id", registry.unknown_meta_keys(F.create_map(F.lit("dc.title"), F.lit("t"), other, F.lit("v"))).alias("unknown"))
+    return corpus.table(spark, sf_dir, "events").select("event_id", F.array_join(registry.unknown_meta_keys(F.create_map(F.lit("dc.title"), F.lit("t"), other, F.lit("v"))), ",").alias("unknown"))
 
 
 @query("fn_snippet")
