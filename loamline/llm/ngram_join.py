@@ -39,7 +39,7 @@ SKETCH_PARTS = 64
 MAX_MATCH = 4
 VERIFY_COST = 0.05
 #: Pivot rounds before lists are joined with themselves.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -139,7 +139,7 @@ def signatures(texts: DataFrame, words: int, percent: int, seed: int, sketch: np
 
 
 def whole_sets(texts: DataFrame, words: int, seed: int, wanted: DataFrame) -> DataFrame:
-    """rid, grams for each rid of wanted (rid, low). Bloom filters of ids and of rids spare most other rows work and shuffle; the join decides."""
+    """rid, grams and wanted's further columns for each rid of wanted (rid, low). Bloom filters of ids and of rids spare most other rows work and shuffle; the join decides."""
     named = bloom(wanted.select(F.conv(F.hex(F.substring("rid", 1, 8)), 16, -10).cast("long").alias("x")))
     ids = bloom(wanted.select(F.coalesce(F.xxhash64("low"), F.lit(0)).alias("x")))
 
@@ -160,7 +160,7 @@ def whole_sets(texts: DataFrame, words: int, seed: int, wanted: DataFrame) -> Da
                     yield pa.RecordBatch.from_arrays([rids.take(pa.array(rows)), arrays.long_lists(grams[inside], n[rows])], ["rid", "grams"])
 
     found = texts.select("text", F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("id")).mapInArrow(emit, "rid binary, grams array<bigint>")
-    return found.join(wanted, "rid", "left_semi").groupBy("rid").agg(F.first("grams").alias("grams"))
+    return found.groupBy("rid").agg(F.first("grams").alias("grams")).join(wanted.drop("low"), "rid")
 
 
 def _named(owner: np.ndarray, grams: np.ndarray, rows: int):
@@ -178,14 +178,16 @@ def _named(owner: np.ndarray, grams: np.ndarray, rows: int):
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int, scratch: Scratch) -> DataFrame:
     """The pairs (rid, other, ...) whose whole sets are similar enough. The side with hot members joins while rows are narrow."""
-    both = pairs.select("rid", "low").unionByName(pairs.select(F.col("other").alias("rid"), F.col("low2").alias("low"))).distinct()
+    side = lambda r, low, a: pairs.select(F.col(r).alias("rid"), F.col(low).alias("low"), F.lit(a).alias("one"), F.lit(not a).alias("two"))
+    both = side("rid", "low", True).unionByName(side("other", "low2", False)).groupBy("rid").agg(F.min("low").alias("low"), F.max("one").alias("one"), F.max("two").alias("two"))
+    both = scratch.cut(both)
     sets = scratch.cut(whole_sets(texts, words, seed, both))
     scratch.drop()
-    one = pairs.join(sets.select(F.col("rid").alias("other"), F.struct("grams").alias("b")), "other")
-    two = one.join(sets.select("rid", F.struct("grams").alias("a")), "rid")
+    one = pairs.join(sets.filter("two").select(F.col("rid").alias("other"), F.struct("grams").alias("b")), "other")
+    two = one.join(sets.filter("one").select("rid", F.struct("grams").alias("a")), "rid")
     shared = F.size(F.array_intersect("a.grams", "b.grams"))
     out = scratch.cut(two.filter(100 * shared >= percent * (F.size("a.grams") + F.size("b.grams") - shared)).drop("a", "b"))
-    scratch.drop(sets)
+    scratch.drop(sets, both)
     return out
 
 
@@ -216,6 +218,25 @@ def _postings(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
     return firsts.select(*names, "prefix").mapInArrow(run, f"rid binary, low {kind}, n long, need int, rest long, token long, own int, all int")
 
 
+def _matched(pairs: DataFrame, firsts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose prefixes share as many n-grams as similar sets of their sizes have to: the multi-match filter, counted on whole prefixes."""
+    both = pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct()
+    shared = bloom(both.select(F.conv(F.hex(F.substring("rid", 1, 8)), 16, -10).cast("long").alias("x")))
+
+    def pick(batches):
+        for batch in batches:
+            heads = np.array([int.from_bytes(x[:8], "big") for x in batch.column(0).to_pylist()], arrays.U64)
+            yield batch.filter(pa.array(arrays.in_bloom(shared.value, heads)))
+
+    some = scratch.cut(firsts.select("rid", "n", "need", "prefix").mapInArrow(pick, "rid binary, n long, need int, prefix array<bigint>"))
+    one = pairs.join(some.select(F.col("rid").alias("other"), F.struct("n", "need", "prefix").alias("b")), "other")
+    two = one.join(some.select("rid", F.struct("n", "need", "prefix").alias("a")), "rid")
+    rest = lambda x: F.col(f"{x}.n") - F.size(f"{x}.prefix")
+    overlap = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent) - 1e-9)
+    least = F.greatest(F.least("a.need", "b.need"), overlap - F.greatest(rest("a"), rest("b")))
+    return two.filter(F.size(F.array_intersect("a.prefix", "b.prefix")) >= least).drop("a", "b")
+
+
 def _least_shared(percent: int):
     """The fewest prefix n-grams that a set of size n shares with any partner of a size from least to most.
 
@@ -232,8 +253,8 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     with Scratch(texts.sparkSession) as scratch:
         signed = scratch.cut(signatures(texts, words, percent, seed, rarity_sketch(texts, words, seed)))
-        groups = cut(_groups(signed, texts, words, percent, seed, scratch))
-        return cut(signed.select("doc_id", "rid", "n")), groups
+        rows = cut(signed.select("doc_id", "rid", "n"))
+        return rows, cut(_groups(signed, texts, words, percent, seed, scratch))
 
 
 def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed: int, scratch: Scratch) -> DataFrame:
@@ -241,6 +262,7 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     cut = scratch.cut
     some = signed.filter("rid is not null")
     firsts = cut(some.groupBy("rid").agg(F.min("doc_id").alias("low"), F.first(F.struct("n", "need", "prefix")).alias("set")).select("rid", "low", "set.*"))
+    scratch.drop(signed)
 
     # What other classes' sizes a list holds bounds how many n-grams a partner from it has to share.
     sizes = firsts.select(F.explode("prefix").alias("token"), F.col("n").cast("int").alias("n")).groupBy("token").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
@@ -284,6 +306,7 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     lists = cut(lists.join(cut(mixed), "token", "left_semi"))
     pairs = lists.join(lists.select("token", *partner), "token").filter((F.col("root") < F.col("far")) & fits & ahead).select("rid", "root", "low", "other", "far", "low2").distinct()
     pairs = cut(pairs.join(tried, ["rid", "other"], "left_anti").select("rid", "root", "low", "other", "far", "low2"))
+    pairs = cut(_matched(pairs, firsts, percent, scratch))
     linked = verified(pairs, texts, words, percent, seed, scratch)
     links = links.unionByName(linked.select(links.columns))
     roots = _merged(roots, linked, scratch)
