@@ -191,12 +191,12 @@ def cite(rows: DataFrame, chunks: DataFrame, snippet: int = 400) -> DataFrame:
 
 
 def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, filters: Filters | None = None, leg_k: int = LEG_K, top_n: int = TOP_N, offset: int = 0, encoding: str = "f32", snippet: int = 400) -> DataFrame:
-    """Fused search over chunk rows with text, and embedding if query_vector is given. Blank queries are an error."""
+    """Fused search over chunk rows with text, and embedding if query_vector is given; chunks whose embedding is null are in the BM25 leg only. Blank queries are an error."""
     if not query.strip():
         raise RetrievalError("invalid_request", "the query is blank")
     top_n = clamp_limit(top_n)
     words = leg(bm25_scores(chunks, query), leg_k, filters)
-    dense = leg(dense_scores(chunks, query_vector, encoding), leg_k, filters) if query_vector is not None else words.filter(F.lit(False))
+    dense = leg(dense_scores(chunks.filter("embedding IS NOT NULL"), query_vector, encoding), leg_k, filters) if query_vector is not None else words.filter(F.lit(False))
     return cite(rerank(page(rrf(dense, words), offset, top_n)), chunks, snippet)
 
 

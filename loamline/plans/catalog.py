@@ -448,20 +448,30 @@ def r16(spark, sf_dir):
     return _rounded(corpus.table(spark, sf_dir, "documents").select("doc_id", retrieval.matched_fraction(F.col("text"), F.lit("the zu Qué")).alias("score")), "score")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search over documents with embeddings by id: both legs, fused, cited."""
+def flagship(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFrame:
+    """Search over all documents: both legs, fused, cited. Vectors are joined by id; embedded leaves out documents without one."""
     vec = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    chunks = corpus.chunks(spark, sf_dir).join(vec, "doc_id")
+    chunks = corpus.chunks(spark, sf_dir).join(vec, "doc_id", "inner" if embedded else "left")
     return retrieval.search(chunks, QUERY, _query_vector(spark, sf_dir))
 
 
+def _fused_rows(found: DataFrame) -> DataFrame:
+    return _rounded(found.select(F.col("position").cast("long").alias("position"), "store_id", "chunk_id", F.col("scores.fused").alias("fused"), "total"), "fused")
 
 
 @query("search_fused", f"""WITH {bm25_sql(['the', 'and', 'of'], True)}, {leg_sql('bm', 'w')}, {VEC}, j AS (SELECT ch.store_id, ch.chunk_id, vec.v FROM ch JOIN vec ON lpad(ch.doc_id::VARCHAR, 8, '0') = vec.chunk_id),
  cj AS (SELECT store_id, chunk_id, 1 - (1 - list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))) / 2 AS score FROM j, q), {leg_sql('cj', 'a')}, {rrf_sql('a', 'w')}, p AS (SELECT *, row_number() OVER (ORDER BY fused DESC, store_id, chunk_id) AS position, count(*) OVER () AS total FROM fused)
 SELECT position, store_id, chunk_id, round(fused, 6) AS fused, total FROM p WHERE position <= 10""")
 def search_fused(spark, sf_dir):
-    return _rounded(flagship(spark, sf_dir).select(F.col("position").cast("long").alias("position"), "store_id", "chunk_id", F.col("scores.fused").alias("fused"), "total"), "fused")
+    """Its SQL is over documents with a vector only; search_fused_all is over all of them."""
+    return _fused_rows(flagship(spark, sf_dir, embedded=True))
+
+
+@query("search_fused_all", f"""WITH {bm25_sql(['the', 'and', 'of'])}, {leg_sql('bm', 'w')}, {VEC}, j AS (SELECT ch.store_id, ch.chunk_id, vec.v FROM ch JOIN vec ON lpad(ch.doc_id::VARCHAR, 8, '0') = vec.chunk_id),
+ cj AS (SELECT store_id, chunk_id, 1 - (1 - list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))) / 2 AS score FROM j, q), {leg_sql('cj', 'a')}, {rrf_sql('a', 'w')}, p AS (SELECT *, row_number() OVER (ORDER BY fused DESC, store_id, chunk_id) AS position, count(*) OVER () AS total FROM fused)
+SELECT position, store_id, chunk_id, round(fused, 6) AS fused, total FROM p WHERE position <= 10""")
+def search_fused_all(spark, sf_dir):
+    return _fused_rows(flagship(spark, sf_dir))
 
 
 # --- reading ---------------------------------------------------------------------------------------------------------
