@@ -72,8 +72,8 @@ class Segmenter:
         return tuple(reversed(words))
 
     def words(self, host: str, path: str) -> list[str]:
-        """Segmented words; those of the host are told apart from those of the path."""
-        return [kind + w for kind, text in (("h:", host), ("p:", path)) for piece in re.findall("[a-z]+", text.lower()) for w in self.split(piece[:200])]
+        """Segmented words; those of the host are told apart from those of the path. Long runs of letters are segmented whole too, but not remembered."""
+        return [kind + w for kind, text in (("h:", host), ("p:", path)) for piece in re.findall("[a-z]+", text.lower()) for w in (self.split if len(piece) <= 200 else self._split)(piece)]
 
 
 def unigrams(pages: DataFrame, html_col: str = "html", words: int = MODEL_WORDS) -> dict[str, int]:
