@@ -1,5 +1,11 @@
 """URL words that a prefix or a bounded model would leave out."""
 
+import re
+from collections import Counter
+from math import log
+
+import pytest
+
 from loamline.llm import url_filter
 
 
@@ -12,3 +18,36 @@ def test_verdict_follows_words_after_200_letters(spark):
     urls = ["http://a.example.net/" + "news" * 60 + "casinopoker", "http://a.example.net/news"]
     pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()} == {0: "block", 1: "allow"}
+
+
+def plain(urls, titles):
+    """Scores by all words, without Spark."""
+    counts = Counter(w for t in titles for w in re.findall("[a-z]{2,20}", t))
+    for w in (*url_filter.BLOCK_SEEDS, *url_filter.COMMON_SEEDS):
+        counts[w] += url_filter.SEED_COUNT
+    model = url_filter.Segmenter(dict(counts))
+    words = [model.words(*re.fullmatch("http://([^/]*)(.*)", u).groups()) for u in urls]
+    bad = [any(w[2:] in url_filter.BLOCK_SEEDS for w in own) for own in words]
+    of = {k: Counter(w for own, b in zip(words, bad, strict=True) if b == k for w in own) for k in (True, False)}
+    size = len({*of[True], *of[False]}) + 1
+    sums = {k: of[k].total() + size for k in of}
+    prior = log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
+    return [prior + sum(log((of[True][w] + 1) / sums[True]) - log((of[False][w] + 1) / sums[False]) for w in own) for own in words]
+
+
+@pytest.mark.parametrize("words", [1, 7, 50_000])
+def test_rare_words_count_beyond_the_broadcast_ones(spark, words):
+    names = ["amber", "birch", "cobalt", "dahlia", "ember", "fjord", "garnet", "hazel"]
+    urls = [f"http://{a}{b}.example.net/{b}{'casino' if i < 2 else 'news'}{'/' + a + b * (i == 5)}" for i, a in enumerate(names) for b in names]
+    titles = [f"{w} {names[k % 3]}" for k, w in enumerate(names * 8)]
+    pages = spark.createDataFrame([(k, u, f"<title>{t}</title>") for k, (u, t) in enumerate(zip(urls, titles, strict=True))], "page_id long, url string, html string")
+    want = plain(urls, titles)
+    got = {r["page_id"]: r["score"] for r in url_filter.judge(pages.union(pages.filter("false")).repartition(3), words=words).collect()}
+    assert len(got) == len(urls) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_number_of_broadcast_words_changes_no_row(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(500)
+    pages = pages.unionByName(pages.limit(20))
+    rows = [sorted(map(repr, url_filter.judge(pages, words=n).collect())) for n in (5, 50_000)]
+    assert rows[0] == rows[1] and len(rows[0]) == pages.count()
