@@ -266,6 +266,12 @@ def x20(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(F.substring("text", 1, 200)), "|").alias("keywords"))
 
 
+@query("X20_keywords_whole", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM documents")
+def x20_whole(spark, sf_dir):
+    """X20_keywords, as its SQL, takes 200 characters of each text."""
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), "|").alias("keywords"))
+
+
 @query("X21_page_ranges", """WITH p AS (SELECT DISTINCT user_id AS k, event_id % 40 AS page FROM events), i AS (SELECT k, page, page - row_number() OVER (PARTITION BY k ORDER BY page) AS g FROM p),
   s AS (SELECT k, min(page) AS a, max(page) AS b FROM i GROUP BY k, g) SELECT k, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM s GROUP BY k""")
 def x21(spark, sf_dir):
@@ -544,6 +550,13 @@ def fn_display(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", text.display_uri(raw).alias("shown"))
 
 
+@query("fn_display_uri_whole", "SELECT doc_id, 'https://e.example/' || regexp_replace(text, '\\pC', chr(65533), 'g') || '+x' AS shown FROM documents")
+def fn_display_whole(spark, sf_dir):
+    """fn_display_uri, as its SQL, takes 30 characters of each text."""
+    raw = F.concat(F.lit("https://e.example/"), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+x"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", text.display_uri(raw).alias("shown"))
+
+
 @query("fn_rfc3339", "SELECT event_id, strftime(make_timestamp((1700000000 + event_id * 977) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
 def fn_rfc(spark, sf_dir):
     return corpus.table(spark, sf_dir, "events").select("event_id", text.rfc3339(F.lit(1700000000) + F.col("event_id") * 977).alias("at"))

@@ -1,6 +1,7 @@
 """Queries over the whole of their input, where the ones of older SQL take a part of it."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -27,3 +28,13 @@ def test_flagship_searches_all_documents(spark):
     hits = catalog.flagship(spark, SF).select("store_id", "chunk_id", F.col("scores.bm25").alias("bm25"), F.regexp_extract("provenance.uri", "[0-9]+$", 0).cast("long").alias("id")).collect()
     assert any(h["id"] not in held for h in hits)
     assert all(math.isclose(h["bm25"], want[h["store_id"], h["chunk_id"]], rel_tol=1e-9) for h in hits if h["bm25"] is not None)
+
+
+def test_keywords_and_uris_of_whole_texts(spark):
+    texts = {r["doc_id"]: r["text"] for r in corpus.table(spark, SF, "documents").select("doc_id", "text").collect()}
+    words = {r["doc_id"]: r["keywords"] for r in catalog.queries()["X20_keywords_whole"](spark, SF).collect()}
+    assert len(words) == len(texts) and any(len(t) > 200 for t in texts.values())
+    # Of ASCII texts only, where Python and Spark agree on blanks.
+    assert all(words[k] == "|".join(w for w in (x.strip(" ") for x in re.split("[,;]", t)) if w) for k, t in texts.items() if t and t.isascii() and not re.search(r"[\t\n\r\x0b\x0c\x1c-\x1f]", t))
+    shown = {r["doc_id"]: r["shown"] for r in catalog.queries()["fn_display_uri_whole"](spark, SF).collect()}
+    assert all(shown[k] == f"https://e.example/{t}+x" for k, t in texts.items() if t and t.isascii() and t.isprintable())
