@@ -149,6 +149,16 @@ def s18(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", ip.alias("ip")).filter("ip <> ''").withColumn("routable", web.globally_routable(F.col("ip")))
 
 
+@query("S18_globally_routable_all", """WITH ips AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) AS ip FROM documents), o AS (
+  SELECT doc_id, ip, list_transform(string_split(ip, '.'), lambda x: x::BIGINT) AS k FROM ips), n AS (SELECT doc_id, ip, list_max(k) <= 255 AS valid, k[1] * 16777216 + k[2] * 65536 + k[3] * 256 + k[4] AS v FROM o)
+SELECT doc_id, ip, valid AND NOT (v // 16777216 IN (0, 10, 127) OR v // 16777216 >= 224 OR v // 65536 IN (43518, 49320) OR v // 1048576 = 2753 OR v // 4194304 = 401 OR v // 131072 = 25353
+  OR v // 256 IN (12582912, 12582914, 12605539, 12989284, 13303921)) AS routable FROM n""")
+def s18_all(spark, sf_dir):
+    """A row for each address; S18_globally_routable, as its SQL, judges the first one of a text."""
+    ips = F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), F.lit(0))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.explode(ips).alias("ip")).withColumn("routable", web.globally_routable(F.col("ip")))
+
+
 # Feed entries made of events: a user's feed, whose entries repeat a URI now and then.
 _ENTRIES = "e AS (SELECT 'feed://' || (user_id % 20) AS feed, 'https://e.example/' || (event_id // 3) AS uri, event_id AS ordinal, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS published, CASE WHEN event_id % 14 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS updated, event_type AS title FROM events)"
 

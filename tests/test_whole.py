@@ -38,3 +38,14 @@ def test_keywords_and_uris_of_whole_texts(spark):
     assert all(words[k] == "|".join(w for w in (x.strip(" ") for x in re.split("[,;]", t)) if w) for k, t in texts.items() if t and t.isascii() and not re.search(r"[\t\n\r\x0b\x0c\x1c-\x1f]", t))
     shown = {r["doc_id"]: r["shown"] for r in catalog.queries()["fn_display_uri_whole"](spark, SF).collect()}
     assert all(shown[k] == f"https://e.example/{t}+x" for k, t in texts.items() if t and t.isascii() and t.isprintable())
+
+
+def test_every_address_is_judged(spark, tmp_path):
+    texts = {0: "10.0.0.1 then 8.8.8.8 then 300.1.1.1 and 8.8.8.8", 1: "none", 2: None, 3: "1.1.1.1"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["S18_globally_routable_all"](spark, str(tmp_path)).select("doc_id", "ip", "routable").collect()))
+    assert got == [(0, "10.0.0.1", False), (0, "300.1.1.1", False), (0, "8.8.8.8", True), (0, "8.8.8.8", True), (3, "1.1.1.1", True)]
+    # One row for each address of the tables, not one for each document.
+    pattern = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+    hits = sum(len(re.findall(pattern, r["text"] or "")) for r in corpus.table(spark, SF, "documents").select("text").collect())
+    assert catalog.queries()["S18_globally_routable_all"](spark, SF).count() == hits > catalog.queries()["S18_globally_routable"](spark, SF).count()
