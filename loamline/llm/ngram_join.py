@@ -249,7 +249,7 @@ def _least_shared(percent: int):
 
 
 def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): rows has doc_id, rid, n; groups has rid, n, component (smallest doc_id) and links (how many other classes were verified as linked directly)."""
+    """(rows, groups): rows has doc_id, rid, n; groups has rid, n, component (smallest doc_id) and verified_links (pairs with other classes that were verified and hold; they span the component, link_counts() has all links)."""
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     with Scratch(texts.sparkSession) as scratch:
         signed = scratch.cut(signatures(texts, words, percent, seed, rarity_sketch(texts, words, seed)))
@@ -257,8 +257,8 @@ def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed:
         return rows, cut(_groups(signed, texts, words, percent, seed, scratch))
 
 
-def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed: int, scratch: Scratch) -> DataFrame:
-    """rid, n, component and links of classes()."""
+def _lists(signed: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(firsts, live): a row for each class, and its prefix n-grams that may meet those of another class. Drops signed."""
     cut = scratch.cut
     some = signed.filter("rid is not null")
     firsts = cut(some.groupBy("rid").agg(F.min("doc_id").alias("low"), F.first(F.struct("n", "need", "prefix")).alias("set")).select("rid", "low", "set.*"))
@@ -269,6 +269,11 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     sizes = cut(sizes.filter((F.col("members") > 1) & ((F.col("members") > 2) | (100 * F.col("least") >= percent * F.col("most")))).select("token", "least", "most"))
     live = cut(_postings(firsts, sizes).join(sizes, "token").filter(F.col("own") >= _least_shared(percent)).drop("least", "most"))
     scratch.drop(sizes)
+    return firsts, live
+
+
+def _pairing(percent: int):
+    """Whether sizes fit, whether enough n-grams are to come, and the columns of a partner."""
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     # An overlap large enough leaves at least this many n-grams outside the rests beyond both prefixes.
     overlap = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
@@ -276,6 +281,14 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     # A pair that shares enough n-grams has the first of them where both still have enough to come.
     ahead = F.least("own", "own2") >= enough
     partner = [F.col("rid").alias("other"), *(F.col(a).alias(b) for a, b in (("n", "m"), ("need", "need2"), ("rest", "rest2"), ("root", "far"), ("low", "low2"), ("own", "own2"), ("all", "all2")))]
+    return fits, ahead, partner
+
+
+def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed: int, scratch: Scratch) -> DataFrame:
+    """rid, n, component and verified_links of classes()."""
+    cut = scratch.cut
+    firsts, live = _lists(signed, percent, scratch)
+    fits, ahead, partner = _pairing(percent)
 
     roots, tried, links = live.select("rid", F.col("rid").alias("root")).distinct(), None, None
     for k in range(PIVOT_ROUNDS):
@@ -314,8 +327,8 @@ def _groups(signed: DataFrame, texts: DataFrame, words: int, percent: int, seed:
     named = firsts.select("rid", "n", "low").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     # Written first, so that the join deals both sides anew and Spark can split a very large component.
     low = cut(named.groupBy("root").agg(F.min("low").alias("component")))
-    ends = links.select("rid").unionByName(links.select(F.col("other").alias("rid"))).groupBy("rid").agg(F.count("*").alias("links"))
-    groups = named.join(low, "root").join(ends, "rid", "left").select("rid", "n", "component", F.coalesce("links", F.lit(0)).alias("links"))
+    ends = links.select("rid").unionByName(links.select(F.col("other").alias("rid"))).groupBy("rid").agg(F.count("*").alias("verified_links"))
+    groups = named.join(low, "root").join(ends, "rid", "left").select("rid", "n", "component", F.coalesce("verified_links", F.lit(0)).alias("verified_links"))
     return groups
 
 
@@ -331,6 +344,25 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def link_counts(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", seed: int = 20) -> DataFrame:
+    """doc_id and links for each row: how many other rows are similar enough, each pair verified, so a group of n different near copies costs n² verifications."""
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    with Scratch(texts.sparkSession) as scratch:
+        signed = scratch.cut(signatures(texts, words, percent, seed, rarity_sketch(texts, words, seed)))
+        rows = cut(signed.select("doc_id", "rid"))
+        members = scratch.cut(signed.filter("rid is not null").groupBy("rid").agg(F.count("*").alias("members")))
+        firsts, live = _lists(signed, percent, scratch)
+        fits, ahead, partner = _pairing(percent)
+        lists = scratch.cut(live.withColumn("root", F.col("rid")))
+        pairs = lists.join(lists.select("token", *partner), "token").filter((F.col("rid") < F.col("other")) & fits & ahead).select("rid", "root", "low", "other", "far", "low2").distinct()
+        pairs = scratch.cut(_matched(scratch.cut(pairs), firsts, percent, scratch))
+        linked = verified(pairs, texts, words, percent, seed, scratch).select("rid", "other")
+        ends = linked.unionByName(linked.select(F.col("other").alias("rid"), F.col("rid").alias("other")))
+        near = ends.join(members.select(F.col("rid").alias("other"), "members"), "other").groupBy("rid").agg(F.sum("members").alias("near"))
+        counts = cut(members.join(near, "rid", "left").select("rid", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("links")))
+    return rows.join(counts, "rid", "left").select("doc_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without near duplicates: of each component, the row with its smallest id stays.
 
