@@ -118,7 +118,7 @@ def pair_bytes(high: np.ndarray, low: np.ndarray) -> pa.Array:
 
 def in_bloom(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes (uint64) may be among those of common.bloom()."""
-    found = np.ones(len(hashes), bool)
-    for spot in ((hashes >> U64(39)).astype(np.int64), ((hashes >> U64(12)) & U64(0x1FFFFFF)).astype(np.int64)):
+    found, bits = np.ones(len(hashes), bool), len(words) * 64
+    for spot in ((hashes >> U64(65 - bits.bit_length())).astype(np.int64), ((hashes >> U64(12)) & U64(bits - 1)).astype(np.int64)):
         found &= (words[spot >> 6] >> (spot & 63)) & 1 == 1
     return found

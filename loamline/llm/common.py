@@ -15,6 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that separate the words of documents: a space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: A Bloom filter has this many bits for each key, up to 2^MAX_BITS (32 MB) and no fewer than 2^MIN_BITS.
+BITS_EACH, MIN_BITS, MAX_BITS = 16, 20, 28
+_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +45,29 @@ def blank_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset and the master is local (tests).
+
+    All of an application's folders are in one, which goes when its driver ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         base = tempfile.mkdtemp(prefix="loamline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loamline-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/loamline-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        at, fs = _path(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -80,8 +102,8 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = _path(self.spark, path)
+        fs.delete(at, True)
 
     def __exit__(self, *_) -> None:
         for _, path in self.held.values():
@@ -89,21 +111,25 @@ class Scratch:
         self.held.clear()
 
 
-def small(frame: DataFrame, rows: int = 500_000) -> DataFrame:
-    """The table, cut, and marked for broadcast if it has at most so many rows (of a few bytes each); otherwise joins shuffle."""
+def small(frame: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, cut, and marked for broadcast if its values take at most so many bytes; otherwise joins shuffle."""
     out = cut(frame)
-    return F.broadcast(out) if out.count() <= rows else out
+    wide = [f.name for f in out.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in wide), F.lit(16 * len(out.columns)))
+    return F.broadcast(out) if (out.agg(F.sum(size)).first()[0] or 0) <= most else out
 
 
 def bloom(hashes: DataFrame):
-    """A broadcast Bloom filter (see arrays.in_bloom) of a column x of 64-bit hashes: 2^25 bits however many there are.
+    """A broadcast Bloom filter (see arrays.in_bloom) of a column x of 64-bit hashes.
 
-    Two spots of 25 bits each are set for each hash. Rows that pass by chance are for a later join to drop.
+    Its size follows their number: two of 16 bits for each, so about one other key in 70 passes. It ends at 2^28 bits: of others, 0.28 pass at
+    10^8 keys and nearly all from 10^9 on. Rows that pass by chance are for a later join to drop, so results never depend on it.
     """
     import numpy as np
 
-    spots = hashes.select(F.explode(F.array(F.expr("cast(shiftrightunsigned(x, 39) as int)"), F.expr("cast(shiftrightunsigned(x, 12) & 33554431 as int)"))).alias("spot"))
+    power = min(MAX_BITS, max(MIN_BITS, (BITS_EACH * hashes.count()).bit_length()))
+    spots = hashes.select(F.explode(F.array(F.expr(f"cast(shiftrightunsigned(x, {64 - power}) as int)"), F.expr(f"cast(shiftrightunsigned(x, 12) & {(1 << power) - 1} as int)"))).alias("spot"))
     masks = spots.groupBy(F.expr("spot div 64").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, spot % 64))").alias("mask")).toArrow()
-    words = np.zeros((1 << 25) // 64, np.int64)
+    words = np.zeros((1 << power) // 64, np.int64)
     words[masks.column("word").to_numpy()] = masks.column("mask").to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(words)

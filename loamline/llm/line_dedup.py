@@ -1,13 +1,19 @@
-"""Substring dedup by hashing lines.
+"""Substring dedup by hashing lines and passages.
 
-A line's normal form is its words, split at blanks, with A-Z lower-cased. Lines of at least MIN_WORDS words
-are grouped over all rows by a 128-bit digest of that form; the earliest occurrence, by row id, then by
-place in the row, stays, and all others go, each with its line break. The ranges removed are bytes of the original text.
+A unit's normal form is its words, split at blanks, with A-Z lower-cased. Units are the lines of at least MIN_WORDS words and the
+passages of a row (see passages): windows of 25 words at places that their own words choose, so that a repeated text of
+50 words is found wherever it begins, in the middle of a line, too. Units of a kind are grouped over all rows by a 128-bit digest of
+that form; the earliest occurrence, by row id, then by place in the row, stays, and all others go, a line with its
+break, a passage from its first word to its last. The ranges removed are bytes of the original text.
 
-The digests of lines travel, not their text; a digest's earliest occurrence is a minimum that combines before the
-shuffle, and texts travel only for rows that lose lines.
+Lines of fewer words stay, however often they occur, as do parts of a repeated text between its passages of under 25 words at its ends:
+short lines repeat by chance or by form. A passage that overlaps its own repeat (one word over and over) leaves its first word.
+Each word that goes has an earlier copy, and the earliest of all copies stays.
 
-Defined results: null and empty texts have no lines; rows with equal id and text count as one row, which
+The digests of units travel, not their text; a digest's first and last occurrence combine before the
+shuffle, and texts travel only for rows that lose bytes.
+
+Defined results: null and empty texts have no units; rows with equal id and text count as one row, which
 is kept or cut alike; null ids come first.
 """
 
@@ -18,33 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm import arrays, suffix_dedup
+from loamline.llm import arrays, passages, suffix_dedup
 from loamline.llm.common import Scratch, cut
+from loamline.session import ship
 
 #: Words from which a line is long enough for a repeat to be a copy rather than chance.
 MIN_WORDS = 10
-_SEEDS = (51, 52)
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def line_digests(data: np.ndarray, ends: np.ndarray, hashers: list[arrays.Hasher], min_words: int):
-    """row, first byte, byte after the last (with the line break) and two digests of each line that has enough words; bytes count from the row's start."""
-    low = _LOWER[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[np.flatnonzero(data == 10) + 1] = True
-    edge[ends] = True
-    cuts = np.flatnonzero(edge)
-    first, stop = cuts[:-1], cuts[1:]
-    row = np.searchsorted(ends, first, side="right") - 1
-    start, end, _ = arrays.word_bounds(~_BLANK[low], ends)
-    a, b = np.searchsorted(start, first), np.searchsorted(start, stop)
-    long_enough = np.flatnonzero(b - a >= min_words)
-    names = [h.runs(h.ranges(h.prefix(low), start, end), a[long_enough], b[long_enough]) for h in hashers]
-    row = row[long_enough]
-    return row, first[long_enough] - ends[row], stop[long_enough] - ends[row], *names
 
 
 def _keys(batch: pa.RecordBatch) -> list[bytes]:
@@ -53,38 +38,23 @@ def _keys(batch: pa.RecordBatch) -> list[bytes]:
     return [hashlib.blake2b(raw[a:b], digest_size=16, key=repr(i).encode()[:64]).digest() for i, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _lines(texts: DataFrame, min_words: int) -> DataFrame:
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def emit(batches):
-        hashers = [arrays.Hasher(x) for x in _SEEDS]
-        for batch in batches:
-            keys = pa.array(_keys(batch), pa.binary())
-            for low, high, data, ends in arrays.chunks(batch.column(1)):
-                row, first, stop, one, two = line_digests(data, ends, hashers, min_words)
-                at = pa.array(row + low)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), keys.take(at), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["doc_id", "row", "low", "high", "one", "two"],
-                )
-
-    return texts.mapInArrow(emit, f"doc_id {kind}, row binary, low int, high int, one long, two long")
-
-
 def remove_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, removed (array<struct<low,high>> of the original text's bytes; one for each run of lines), kept (bytes; null if nothing is removed) and kept_sha256."""
+    """doc_id, n_bytes, removed (array<struct<low,high>> of the original text's bytes; one for each run of units), kept (bytes; null if nothing is removed),
+    kept_sha256 and n_passages (the row's passages that occur elsewhere, the earliest occurrence included)."""
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    with Scratch(texts.sparkSession) as scratch:
-        lines = scratch.cut(_lines(texts, min_words))
-        first = lines.groupBy("one", "two").agg(F.min(F.struct("doc_id", "row", "low")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("one", "two", "first")
-        # Written first, so that the join deals both sides anew and Spark can split a very frequent line.
+    with Scratch(ship(texts.sparkSession)) as scratch:
+        units = scratch.cut(passages.units(texts, min_words, _keys))
+        place = F.struct("doc_id", "row", "low")
+        first = units.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("one", "two", "first")
+        # Written first, so that the join deals both sides anew and Spark can split a very frequent unit.
         first = scratch.cut(first)
-        later = lines.join(first, ["one", "two"]).filter((F.col("row") != F.col("first.row")) | (F.col("low") != F.col("first.low")))
-        ranges = cut(later.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("ranges")))
-    return suffix_dedup.strip(texts, ranges.select(F.col("row").alias("digest"), "ranges"), _keys)
+        met = units.join(first, ["one", "two"]).withColumn("gone", (F.col("row") != F.col("first.row")) | (F.col("low") != F.col("first.low")))
+        found = met.groupBy("row").agg(F.collect_set(F.when(F.col("gone"), F.struct("low", "high"))).alias("ranges"), F.size(F.collect_set(F.when(F.col("passage"), F.col("low")))).cast("long").alias("n_passages"))
+        found = cut(found)
+    return suffix_dedup.strip(texts, found.withColumnRenamed("row", "digest"), _keys, ["n_passages"])
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Byte counts, the removed ranges as start:end, comma-joined, and the digest of what stays."""
+    """Byte counts, the digest of what stays, the removed ranges as start:end, comma-joined, and n_passages."""
     spans = F.transform("removed", lambda x: F.concat_ws(":", x["low"].cast("string"), x["high"].cast("string")))
-    return suffix_dedup.digest(found.withColumn("spans", F.array_join(spans, ",")), "spans")
+    return suffix_dedup.digest(found.withColumn("spans", F.array_join(spans, ",")), "spans", "n_passages")

@@ -25,7 +25,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")), "n_passages")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,31 +56,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules, "pipeline": corpus_pipeline.run}
 
 
-#: Lines are told apart by their words, and occurrences of equal ones ranked by id and place.
-LINES_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, no, x AS line, no < len(parts) AS broken
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(parts) WITH ORDINALITY AS u(x, no)
-), placed AS (
-  SELECT doc_id, no, line || CASE WHEN broken THEN chr(10) ELSE '' END AS body,
+#: The passages of d(doc_id, text), as chosen places i of windows.
+PASSAGES_SQL = r"""tokens AS (
+  SELECT doc_id, j, x, sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY j) - 1 AS stop
+  FROM (SELECT doc_id, string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' ') AS parts FROM d), unnest(parts) WITH ORDINALITY AS u(x, j)
+), words AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, stop - strlen(x) AS a, stop AS b
+  FROM tokens WHERE x <> ''
+), named AS (
+  SELECT *, ('0x' || left(md5(word), 8))::BIGINT AS k FROM words
+), windows AS (
+  SELECT doc_id, i, a, lead(b, 24) OVER w AS b, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS words, (k + 3 * lead(k) OVER w) * 268435456 + i AS ranked
+  FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), chosen AS (
+  SELECT DISTINCT doc_id, least % 268435456 AS i
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, min(ranked) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING) AS least FROM windows WHERE b IS NOT NULL) WHERE i < greatest(n - 25, 1)
+)"""
+
+#: Lines and passages are told apart by their words, and occurrences of equal ones ranked by id and place; bytes as pairs of hexadecimal digits.
+LINES_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+placed AS (
+  SELECT doc_id, no, bytes, sum(bytes) OVER (PARTITION BY doc_id ORDER BY no) AS stop,
          regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\f\r]+') AS words
-  FROM lines
-), sized AS (
-  SELECT doc_id, no, body, strlen(body) AS bytes, sum(strlen(body)) OVER (PARTITION BY doc_id ORDER BY no) AS stop,
-         len(words) >= 10 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, no) > 1 AS gone
-  FROM placed
+  FROM (SELECT doc_id, no, x AS line, strlen(x) + (no < len(parts))::INT AS bytes FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d), unnest(parts) WITH ORDINALITY AS u(x, no))
+), @,
+units AS (
+  SELECT doc_id, stop - bytes AS a, stop AS b, words, false AS passage FROM placed WHERE len(words) >= 10
+  UNION ALL SELECT doc_id, a, b, words, true FROM windows JOIN chosen USING (doc_id, i)
+), told AS (
+  SELECT doc_id, a, b, passage, row_number() OVER (PARTITION BY passage, words ORDER BY doc_id, a) > 1 AS gone, count(*) OVER (PARTITION BY passage, words) > 1 AS again FROM units
+), opened AS (
+  SELECT doc_id, a, b, a > coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS opens FROM told WHERE gone
 ), runs AS (
-  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY no), false) AS opens FROM sized
-), numbered AS (
-  SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM runs
+  SELECT doc_id, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM opened) GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM runs
 ), spans AS (
-  SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, count(*) AS n_spans
-  FROM (SELECT doc_id, run, min(stop - bytes)::BIGINT AS a, max(stop)::BIGINT AS b FROM numbered WHERE gone GROUP BY doc_id, run) GROUP BY doc_id
+  SELECT cuts.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS spans,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN after IS NULL THEN substr(h, 2 * b + 1) ELSE '' END) AS kept
+  FROM cuts JOIN d ON cuts.doc_id = d.doc_id GROUP BY cuts.doc_id
+), shared AS (
+  SELECT doc_id, count(*) AS n_passages FROM told WHERE passage AND again GROUP BY doc_id
 )
-SELECT n.doc_id, sum(bytes)::BIGINT AS n_bytes, coalesce(sum(bytes) FILTER (WHERE gone), 0)::BIGINT AS n_removed, coalesce(any_value(s.n_spans), 0)::BIGINT AS n_spans,
-       sha256(coalesce(string_agg(body, '' ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256, coalesce(any_value(s.spans), '') AS spans
-FROM numbered n LEFT JOIN spans s USING (doc_id) GROUP BY n.doc_id
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_passages, 0)::BIGINT AS n_passages
+FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id LEFT JOIN shared ON shared.doc_id = d.doc_id
 """
+).replace("@", PASSAGES_SQL)
 
 
 #: Windows of eight words that a text holds twice or more give their words; the rules follow in any order.
@@ -135,16 +159,21 @@ SELECT doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(other) AS co
 ).replace("@", _LOWERED)
 
 #: Bytes as pairs of hexadecimal digits; a window is told by its digest.
-SUFFIX_SQL = r"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+SUFFIX_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+@,
+shared AS (SELECT doc_id, count(*) AS n_passages FROM (SELECT doc_id, count(*) OVER (PARTITION BY words) AS times FROM windows JOIN chosen USING (doc_id, i)) WHERE times > 1 GROUP BY doc_id),
 w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
 t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS times FROM w) WHERE times > 1),
 o AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) AS opens FROM t),
 r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM r),
 s AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN after IS NULL THEN substr(h, 2 * b + 1) ELSE '' END) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
-SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(n_passages, 0)::BIGINT AS n_passages
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN shared ON shared.doc_id = d.doc_id
 """
+).replace("@", PASSAGES_SQL)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ from LENGTH bytes on, the first one, too; repeated rows are copies.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm import arrays
+from loamline.llm import arrays, passages
 from loamline.llm.common import Scratch, bloom, cut
+from loamline.llm.passages import window_least
 from loamline.llm.suffixes import shared_windows
+from loamline.session import ship
 
 LENGTH = 400
 #: Bytes of an anchor; at most LENGTH. A longer one meets fewer strangers, but there are more of them.
@@ -39,17 +41,6 @@ TILE = 1 << 21
 _SEEDS = (71, 72)
 
 
-def _window_least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least value of each window, by running minima from both ends of blocks."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, arrays.U64)
-    padded[:n] = x
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-
-
 def segments(data: np.ndarray, ends: np.ndarray, length: int, anchor: int, hasher: arrays.Hasher) -> tuple[np.ndarray, ...]:
     """first start, last start, anchor position, row, anchor hash and segment hash of each segment, by position in data."""
     n, width = len(data), length - anchor + 1
@@ -58,7 +49,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, anchor: int, hashe
     prefix = hasher.prefix(data)
     grams = hasher.ranges(prefix, np.arange(n - anchor + 1), np.arange(anchor, n + 1))
     low = arrays.U64((1 << 24) - 1)
-    least = _window_least((grams & ~low) | np.arange(len(grams), dtype=arrays.U64), width)
+    least = window_least((grams & ~low) | np.arange(len(grams), dtype=arrays.U64), width)
     at = (least & low).astype(np.int64)  # of the window from each start
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(at)]
     inside = np.arange(len(at)) + length <= ends[row + 1]
@@ -211,7 +202,7 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, length: int = LENGTH, an
     spans = whole.unionByName(_compared(kinds.filter((F.col("of") > 1) & (F.col("of") <= hot)), length, anchor)).unionByName(_digested(kinds.filter(F.col("of") > hot), length))
     met = members.filter("size(anchors) > 0").select("digest", "fp", "cx", "anchors").join(spans, ["fp", "cx"])
     ranges = F.flatten(F.transform("anchors", lambda a: F.transform("spans", lambda s: F.struct((a - s["high"]).alias("low"), (a - s["low"] + length).alias("high")))))
-    return met.select("digest", ranges.alias("ranges")).groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_set("ranges"))).alias("ranges"))
+    return met.select("digest", ranges.alias("ranges")).groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -226,20 +217,22 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int | None = None, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, removed (array<struct<low,high>> of the text's bytes) and kept (the remaining bytes; null if nothing is removed) for each row."""
+    """doc_id, n_bytes, removed (array<struct<low,high>> of the text's bytes), kept (the remaining bytes; null if nothing is removed), kept_sha256 and
+    n_passages for each row: how many of its passages (see passages; 25 words, so often fewer than length bytes) occur elsewhere. Those are counted, not removed."""
     anchor = anchor or min(ANCHOR, length)
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    with Scratch(texts.sparkSession) as scratch:
-        ranges = cut(repeated_ranges(texts, scratch, length, anchor, hot))
-    return strip(texts, ranges, lambda batch: _digests(batch.column(1)))
+    with Scratch(ship(texts.sparkSession)) as scratch:
+        named = scratch.cut(passages.shared(texts, lambda batch: _digests(batch.column(1)), scratch))
+        ranges = cut(repeated_ranges(texts, scratch, length, anchor, hot).join(named, "digest", "full"))
+    return strip(texts, ranges, lambda batch: _digests(batch.column(1)), ["n_passages"])
 
 
-def strip(texts: DataFrame, ranges: DataFrame, keys) -> DataFrame:
-    """remove_repeats()'s columns for texts (doc_id, text) and ranges (digest, ranges), where keys gives the digests of a batch of texts.
+def strip(texts: DataFrame, ranges: DataFrame, keys, more: Sequence[str] = ()) -> DataFrame:
+    """remove_repeats()'s columns for texts (doc_id, text) and ranges (digest, ranges, and the counts named by more), where keys gives the digests of a batch of texts.
 
     Texts that lose nothing are finished where they are read; a Bloom filter tells which others have to meet their ranges.
     """
-    losing = bloom(ranges.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("x")))
+    losing = bloom(ranges.filter(F.size("ranges") > 0).select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("x")))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def mark(batches):
@@ -253,6 +246,7 @@ def strip(texts: DataFrame, ranges: DataFrame, keys) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.diff(ends)), text, pa.array(sha, pa.string())], ["doc_id", "digest", "n_bytes", "text", "sha"])
 
     marked = texts.mapInArrow(mark, f"doc_id {kind}, digest binary, n_bytes long, text string, sha string").join(ranges, "digest", "left")
+    names = ["doc_id", "n_bytes", "removed", "kept", "kept_sha256", *more]
 
     def strip(batches):
         spans_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
@@ -272,9 +266,12 @@ def strip(texts: DataFrame, ranges: DataFrame, keys) -> DataFrame:
                     kept.append(None)
                 removed.append([{"low": a, "high": b} for a, b in spans])
                 shas.append(sha)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, spans_type), pa.array(kept, pa.binary()), pa.array(shas, pa.string())], ["doc_id", "n_bytes", "removed", "kept", "kept_sha256"])
+            counts = [batch.column(5 + k) for k in range(len(more))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, spans_type), pa.array(kept, pa.binary()), pa.array(shas, pa.string()), *counts], names)
 
-    return marked.select("doc_id", "n_bytes", "text", "sha", "ranges").mapInArrow(strip, f"doc_id {kind}, n_bytes long, removed array<struct<low:bigint,high:bigint>>, kept binary, kept_sha256 string")
+    counted = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in more]
+    schema = f"doc_id {kind}, n_bytes long, removed array<struct<low:bigint,high:bigint>>, kept binary, kept_sha256 string" + "".join(f", {c} long" for c in more)
+    return marked.select("doc_id", "n_bytes", "text", "sha", "ranges", *counted).mapInArrow(strip, schema)
 
 
 def digest(found: DataFrame, *more: str) -> DataFrame:

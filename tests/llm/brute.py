@@ -101,3 +101,48 @@ def repeats(texts, length=400):
         spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
         out.append((len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))))
     return out
+
+
+def passages(text, words=25, group=26):
+    """(first byte, byte after the last, words) of each passage: of each group windows the one of least key, the first of equals."""
+    raw = (text or "").encode()
+    found = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]  # bytes.lower() is A-Z only
+    key = [int(hashlib.md5(w).hexdigest()[:8], 16) for _, _, w in found]
+    starts = range(len(found) - words + 1)
+    rank = [(key[i] + 3 * key[i + 1], i) for i in starts]
+    chosen = {min(rank[g : g + group])[1] for g in range(max(1, len(rank) - group + 1))} if rank else ()
+    return [(found[i][0], found[i + words - 1][1], tuple(w for _, _, w in found[i : i + words])) for i in sorted(chosen)]
+
+
+def units(text, min_words=10):
+    """(first byte, byte after the last, kind and words) of each line of enough words and of each passage."""
+    out, at, lines = [], 0, (text or "").encode().split(b"\n")
+    for k, line in enumerate(lines):
+        stop = at + len(line) + (k + 1 < len(lines))
+        words = tuple(re.findall(rb"[^\x20\x09-\x0d]+", line.lower()))
+        if len(words) >= min_words:
+            out.append((at, stop, ("line", words)))
+        at = stop
+    return out + [(a, b, ("passage", w)) for a, b, w in passages(text)]
+
+
+def unit_dedup(rows):
+    """For each (id, text): id, bytes, bytes removed, spans, digest of what stays, the spans and how many passages occur elsewhere."""
+    first, places = {}, defaultdict(set)
+    for key, text in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
+        for a, _, name in sorted(units(text)):
+            first.setdefault(name, (key, text, a))
+            places[name].add((key, text, a))
+    out = []
+    for key, text in rows:
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        own = units(text)
+        for a, b, name in own:
+            if first[name] != (key, text, a):
+                gone[a:b] = b"\1" * (b - a)
+        edges = [k for k in range(len(raw) + 1) if (k < len(raw) and gone[k]) != (k > 0 and bool(gone[k - 1]))]
+        spans = ",".join(f"{a}:{b}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+        shared = sum(1 for _, _, name in own if name[0] == "passage" and len(places[name]) > 1)
+        out.append((key, len(raw), sum(gone), len(edges) // 2, sha(bytes(c for c, g in zip(raw, gone, strict=True) if not g)), spans, shared))
+    return out

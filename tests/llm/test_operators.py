@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -188,29 +189,11 @@ def test_deep_shallow_sort():
         assert all(lcp[i] == suffixes.common_prefix(strings[order[i - 1]], strings[order[i]]) for i in range(1, len(order)))
 
 
-def line_brute(rows, min_words=10):
-    first, out = {}, []
-    cut = lambda t: t.split("\n")
-    form = lambda x: tuple(w for w in x.translate({c: c + 32 for c in range(65, 91)}).replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w)
-    for key, text in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
-        for k, line in enumerate(cut(text or "")):
-            if len(form(line)) >= min_words:
-                first.setdefault(form(line), (key, text, k))
-    for key, text in rows:
-        lines = cut(text or "")
-        keep = [len(form(x)) < min_words or first[form(x)] == (key, text, k) for k, x in enumerate(lines)]
-        raw = [(x + ("\n" if k + 1 < len(lines) else "")).encode() for k, x in enumerate(lines)]
-        kept = b"".join(x for x, good in zip(raw, keep, strict=True) if good)
-        total = sum(map(len, raw))
-        out.append((key, total, total - len(kept), sum(1 for k, good in enumerate(keep) if not good and (k == 0 or keep[k - 1])), hashlib.sha256(kept).hexdigest()))
-    return out
-
-
 def test_line_dedup(hard, small, empty):
     for docs in (hard.filter("doc_id is not null"), small):
         rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
         got = line_dedup.digest(line_dedup.remove_lines(docs))
-        assert sorted(repr(tuple(r)[:5]) for r in got.collect()) == sorted(map(repr, line_brute(rows)))
+        assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, brute.unit_dedup(rows)))
     assert line_dedup.remove_lines(empty).count() == 0 and line_dedup.remove_lines(hard).count() == hard.count()
 
 
@@ -341,3 +324,48 @@ def test_queries_agree_with_their_sql(spark):
 def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+
+
+def test_passages_inside_lines(spark):
+    """Fifty words that two texts share are found wherever they begin, by both substring operators; texts without any are left alone."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, shared = [], 60
+    for k in range(shared):
+        body = words(50)
+        rows += [(2 * k, " ".join(words(rng.randrange(90)) + body + words(rng.randrange(90)))), (2 * k + 1, " ".join(words(rng.randrange(90))) + " " + "\n".join(body).upper() + " " + " ".join(words(rng.randrange(90))))]
+    rows += [(1000 + k, " ".join(words(120))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = {r["doc_id"]: r for r in line_dedup.digest(line_dedup.remove_lines(docs)).collect()}
+    bytes_ = {r["doc_id"]: r for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs), "n_passages").collect()}
+    for k in range(shared):
+        assert lines[2 * k]["n_passages"] and lines[2 * k + 1]["n_passages"] and not lines[2 * k]["n_removed"] and lines[2 * k + 1]["n_removed"]
+        assert bytes_[2 * k]["n_passages"] == lines[2 * k]["n_passages"]
+    assert not any(x[k]["n_passages"] or x[k]["n_removed"] for x in (lines, bytes_) for k in range(1000, 1040))
+
+
+def test_suffix_dedup_counts_passages(hard, small):
+    for docs in (hard.filter("length(text) < 5000 or text is null"), small.filter("doc_id < 80")):
+        rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        times = Counter(w for _, t in rows for _, _, w in brute.passages(t))
+        got = suffix_dedup.remove_repeats(docs)
+        assert sorted(repr((r["doc_id"], r["n_passages"])) for r in got.collect()) == sorted(repr((d, sum(times[w] > 1 for _, _, w in brute.passages(t)))) for d, t in rows)
+
+
+def test_bloom_sizes(spark):
+    for n in (0, 1, 50_000, 400_000):
+        held = common.bloom(spark.range(n).selectExpr("xxhash64(id) as x")).value
+        inside = spark.range(n).selectExpr("xxhash64(id) as x").toPandas()["x"].to_numpy().view(np.uint64)
+        others = spark.range(1_000_000, 1_020_000).selectExpr("xxhash64(id) as x").toPandas()["x"].to_numpy().view(np.uint64)
+        assert arrays.in_bloom(held, inside).all() and arrays.in_bloom(held, others).mean() < 0.05 and len(held) * 64 >= 16 * n
+
+
+def test_shared_folder_is_asked_for():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
