@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,3 +30,9 @@ def ship(spark: SparkSession) -> SparkSession:
     if app not in _shipped:
         _shipped.add(app)
     return spark
+
+
+def shipped(frame: DataFrame) -> DataFrame:
+    """The table, once its session's executors have this package: for operators whose workers import it."""
+    ship(frame.sparkSession)
+    return frame
