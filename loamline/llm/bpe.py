@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.session import shipped
+
 #: The default vocabulary; its path is a parameter everywhere.
 VOCABULARY = "byte_bpe_50k.json"
 LONG_WORD = 200
@@ -154,7 +156,7 @@ def codec(path: str) -> Codec:
 def encode(documents: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of each row. The vocabulary's path must be readable on every executor."""
     path = path or default_path()
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = shipped(documents).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches):
         own = codec(path)
@@ -180,14 +182,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [own.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    rows = encoded.select("doc_id", "ids")
+    rows = shipped(encoded).select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def digest(documents: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, encoded and decoded in one pass so that ids don't leave the worker."""
     path = path or default_path()
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = shipped(documents).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches):
         own = codec(path)

@@ -36,6 +36,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("", F.when(doc_id.isNull(), "-").otherwise("+"), doc_id.cast("string"), F.lit(":"), text)))
 
 
+def unused(name: str, frame: DataFrame) -> str:
+    """name, with underscores added until no column of the table is called so."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def blank_words(text: Column) -> Column:
     """The maximal runs of characters other than blanks; an empty array for null."""
     return let(

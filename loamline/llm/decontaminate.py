@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import LOWER, UPPER, cut, let, row_key, small
+from loamline.llm.common import LOWER, UPPER, cut, let, row_key, small, unused
 
 WINDOW = 10
 #: Most windows that one broadcast holds; further ones go into further broadcasts.
@@ -105,8 +105,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that hold no window of an item."""
+    """The input rows that hold no window of an item; rows are told apart by id and text, so a null id or a shared one is no obstacle. Null and empty texts stay."""
     found = find_windows(documents, benchmark, window, id_col=id_col, text_col=text_col)
-    hidden = "__contaminated_row"
+    hidden = unused("__row", documents)
     keyed = documents.withColumn(hidden, row_key(F.col(id_col), F.col(text_col)))
     return keyed.join(small(found.select(F.col("row").alias(hidden)).distinct()), hidden, "left_anti").drop(hidden)

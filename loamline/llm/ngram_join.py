@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
-from loamline.llm.common import Scratch, bloom, cut, small
+from loamline.llm.common import Scratch, bloom, cut, row_key, small, unused
 from loamline.llm.components import connected
+from loamline.session import ship
 
 #: Defaults of the operator; the registered query uses its contract's values.
 WORDS, PERCENT = 5, 80
@@ -251,7 +252,7 @@ def _least_shared(percent: int):
 def classes(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 20) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has doc_id, rid, n; groups has rid, n, component (smallest doc_id) and verified_links (pairs with other classes that were verified and hold; they span the component, link_counts() has all links)."""
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    with Scratch(texts.sparkSession) as scratch:
+    with Scratch(ship(texts.sparkSession)) as scratch:
         signed = scratch.cut(signatures(texts, words, percent, seed, rarity_sketch(texts, words, seed)))
         rows = cut(signed.select("doc_id", "rid", "n"))
         return rows, cut(_groups(signed, texts, words, percent, seed, scratch))
@@ -347,7 +348,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
 def link_counts(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", seed: int = 20) -> DataFrame:
     """doc_id and links for each row: how many other rows are similar enough, each pair verified, so a group of n different near copies costs n² verifications."""
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    with Scratch(texts.sparkSession) as scratch:
+    with Scratch(ship(texts.sparkSession)) as scratch:
         signed = scratch.cut(signatures(texts, words, percent, seed, rarity_sketch(texts, words, seed)))
         rows = cut(signed.select("doc_id", "rid"))
         members = scratch.cut(signed.filter("rid is not null").groupBy("rid").agg(F.count("*").alias("members")))
@@ -364,15 +365,19 @@ def link_counts(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
 
 
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without near duplicates: of each component, the row with its smallest id stays.
+    """The input rows without near duplicates: of each component one row stays, that with the smallest id, then the smallest digest of id and text; null ids come last.
 
-    Rows that repeat an id and text count once. Rows with null ids all stay, as they have no name.
+    Rows are told apart by id and text: rows that share an id but not a text are judged each for itself, and rows that
+    share both count once. Empty and null texts are like nothing and stay.
     """
-    found = near_duplicates(documents, words, percent, id_col, text_col).filter("doc_id is not null")
-    others = small(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct())
-    again = small(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")))
-    kept = documents.join(others, F.col(id_col) == F.col("__id"), "left_anti")
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, F.col(id_col) == F.col("__id"), "left_anti").unionByName(repeated)
+    hidden = unused("__row", documents)
+    keyed = documents.withColumn(hidden, row_key(F.col(id_col), F.col(text_col)))
+    name = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(hidden).alias("row"))
+    found = near_duplicates(keyed.select(name.alias("doc_id"), F.col(text_col).alias("text")), words, percent)
+    others = small(found.filter(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias(hidden)).distinct())
+    again = small(found.groupBy(F.col("doc_id.row").alias(hidden)).count().filter("count > 1").select(hidden))
+    kept = keyed.join(others, hidden, "left_anti")
+    if not again.isEmpty():
+        repeated = kept.join(again, hidden, "left_semi").dropDuplicates([hidden])
+        kept = kept.join(again, hidden, "left_anti").unionByName(repeated)
+    return kept.drop(hidden)

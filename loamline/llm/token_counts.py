@@ -2,7 +2,7 @@
 
 A token file is a run of unsigned 16-bit ids in which each document ends with a separator id; nothing says where
 documents begin. It is held as blocks of a fixed number of tokens, cut without regard to documents. A block is
-scanned at once for its separators; a running maximum of separator positions over a file's blocks, a prefix scan over a
+scanned at once for its separators; a running maximum of separator positions over a file's blocks, a prefix scan of two levels over a
 handful of numbers for each block, then completes the counts of documents that begin in one block and end in another.
 
 Defined results: an empty document, two separators in a row, has no tokens; tokens after a file's last separator are no document; an empty table has no rows. A null text is an empty one. Repeated rows stay repeated.
@@ -15,21 +15,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.llm import bpe
+from loamline.session import shipped
 
 BLOCK_TOKENS = 1 << 17
 #: Rows that are encoded before their tokens are cut into blocks.
 ROWS = 256
+#: Blocks that one task of the scan's lower level goes through at most, for each file.
+SPAN = 4096
+
+
+def flat(ids: np.ndarray) -> bytes:
+    """The ids as a token file holds them; one that 16 bits can't hold is an error, never another id."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError(f"token id {int(ids.max())} doesn't fit into 16 bits")
+    return ids.astype("<u2").tobytes()
 
 
 def pack(documents: DataFrame, path: str | None = None, separator: int | None = None, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token files of the encoded documents, one for each partition: file, block, tokens (binary) and doc_ids, the ids of the
     documents that end in the block, in order. Special tokens in a text are encoded as ordinary text."""
     path = path or bpe.default_path()
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = shipped(documents).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches):
         codec = bpe.codec(path)
-        end = np.array([max(codec.special.values()) if separator is None else separator], "<u2").tobytes()
+        end = flat(np.array([max(codec.special.values()) if separator is None else separator]))
         file, block, held, size, ends = TaskContext.get().partitionId(), 0, [], 0, []
         width = 2 * block_tokens
 
@@ -51,7 +61,7 @@ def pack(documents: DataFrame, path: str | None = None, separator: int | None =
             kind = batch.column(0).type
             for start in range(0, batch.num_rows, ROWS):
                 for doc, text in zip(batch.column(0).slice(start, ROWS).to_pylist(), batch.column(1).slice(start, ROWS), strict=True):
-                    ids = np.frombuffer(codec.encode_ordinary(text.as_py()), "<u4").astype("<u2").tobytes() + end
+                    ids = flat(np.frombuffer(codec.encode_ordinary(text.as_py()), "<u4")) + end
                     held.append(ids)
                     size += len(ids)
                     ends.append((size, doc))
@@ -91,9 +101,13 @@ def scan(blocks: DataFrame, separator: int, block_tokens: int = BLOCK_TOKENS) ->
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column(3)] if ids else [])], names)
 
     extra = "".join(f", doc_ids {f.dataType.simpleString()}" for f in ids)
-    ends = blocks.select("file", "block", "tokens", *(f.name for f in ids)).mapInArrow(run, f"file {kind}, block int, first long, last long, inner array<bigint>{extra}")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.col("first") - F.coalesce(F.max("last").over(before), F.lit(-1)) - 1
+    ends = shipped(blocks).select("file", "block", "tokens", *(f.name for f in ids)).mapInArrow(run, f"file {kind}, block int, first long, last long, inner array<bigint>{extra}")
+    # A scan of two levels: the last separator of each span of blocks, scanned over a file's spans, then the blocks within a span.
+    ends = ends.withColumn("span", F.floor(F.col("block") / SPAN))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    spans = ends.groupBy("file", "span").agg(F.max("last").alias("top")).withColumn("before", F.max("top").over(earlier("file").orderBy("span"))).drop("top")
+    ends = ends.join(spans.withColumnsRenamed({"file": "of", "span": "at"}), F.col("file").eqNullSafe(F.col("of")) & (F.col("span") == F.col("at")))
+    opened = F.col("first") - F.coalesce(F.max("last").over(earlier("file", "span").orderBy("block")), "before", F.lit(-1)) - 1
     counts = ends.withColumn("opened", opened).filter("first is not null").withColumn("counts", F.concat(F.array("opened"), "inner"))
     if not ids:
         return counts.select("file", "block", F.posexplode("counts").alias("place", "n_tokens"))

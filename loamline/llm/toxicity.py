@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
+from loamline.session import shipped
 
 BITS = 20
 TRAIN_ROWS = 12_000
@@ -95,10 +96,10 @@ def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, alpha: fl
 
 
 def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model of the rows that are not held out: feature numbers, weights and bias."""
+    """The model of the rows that are not held out: feature numbers, weights and bias. An id with several labels or texts is one example, of its least label and features."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(train_rows)
-    texts = documents.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).alias("id")).join(F.broadcast(chosen), "id").select("text", "id", "label")
+    texts = shipped(documents).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).alias("id")).join(F.broadcast(chosen), "id").select("text", "id", "label")
     kind = texts.schema["id"].dataType.simpleString()
     rows = _featurised(texts, f"id {kind}, label int").withColumn("turn", F.xxhash64("id"))
     rows = rows.groupBy("turn", "id").agg(F.min(F.struct("label", "features")).alias("x")).select("turn", "x.*")
@@ -120,7 +121,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for each row."""
-    rows = documents.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
+    rows = shipped(documents).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -5,8 +5,9 @@ with the rule's; the longest fitting rule decides. Other URLs are judged by thei
 parts are split at non-letters, and each piece is segmented by a unigram Viterbi search, so that
 concatenated names come apart. The unigram model is counted over the titles of all pages, with the seed words added.
 
-Naive Bayes starts from seed words: URLs that hold a segmented block seed are examples of one
-class, all others of the other. Both word statistics are tables of all words. Their MODEL_WORDS most frequent words
+Naive Bayes learns classes that more than the URL decides: pages with a block seed among the segmented words of their URL or the words of
+their title are examples of one class, all others of the other. A URL without any seed is so judged by what its words
+have in common with those of such pages. Both word statistics are tables of all words. Their MODEL_WORDS most frequent words
 are broadcast, which bounds the driver's part; rarer ones reach the URLs that need them by joins, and count alike.
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule and is judged by the prior alone. Repeated rows stay repeated.
@@ -16,15 +17,16 @@ import re
 from collections import ChainMap
 from functools import lru_cache
 from hashlib import blake2b
-from math import log
+from math import inf, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm import arrays
 from loamline.llm.common import LOWER, UPPER, bloom, cut
+from loamline.session import shipped
 
 #: The rules as (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -34,8 +36,9 @@ COMMON_SEEDS = "win farm shop store news blog online free best cheap top live vi
 #: Occurrences that a seed counts for in the unigram model.
 SEED_COUNT = 1000
 MODEL_WORDS = 50_000
+#: Letters of a word that is broadcast; longer ones are among those that are joined.
+HELD_LETTERS = 64
 _EXTRA, _RARE = "array<struct<word:string,n:bigint>>", "array<struct<word:string,bad:bigint,good:bigint>>"
-LONGEST_WORD = 20
 
 
 def host_of(url):
@@ -61,15 +64,25 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None):
         total = total or sum(counts.values()) or 1
         self.total, self.cost = total, {w: -log(n / total) for w, n in counts.items()}
-        # An unknown word costs more the longer it is, and always more than the rarest known one.
-        self.unknown = lambda n: log(total) + 2.5 * n
+        self.lengths = {*map(len, counts)}
+        # An unknown word costs more the longer it is, and always more than the rarest known one; two in a row cost more than one.
+        self.unknown, self.letter = log(total), 2.5
         self.split = lru_cache(maxsize=100_000)(self._split)
 
     def _split(self, name: str, rare: dict[str, float] | None = None) -> tuple[str, ...]:
         cost = ChainMap(self.cost, rare) if rare else self.cost
-        best = [(0.0, 0)]
+        lengths = sorted({*self.lengths, *map(len, rare)} if rare else self.lengths)
+        best, loose = [(0.0, 0)], (inf, 0)  # loose: the best that ends within an unknown word, and where that word begins
         for end in range(1, len(name) + 1):
-            best.append(min((best[start][0] + cost.get(name[start:end], self.unknown(end - start)), start) for start in range(max(0, end - LONGEST_WORD), end)))
+            loose = min((loose[0] + self.letter, loose[1]), (best[end - 1][0] + self.unknown + self.letter, end - 1))
+            ways = [loose]
+            for n in lengths:
+                if n > end:
+                    break
+                price = cost.get(name[end - n : end])
+                if price is not None:
+                    ways.append((best[end - n][0] + price, end - n))
+            best.append(min(ways))
         words, end = [], len(name)
         while end:
             start = best[end][1]
@@ -92,20 +105,29 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(blake2b(w.encode(), digest_size=8).digest() for w in words), np.uint64)
 
 
-def _beyond(table: DataFrame, weight, last) -> DataFrame:
-    """Rows after the last one (weight, word) by descending weight, then word."""
-    return table.filter((weight < last[0]) | ((weight == last[0]) & (F.col("word") > last[1])))
+def _split_off(table: DataFrame, weight: Column, words: int) -> tuple[list, DataFrame | None]:
+    """The rows of so many words of greatest weight, none of them very long, and the table of all others, or None."""
+    brief = F.length("word") <= HELD_LETTERS
+    rows = table.filter(brief).orderBy(weight.desc(), "word").limit(words + 1).collect()
+    rest = ~brief
+    if len(rows) > words:
+        least = table.filter(F.col("word") == rows[words - 1]["word"]).select(weight).first()[0]
+        rest = rest | (weight < least) | ((weight == least) & (F.col("word") > rows[words - 1]["word"]))
+    others = table.filter(rest)
+    return rows[:words], None if others.isEmpty() else others
+
+
+def title_of(html: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1))
 
 
 def unigrams(pages: DataFrame, html_col: str = "html", words: int = MODEL_WORDS) -> tuple[dict[str, int], int, DataFrame | None]:
     """The most frequent words of all titles, with the seeds; the sum of all counts; word and n of all further words, or None."""
-    title = F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1))
-    counts = cut(pages.select(F.explode(F.regexp_extract_all(title, F.lit("([a-z]{2,20})"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    counts = cut(pages.select(F.explode(F.regexp_extract_all(title_of(F.col(html_col)), F.lit("([a-z]{2,})"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     seeds = (*BLOCK_SEEDS, *COMMON_SEEDS)
     seed = F.col("word").isin(*{*seeds})
-    rows = counts.filter(~seed).orderBy(F.desc("n"), "word").limit(words + 1).collect()
-    rest = _beyond(counts.filter(~seed), F.col("n"), (rows[words - 1]["n"], rows[words - 1]["word"])) if len(rows) > words else None
-    top = {r["word"]: r["n"] for r in (*rows[:words], *counts.filter(seed).collect())}
+    rows, rest = _split_off(counts.filter(~seed), F.col("n"), words)
+    top = {r["word"]: r["n"] for r in (*rows, *counts.filter(seed).collect())}
     total = counts.agg(F.sum("n")).first()[0] or 0
     for w in seeds:
         top[w] = top.get(w, 0) + SEED_COUNT
@@ -123,13 +145,14 @@ def with_extra(located: DataFrame, top: dict[str, int], rest: DataFrame | None)
 
     # Letters that are no word stay where they are, but for a few by chance.
     some = bloom(rest.select("word").mapInArrow(name, "x long"))
+    lengths = sorted(r[0] for r in rest.select(F.length("word")).distinct().collect())
     model = located.sparkSession.sparkContext.broadcast({*top})
 
     def run(batches):
         known, spots = model.value, some.value
 
         def parts(piece):
-            own = [*({piece[a:b] for a in range(len(piece)) for b in range(a + 2, min(len(piece), a + LONGEST_WORD) + 1)} - known)]
+            own = [*({piece[a : a + n] for n in lengths for a in range(len(piece) - n + 1)} - known)]
             return [own[k] for k in np.flatnonzero(arrays.in_bloom(spots, _hashes(own)))]
 
         held = lru_cache(maxsize=10_000)(parts)
@@ -143,29 +166,28 @@ def with_extra(located: DataFrame, top: dict[str, int], rest: DataFrame | None)
 
 
 def fit(located: DataFrame, counts: dict[str, int], total: int, words: int = MODEL_WORDS) -> tuple[dict[str, float], float, tuple[int, int], DataFrame | None]:
-    """Log odds for blocking of the most frequent words, and of the classes, from all rows with host, path and extra; what odds_of() needs; word, bad and good of all further words, or None."""
+    """Log odds for blocking of the most frequent words, and of the classes, from all rows with host, path, extra and title; what odds_of() needs; word, bad and good of all further words, or None."""
     model, seeds = located.sparkSession.sparkContext.broadcast((counts, total)), {*BLOCK_SEEDS}
 
     def run(batches):
         segmenter = Segmenter(*model.value)
         for batch in batches:
             found: dict[tuple[str, bool], int] = {}
-            for host, path, extra in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for host, path, extra, title in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 own = segmenter.words(host, path, extra)
-                bad = any(w[2:] in seeds for w in own)
+                bad = any(w[2:] in seeds for w in own) or not seeds.isdisjoint(pieces(title))
                 for w in ("", *own):
                     found[w, bad] = found.get((w, bad), 0) + 1
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(list(found.values()), pa.int64())], ["word", "bad", "n"])
 
-    totals = cut(located.select("host", "path", "extra").mapInArrow(run, "word string, bad boolean, n long").groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good")))
+    totals = cut(located.select("host", "path", "extra", "title").mapInArrow(run, "word string, bad boolean, n long").groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good")))
     documents = next(((r["bad"], r["good"]) for r in totals.filter("word = ''").collect()), (0, 0))
     kinds, times = totals.filter("word <> ''"), F.col("bad") + F.col("good")
     bad, good, size = kinds.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*") + 1).first()
-    rows = kinds.orderBy(times.desc(), "word").limit(words + 1).collect()
-    rest = _beyond(kinds, times, (rows[words - 1]["bad"] + rows[words - 1]["good"], rows[words - 1]["word"])) if len(rows) > words else None
+    rows, rest = _split_off(kinds, times, words)
     sums = (bad + size, good + size)
-    return {r["word"]: odds_of(r["bad"], r["good"], sums) for r in rows[:words]}, log((documents[0] + 1) / (documents[1] + 1)), sums, rest
+    return {r["word"]: odds_of(r["bad"], r["good"], sums) for r in rows}, log((documents[0] + 1) / (documents[1] + 1)), sums, rest
 
 
 def odds_of(bad: int, good: int, sums: tuple[int, int]) -> float:
@@ -191,7 +213,7 @@ def with_rare(located: DataFrame, model, top: dict[str, float], rest: DataFrame
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", words: int = MODEL_WORDS) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the log odds for blocking) of each row, whatever number of words is broadcast."""
-    located = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    located = shipped(pages).select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), title_of(F.col(html_col)).alias("title"))
     counts, total, rest = unigrams(pages, html_col, words)
     located = with_extra(located, counts, rest)
     odds, prior, sums, rest = fit(located, counts, total, words)

@@ -369,3 +369,68 @@ def test_shared_folder_is_asked_for():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session())
+
+
+def test_keep_one_tells_rows_apart(spark):
+    """Shared ids, null ids, repeated rows and clashing names lose no row that is like nothing else."""
+    body = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, body), (5, body + " x"), (5, other), (7, body + " y"), (7, body + " z"), (None, body), (None, "alone here with a null id"), (8, other), (8, other), (9, None), (10, ""), (3, "short")]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, __row string, __id string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(1, body), (5, other), (None, "alone here with a null id"), (9, None), (10, ""), (3, "short")], key=repr)
+    assert ngram_join.keep_one(docs).columns == docs.columns and ngram_join.keep_one(docs.filter("false")).count() == 0
+    assert ngram_join.keep_one(docs.filter("doc_id = 8")).count() == 1
+
+
+def test_keep_clean_with_clashing_names(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "a one two three four five six seven eight nine ten b", "x"), (None, "clean", "x"), (4, None, "x")], "doc_id long, text string, __row string")
+    assert sorted(map(repr, decontaminate.keep_clean(docs, items).select("doc_id", "text").collect())) == sorted(map(repr, docs.filter("text = 'clean' or text is null").select("doc_id", "text").collect()))
+
+
+def test_scan_of_two_levels(spark, monkeypatch):
+    """Flat token files built here, without the operator's encoder; spans of three blocks, and documents longer than a span."""
+    monkeypatch.setattr(token_counts, "SPAN", 3)
+    rng, want, rows = random.Random(4), {}, []
+    for file in ("a", "b", None):
+        counts = [rng.choice([0, 1, 3, 17, 90]) for _ in range(40)]
+        ids = [x for n in counts for x in [*(rng.randrange(1, 60_000) for _ in range(n)), 0]] + [5, 6]
+        want[file] = counts
+        raw = np.array(ids, "<u2").tobytes()
+        rows += [(file, k, raw[16 * k : 16 * k + 16]) for k in range(-(-len(raw) // 16))]
+    found = token_counts.scan(spark.createDataFrame(rows, "file string, block int, tokens binary").repartition(5), 0, 8).collect()
+    for file, counts in want.items():
+        assert [r["n_tokens"] for r in sorted((r for r in found if r["file"] == file), key=lambda r: (r["block"], r["place"]))] == counts
+
+
+def test_token_ids_beyond_16_bits():
+    assert token_counts.flat(np.array([1, 65_535])) == b"\x01\x00\xff\xff"
+    with pytest.raises(ValueError, match="65536"):
+        token_counts.flat(np.array([65_536]))
+
+
+def test_ftrl_against_a_plain_version():
+    """Per-coordinate rates and L1, one number at a time."""
+    rng = random.Random(2)
+    examples = [(np.unique(rng.sample(range(300), rng.randint(1, 20))), rng.randint(0, 1)) for _ in range(200)]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.2, 1.0
+    z, n, bias = [0.0] * 301, [0.0] * 301, 300
+
+    def weight(i):
+        if abs(z[i]) <= l1 and i != bias:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1 if z[i] < 0 else 0.0)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for at, label in examples:
+            x = {int(i): toxicity.SCALE / (len(at) + 1) ** 0.5 for i in at} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    at, w, b = toxicity.ftrl(examples, 2, alpha, beta, l1, l2)
+    want = {i: weight(i) for i in range(300) if weight(i)}
+    assert {*map(int, at)} == {*want} and all(abs(want[int(i)] - v) < 1e-9 for i, v in zip(at, w, strict=True)) and abs(b - weight(bias)) < 1e-9
