@@ -37,25 +37,53 @@ EXTRA = {
     "secret": (r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\x20{0,3}[=:]\x20{0,3}[\"'][A-Za-z0-9+/_-]{16,128}[\"']", 0.8, r"key|login|auth"),
 }
 CONTEXT_BONUS = 0.2
-SPAN = "array<struct<start:int,end:int,hit:string>>"
+SPAN = "array<struct<start:int,end:int,hit:string,near:string>>"
+#: Matches that one fold appends; a text's matches are folded in blocks of so many, as appending copies what is there.
+FOLD = 128
 
 
-def locate(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,hit>> of the pattern's leftmost non-overlapping matches, by code points.
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / FOLD).cast("int") - 1, F.lit(0))), lambda b: F.slice(items, b * FOLD + 1, F.lit(FOLD)))
 
-    Splitting at the pattern gives what lies between the matches, so running lengths give offsets.
+
+def _last(text: Column) -> Column:
+    return F.substring(text, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+
+def locate(text: Column, pattern: str, check=None) -> Column:
+    """array<struct<start,end,hit,near>> of the pattern's leftmost non-overlapping matches whose hit passes the check, by code points; near is what stands just before.
+
+    Splitting at the pattern gives what lies between the matches, so running lengths give offsets. Blocks of matches are
+    summed up first, so that the work is linear in the text however many matches it has.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    hit = lambda x: F.coalesce(x["hit"], F.lit(""))
+
+    def move(acc, x):
+        return F.struct((acc["at"] + F.length(x["gap"]) + F.length(hit(x))).alias("at"), _last(F.concat(acc["tail"], x["gap"], hit(x))).alias("tail"))
+
+    def fold(block):
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), move)
+
+    def onwards(acc, x):
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.struct((last["at"] + x["at"]).alias("at"), _last(F.concat(last["tail"], x["tail"])).alias("tail"))))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
-        )
+        span = F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), _last(F.concat(acc["tail"], x["gap"])).alias("near"))
+        good = x["hit"].isNotNull() if check is None else x["hit"].isNotNull() & F.coalesce(check(x["hit"]), F.lit(False))
+        after = move(acc, x)
+        return F.struct(after["at"].alias("at"), after["tail"].alias("tail"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def spans(blocks):
+        opening = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")))
+        openings = F.aggregate(F.transform(F.slice(blocks, 1, F.size(blocks) - 1), fold), opening, onwards)
+        none = F.array().cast(SPAN)
+        inside = lambda o: F.transform(blocks, lambda block, k: F.aggregate(block, F.struct(F.get(o, k)["at"].alias("at"), F.get(o, k)["tail"].alias("tail"), none.alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(let(openings, inside))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(pairs, lambda x: let(_blocks(x), spans))).otherwise(F.array().cast(SPAN))
 
 
 def _digits(hit: Column) -> Column:
@@ -74,9 +102,8 @@ def _mod97(hit: Column) -> Column:
     return F.aggregate(chars, F.lit(0), step) == 1
 
 
-def _scored(text: Column, spans: Column, prior: float, words: str) -> Column:
-    near = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))))
-    return F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["hit"], F.least(F.lit(1.0), F.lit(prior) + F.when(near(s).rlike(words), CONTEXT_BONUS).otherwise(0.0)).alias("score")))
+def _scored(spans: Column, prior: float, words: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["hit"], F.least(F.lit(1.0), F.lit(prior) + F.when(F.lower(s["near"]).rlike(words), CONTEXT_BONUS).otherwise(0.0)).alias("score")))
 
 
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -88,18 +115,16 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col("text")
     checks = {
         "email": (EMAIL, None, 0.9, r"mail|contact|write"),
-        "ip": (IP, lambda s: s["hit"].rlike(OCTETS), 0.8, r"\bip\b|host|server|addr"),
-        "card": (CARD, lambda s: let(_digits(s["hit"]), lambda d: F.length(d).between(16, 19) & F.call_function("luhn_check", d)), 0.8, r"card|visa|pay|credit"),
-        "phone": (PHONE, lambda s: F.length(_digits(s["hit"])).between(8, 15), 0.8, EXTRA["local_phone"][2]),
+        "ip": (IP, lambda hit: hit.rlike(OCTETS), 0.8, r"\bip\b|host|server|addr"),
+        "card": (CARD, lambda hit: let(_digits(hit), lambda d: F.length(d).between(16, 19) & F.call_function("luhn_check", d)), 0.8, r"card|visa|pay|credit"),
+        "phone": (PHONE, lambda hit: F.length(_digits(hit)).between(8, 15), 0.8, EXTRA["local_phone"][2]),
     }
     columns = []
     for kind, (pattern, check, prior, words) in checks.items():
-        spans = locate(text, pattern)
-        columns.append(_scored(text, F.filter(spans, check) if check else spans, prior, words).alias(kind))
+        columns.append(_scored(locate(text, pattern, check), prior, words).alias(kind))
     for kind, (pattern, prior, words) in EXTRA.items():
-        spans = locate(text, pattern)
-        spans = F.filter(spans, lambda s: _mod97(s["hit"])) if kind == "iban" else spans
-        columns.append(F.filter(_scored(text, spans, prior, words), lambda s: s["score"] >= threshold - 1e-9).alias(kind))
+        spans = locate(text, pattern, _mod97 if kind == "iban" else None)
+        columns.append(F.filter(_scored(spans, prior, words), lambda s: s["score"] >= threshold - 1e-9).alias(kind))
     return base.select("doc_id", "text", *columns)
 
 
@@ -128,17 +153,24 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = F.array_sort(F.concat(*map(named, kinds)))
     spans = spans.select("doc_id", "text", every.alias("spans"))
 
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        return F.when(inside, F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))).alias("parts"),
-            )
-        )
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    cleaned = F.aggregate("spans", first, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    # What has been gone past is the greatest end so far. A block's spans lie in one piece of the text, whose own pieces are short ways off.
+    def pieces(block, at):
+        piece = F.substring(F.col("text"), at + 1, F.element_at(block, -1)["start"] - at)
+
+        def step(acc, s):
+            parts = F.array(F.substring(acc["piece"], acc["at"] - at + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))
+            after = F.greatest(acc["at"], s["end"]).alias("at")
+            return F.struct(after, F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], parts)).alias("parts"), acc["piece"].alias("piece"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<string>").alias("parts"), piece.alias("piece")), step, lambda acc: F.array_join(acc["parts"], ""))
+
+    def rebuilt(blocks):
+        ends = F.transform(blocks, lambda block: F.array_max(F.transform(block, lambda s: s["end"])))
+        past = F.aggregate(ends, F.array(F.lit(0)), lambda acc, end: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), end))))
+        whole = lambda x: F.concat(F.array_join(F.transform(blocks, lambda block, k: pieces(block, F.get(x, k))), ""), F.substring(F.col("text"), F.element_at(x, -1) + 1, F.length("text")))
+        return let(past, whole)
+
+    cleaned = let(_blocks(F.col("spans")), rebuilt)
     out = spans.select(F.col("doc_id").alias("row"), F.when(F.size("spans") > 0, cleaned).otherwise(F.col("doc_id").getField(text_col)).alias("clean"))
 
     def column(name: str) -> Column:

@@ -7,7 +7,7 @@ import pytest
 
 import brute
 import corpus_pipeline
-from loamline.llm import bpe, pii, quality
+from loamline.llm import bpe, common, pii, quality
 from loamline.session import ship
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,35 @@ def test_encoding_stage(stages):
 
 def test_run(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[-1].collect()))
+
+
+def test_stages_on_hard_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, and columns with clashing names, through every stage."""
+    good = " ".join(f"Sentence {k} tells a plain story about town{k} and river{k} in spring." for k in range(12))
+    other = " ".join(f"Quite another text {k} speaks of bridge{k} and garden{k} every day." for k in range(12))
+    long = " ".join(f"word{k} goes with thing{k * 7} in place{k * 13}." for k in range(12_000))
+    rows = [(None, None, None, None, None), (1, None, "en", "a", None), (2, "", "en", None, 0), (3, " \n", None, "a", 2), (4, good, "en", "a", 1), (4, good, "en", "a", 1), (5, good + " End.", "en", "a", 1), (5, other, "en", "a", 1), (None, other + " Mail a@b.org now.", "en", "a", 1), (6, long, "en", "a", 1), (None, good.replace("spring", "autumn"), None, None, None)]
+    hard = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, words string, __row string")
+    for docs in (hard, hard.filter("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, SF))
+            assert docs.columns == hard.columns, name
+        left = docs.orderBy("doc_id", "text").collect()
+        assert corpus_pipeline.encoding(spark, docs, SF).count() == len(left)
+        if left:
+            assert sorted(((r["doc_id"], r["text"][:20]) for r in left), key=repr) == sorted([(4, good[:20]), (5, other[:20]), (6, long[:20]), (None, good[:20])], key=repr)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, hard, SF).collect()
+        assert len(out) == {0: 7, 1: 8, 2: 11, 3: 11, 4: 11}[k], (name, [(r["doc_id"], (r["text"] or "")[:20]) for r in out] if k < 4 else None)
+
+
+def test_encoding_stage_against_the_library(spark):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(bpe.default_path())
+    known.no_truncation()
+    known.no_padding()
+    docs = spark.createDataFrame([(1, "It's 12 o'clock\u00a0— naïve 日本😀"), (2, None), (3, "")], "doc_id long, text string")
+    for r in corpus_pipeline.encoding(spark, docs, SF).collect():
+        ids = known.encode({1: "It's 12 o'clock\u00a0— naïve 日本😀"}.get(r["doc_id"], ""), add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
