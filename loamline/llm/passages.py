@@ -19,7 +19,7 @@ from loamline.llm.common import Scratch
 
 WORDS, GROUP = 25, 26
 #: Words whose keys a task remembers.
-HELD = 1 << 20
+HELD = 1 << 18
 _PLACE = 28
 _SEEDS = (51, 52)
 _BLANK = np.zeros(256, bool)

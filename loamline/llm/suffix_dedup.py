@@ -202,7 +202,7 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, length: int = LENGTH, an
     spans = whole.unionByName(_compared(kinds.filter((F.col("of") > 1) & (F.col("of") <= hot)), length, anchor)).unionByName(_digested(kinds.filter(F.col("of") > hot), length))
     met = members.filter("size(anchors) > 0").select("digest", "fp", "cx", "anchors").join(spans, ["fp", "cx"])
     ranges = F.flatten(F.transform("anchors", lambda a: F.transform("spans", lambda s: F.struct((a - s["high"]).alias("low"), (a - s["low"] + length).alias("high")))))
-    return met.select("digest", ranges.alias("ranges")).groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return met.select("digest", ranges.alias("ranges")).groupBy("digest").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
