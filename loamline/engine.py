@@ -72,6 +72,17 @@ class Engine:
         self.tables.write({t: self.tables.read(t).join(gone, ["store_id", "resource_id"], "left_anti") for t in ("resources", "blocks", "chunks")})
         return n
 
+    def delete_source(self, name_or_id: str, source_id: str) -> bool:
+        """Whether the store had the source; it goes with its documents, blocks and chunks."""
+        gone = self.sources().filter((F.col("store_id") == self.store_id(name_or_id)) & (F.col("source_id") == source_id))
+        if gone.isEmpty():
+            return False
+        have = [n for n in self.tables.manifest()["tables"] if n in ("sources", "resources", "blocks", "chunks")]
+        none = self.spark.createDataFrame([], "store_id string, resource_id string, source_id string")
+        left = maintenance.cascade({n: self.tables.read(n) if n in have else none for n in ("sources", "resources", "blocks", "chunks")}, sources=gone)
+        self.tables.write({n: left[n] for n in have})
+        return True
+
     # --- indexing ---
 
     def index(self, name_or_id: str, spec: dict, prune: bool = False, pages: DataFrame | None = None) -> dict:
@@ -106,7 +117,7 @@ class Engine:
         try:
             wanted = plan.filter(F.col("action").isin("insert", "replace")).select("uri").join(new["resources"].select("uri", "resource_id"), "uri").select("resource_id")
             # All new rows are made, embeddings included, before the pointer moves.
-            tables = {n: maintenance.replace_resources(old[n], plan, new[n].join(wanted, "resource_id", "left_semi")) for n in old}
+            tables = {n: maintenance.replace_resources(old[n], plan, new[n].join(wanted, "resource_id", "left_semi"), store) for n in old}
             counts = maintenance.counters(plan).first().asDict()
             self.tables.write({**tables, "sources": maintenance.upsert(self.sources(), fresh, ["source_id"])})
         finally:
@@ -128,7 +139,7 @@ class Engine:
             raise RetrievalError("invalid_request", "the query is blank")
         scope = retrieval.resolve_stores(self.stores(), stores)
         wanted = Filters(**{**(filters.__dict__ if filters else {}), "stores": scope})
-        return retrieval.search(self._chunks(), query, embedding.embed_query(query, self.provider), wanted, top_n=retrieval.clamp_limit(limit), offset=offset, snippet=content_length)
+        return retrieval.search(self._chunks(), query, embedding.embed_query(query, self.provider), wanted, top_n=retrieval.clamp_limit(limit), offset=offset, snippet=content_length, excerpt=text.snippet)
 
     def get_document(self, resource_id: str, store: str | None = None) -> DataFrame:
         """The document's row with its text."""
@@ -145,6 +156,19 @@ class Engine:
             raise RetrievalError("chunk_not_found", f"no chunk {anchor} in the document")
         return reading.get_chunks(chunks, resource_id, row["store_id"], **page).drop("embedding")
 
+    def get_chunk(self, store: str, chunk_id: str) -> DataFrame:
+        """The chunk's row, or no row, without its embedding."""
+        return self.tables.read("chunks").filter((F.col("store_id") == self.store_id(store)) & (F.col("chunk_id") == chunk_id)).drop("embedding")
+
+    def get_blocks(self, resource_id: str, store: str | None = None) -> DataFrame:
+        """The document's blocks in order."""
+        row = reading.find_document(self.tables.read("resources"), resource_id, [self.store_id(store)] if store else None)
+        return self.tables.read("blocks").join(row.select("store_id", "resource_id"), ["store_id", "resource_id"], "left_semi").orderBy("seq")
+
+    def list_sources(self, store: str) -> DataFrame:
+        """The store's sources, oldest first."""
+        return self.sources().filter(F.col("store_id") == self.store_id(store)).orderBy("created_at", "source_id")
+
     def list_documents(self, store: str, source_id: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
         rows = self.tables.read("resources").withColumns({"fetched_at": F.col("modified_at"), "mime": files.stored_mime(F.col("uri"))})
         return reading.list_documents(rows, self.store_id(store), source_id, offset, limit)

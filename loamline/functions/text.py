@@ -89,8 +89,9 @@ def retry_after(value: str, now: datetime, cap: int = 120) -> int | None:
 def human_size(size: Column) -> Column:
     """Bytes in the largest unit of 1024 that leaves at least 1."""
     out = F.format_string("%d B", size.cast("long"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(size >= 1024**k, F.format_string(f"%.1f {unit}", size / float(1024**k))).otherwise(out)
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        # A tie of the first decimal goes to the even digit.
+        out = F.when(size >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(size / float(1024**k), 1))).otherwise(out)
     return out
 
 
@@ -130,12 +131,24 @@ def prose_like(text: Column) -> Column:
     return F.when(n < 8, False).otherwise((letters / solid > 0.85) & (plain / n > 0.70) & (letters / n).between(3.0, 8.0) & (marks > 0.005))
 
 
+# What tells code. Characters by their density; starts of a line; words before a space; parts of a line.
+CODE_SYMBOLS = ";{}()[]=<>|"
+CODE_STARTS = ("$ ", "#!", "> ", "% ")
+CODE_WORDS = ("use", "import", "def", "fn", "class", "SELECT", "select", "impl")
+CODE_PARTS = ("C:\\", "/usr/", "./", "0x")
+
+
+def _any(values: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(map(re.escape, values)) + ")"
+
+
+#: Further signs: flags, a key with its value, a line that goes on, frames of hexadecimal digits, addresses, paths of several segments.
 _CODE_LINE = re.compile(
-    r"^(?:\$ |#!|> |% )|C:\\|/usr/|\./|(?:^|\s)(?:--[^\W\d_]|-[A-Za-z][A-Za-z0-9]*(?=\s|$))|(?:^|[ \t])(?:use|import|def|fn|class|SELECT|select|impl) "
-    r"|^[\w-]{1,30}[:=]\s*\S|\\\s*$|^[0-9]+#\s*[0-9A-Fa-f]{2,}\s*$|0x|(?:^|[^\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?=[^\w.]|$)|\S*/\S*/\S*"
-)
-#: Fixed value: characters whose density tells code.
-CODE_SYMBOLS = "{}[]();=<>|&$#@\\`~^*_"
+    "|".join((
+        "^" + _any(CODE_STARTS), rf"(?:^|[ \t]){_any(CODE_WORDS)} ", _any(CODE_PARTS), r"(?:^|\s)(?:--[^\W\d_]|-[A-Za-z][A-Za-z0-9]*(?=\s|$))", r"^[\w-]{1,30}[:=]\s*\S", r"\\\s*$",
+        r"^[0-9]+#\s*[0-9A-Fa-f]{2,}\s*$", r"(?:^|[^\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?=[^\w.]|$)", r"\S*/\S*/\S*",
+    ))
+)
 
 
 def code_like(content: str) -> bool:
@@ -149,6 +162,11 @@ def code_like(content: str) -> bool:
     return symbols >= 3 and symbols / len(content) > 0.02 or any(_CODE_LINE.search(x.lstrip()) for x in lines)
 
 
+def snippet(text: Column, cap: int) -> Column:
+    """truncate_snippet() of a column: for the rows of a page, not for whole tables."""
+    return F.udf(lambda x: None if x is None else truncate_snippet(x, cap)[0], "string", useArrow=True)(text)
+
+
 def truncate_snippet(text: str, cap: int) -> tuple[str, bool]:
     """A prefix of about cap characters that ends at a paragraph, a sentence or a word, and whether text was cut.
 

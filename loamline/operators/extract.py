@@ -42,9 +42,12 @@ def html_title(html: Column) -> Column:
 
 
 def html_main(html: Column) -> Column:
-    """The main content's markup: article, else main, else role=main, else body, else everything."""
-    some = [rf"(?is)<{t}(?:\s[^>]*)?>(.*)</{t}\s*>" for t in ("article", "main")] + [r"(?is)<[a-z]+\s[^>]*role=[\"']?main[\"']?[^>]*>(.*)"] + [r"(?is)<body(?:\s[^>]*)?>(.*)</body\s*>"]
-    return F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in some), html)
+    """The main content's markup: every article, after the first header that isn't empty, else main, else role=main, else body, else everything."""
+    articles = F.regexp_extract_all(html, F.lit(r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"), F.lit(1))
+    header = F.regexp_extract(html, r"(?is)<header(?:\s[^>]*)?>(.*?)</header\s*>", 1)
+    some = [r"(?is)<main(?:\s[^>]*)?>(.*)</main\s*>", r"(?is)<[a-z]+\s[^>]*role=[\"']?main[\"']?[^>]*>(.*)", r"(?is)<body(?:\s[^>]*)?>(.*)</body\s*>"]
+    joined = F.when(F.size(articles) > 0, F.concat(header, F.array_join(articles, "")))
+    return F.coalesce(joined, *(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in some), html)
 
 
 def html_text(html: Column) -> Column:
@@ -240,11 +243,27 @@ def tidy(markdown: str) -> str:
 # --- Markdown of extracted pages ----------------------------------------------------------------------------------
 
 
+# What a heading doesn't end with, as marks and as words in lower case.
+HEADING_MARKS = ",;-—("
+HEADING_TAILS = ("and", "the", "of", "to", "with", "an", "from", "by", "as", "than", "into", "onto", "upon")
+
+
 def spurious_heading(content: str) -> bool:
-    """Whether a heading's text can't be one: too long, several sentences, a dangling tail, a lower-case start or a shell prompt."""
+    """Whether a heading's text can't be one: too long, several sentences, a dangling tail, a lower-case start or a shell's mark.
+
+    A colon at the end is a heading's. A lower-case start is, too, if its first word goes on with a capital, or the next word begins with one.
+    """
     text = content.strip()
-    sentences = len(re.findall(r"[.!?][\"')\]]?\s+(?=[^\W\d_])", text))
-    return len(text) > 200 or "\n" in text or sentences >= 2 or bool(re.search(r"(?:[,;:]|\s(?:and|or|the|of|to|a|an|in|with|for))$", text)) or text[:1].islower() or bool(re.match(r"\$ |#!|> ", text))
+    words = text.split()
+    if not words:
+        return False
+    initial = lambda x: next((c for c in x if c.isalpha()), "")
+    # A full stop after a single letter closes an initial, not a sentence.
+    sentences = sum(m[1].isupper() for m in re.finditer(r"(?<!\b[^\W\d_])[.!?]\s+(\S)", text))
+    tail = text[-1] in HEADING_MARKS or re.sub(r"[\W_]", "", words[-1]) in HEADING_TAILS
+    titled = any(c.isupper() for c in words[0][1:]) or initial("".join(words[1:2])).isupper()
+    shell = re.match(r"[$>] |#!|C:\\|\[(?:[^\w\s]|_)\] ", text)
+    return len(text) > 200 or "\n" in text or sentences >= 2 or tail or initial(text).islower() and not titled or bool(shell)
 
 
 def demote_headings(markdown: str) -> str:

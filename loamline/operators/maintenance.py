@@ -64,10 +64,16 @@ def upsert_resources(existing: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(existing, kept.withColumn("added_at", F.coalesce("__added", "added_at")).drop("__added"), key)
 
 
-def replace_resources(existing: DataFrame, plan: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of resources, chunks or blocks after a plan: those of replaced and deleted resources go, new ones come."""
+def replace_resources(existing: DataFrame, plan: DataFrame, new: DataFrame, store: str | None = None) -> DataFrame:
+    """Rows of resources, chunks or blocks after a plan: those of replaced and deleted resources go, new ones come.
+
+    Resource ids come from content, so several stores may hold the same one; a plan is of one store, and with that given only its rows go.
+    """
     leaving = plan.filter(F.col("action").isin("replace", "delete")).select(F.col("old_id").alias("resource_id")).filter("resource_id is not null").distinct()
-    return existing.join(leaving, "resource_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    key = ["resource_id"]
+    if store is not None:
+        leaving, key = leaving.withColumn("store_id", F.lit(store)), ["store_id", "resource_id"]
+    return existing.join(leaving, key, "left_anti").select(*existing.columns).unionByName(new, allowMissingColumns=True)
 
 
 def cascade(tables: dict[str, DataFrame], stores: DataFrame | None = None, sources: DataFrame | None = None, resources: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -92,9 +98,10 @@ def stale_stores(resources: DataFrame, policy: str) -> DataFrame:
 
 
 class Snapshots:
-    """Tables as immutable Parquet snapshots under one root, with a pointer to the current one.
+    """Tables as immutable Parquet snapshots under one root, named by numbered manifests of which the highest is current.
 
-    A snapshot is written in full before the pointer names it, so a failed write leaves the old one readable. The manifest has a schema version; a newer one is refused.
+    A snapshot is written in full before a manifest names it, and a manifest before it gets its number, so a failed write leaves the
+    former one current. A number is given once: of two writers that start from one state the later fails. The manifest has a schema version; a newer one is refused.
     """
 
     VERSION = 1
@@ -105,37 +112,49 @@ class Snapshots:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        at = self._path(f"{self.root}/manifests")
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, number: int):
+        return self._path(f"{self.root}/manifests/{number:012d}")
+
     def manifest(self) -> dict:
         """{version, tables: {name: {path, schema}}}; empty for a fresh root."""
-        at = f"{self.root}/manifest"
-        if not self._fs.exists(self._path(at)):
-            return {"version": self.VERSION, "tables": {}}
-        found = json.loads(self.spark.read.text(at, wholetext=True).first()[0])
+        return self._current()[1]
+
+    def _current(self) -> tuple[int, dict]:
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {"version": self.VERSION, "tables": {}}
+        found = json.loads(self.spark.read.text(self._manifest(numbers[-1]).toString(), wholetext=True).first()[0])
         if found["version"] > self.VERSION:
             raise ValueError(f"the store has version {found['version']}; this code knows {self.VERSION}")
-        return found
+        return numbers[-1], found
 
     def read(self, name: str) -> DataFrame:
         entry = self.manifest()["tables"][name]
         return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["path"])
 
     def write(self, tables: dict[str, DataFrame]) -> dict:
-        """Write the tables as new snapshots, then let the pointer name them; tables not given stay as they are."""
-        now = self.manifest()
+        """Write the tables as new snapshots, then a manifest that names them; tables not given stay as they are."""
+        number, now = self._current()
         entries = dict(now["tables"])
         for name, frame in tables.items():
             path = f"{self.root}/{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
             entries[name] = {"path": path, "schema": frame.schema.json()}
             writer = frame.write
             (writer.partitionBy("store_id") if "store_id" in frame.columns and len(frame.columns) > 1 else writer).parquet(path)
-        fresh = self.root + "/manifest-" + uuid.uuid4().hex
-        self.spark.createDataFrame([(json.dumps({"version": self.VERSION, "tables": entries}),)], "value string").coalesce(1).write.text(fresh)
-        target = self._path(f"{self.root}/manifest")
-        if self._fs.exists(target):
-            self._fs.delete(target, True)
-        if not self._fs.rename(self._path(fresh), target):
-            raise OSError("the pointer could not be moved")
-        return {"version": self.VERSION, "tables": entries}
+        after = {"version": self.VERSION, "tables": entries}
+        draft, target = self._path(f"{self.root}/manifests/draft-{uuid.uuid4().hex}"), self._manifest(number + 1)
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(after), "utf-8"))
+        out.close()
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            self._fs.delete(draft, False)
+            raise OSError("another writer has changed the store; nothing was changed here")
+        return after
 
     def sizes(self) -> DataFrame:
         """table, bytes of the current snapshots."""
@@ -143,7 +162,9 @@ class Snapshots:
         return self.spark.createDataFrame(rows, "table string, bytes long")
 
     def vacuum(self) -> int:
-        """Delete snapshots that the pointer doesn't name; the bytes freed."""
+        """Delete snapshots that the current manifest doesn't name, and earlier manifests; the bytes freed."""
+        for number in self._numbers()[:-1]:
+            self._fs.delete(self._manifest(number), False)
         keep, freed = {e["path"] for e in self.manifest()["tables"].values()}, 0
         for name in {p.rsplit("/", 2)[-2] for p in keep}:
             for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):

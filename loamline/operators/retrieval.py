@@ -181,23 +181,24 @@ def rerank(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def cite(rows: DataFrame, chunks: DataFrame, snippet: int = 400) -> DataFrame:
-    """Citations: the hits, at most a page of them, with their chunks' provenance and text."""
+def cite(rows: DataFrame, chunks: DataFrame, snippet: int = 400, excerpt=None) -> DataFrame:
+    """Citations: the hits, at most a page of them, with their chunks' provenance and text. excerpt(text, snippet) makes the excerpt; without it, it is the first characters."""
+    excerpt = excerpt or (lambda text, length: F.substring(text, 1, length))
     columns = ["store_id", "chunk_id", "resource_id", "source_id", "uri", "mime", "fetched_at", "text"]
     hit = chunks.select(*columns).join(F.broadcast(rows), ["store_id", "chunk_id"])
     scores = F.struct(F.col("fused"), F.col("dense_score").alias("dense"), F.col("bm25_score").alias("bm25"))
     where = F.struct("source_id", "resource_id", "uri", "mime", "fetched_at")
-    return hit.select("position", "store_id", "chunk_id", F.substring("text", 1, snippet).alias("excerpt"), where.alias("provenance"), scores.alias("scores"), "total", "next")
+    return hit.select("position", "store_id", "chunk_id", excerpt(F.col("text"), snippet).alias("excerpt"), where.alias("provenance"), scores.alias("scores"), "total", "next")
 
 
-def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, filters: Filters | None = None, leg_k: int = LEG_K, top_n: int = TOP_N, offset: int = 0, encoding: str = "f32", snippet: int = 400) -> DataFrame:
+def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, filters: Filters | None = None, leg_k: int = LEG_K, top_n: int = TOP_N, offset: int = 0, encoding: str = "f32", snippet: int = 400, excerpt=None) -> DataFrame:
     """Fused search over chunk rows with text, and embedding if query_vector is given; chunks whose embedding is null are in the BM25 leg only. Blank queries are an error."""
     if not query.strip():
         raise RetrievalError("invalid_request", "the query is blank")
     top_n = clamp_limit(top_n)
     words = leg(bm25_scores(chunks, query), leg_k, filters)
     dense = leg(dense_scores(chunks.filter("embedding IS NOT NULL"), query_vector, encoding), leg_k, filters) if query_vector is not None else words.filter(F.lit(False))
-    return cite(rerank(page(rrf(dense, words), offset, top_n)), chunks, snippet)
+    return cite(rerank(page(rrf(dense, words), offset, top_n)), chunks, snippet, excerpt)
 
 
 def matched_fraction(text: Column, query: Column) -> Column:

@@ -508,7 +508,7 @@ def a3(spark, sf_dir):
     return reading.table_sizes(corpus.resources(spark, sf_dir).select(F.col("source_id").alias("table"), F.octet_length("text").cast("long").alias("bytes")))
 
 
-@query("A4_human_size", "SELECT doc_id, CASE WHEN strlen(text) * 100 >= 1048576 THEN printf('%.1f MiB', strlen(text) * 100 / 1048576.0::DOUBLE) WHEN strlen(text) * 100 >= 1024 THEN printf('%.1f KiB', strlen(text) * 100 / 1024.0::DOUBLE) ELSE printf('%d B', strlen(text) * 100) END AS size FROM documents")
+@query("A4_human_size", "SELECT doc_id, CASE WHEN strlen(text) * 100 >= 1048576 THEN printf('%.1f MB', strlen(text) * 100 / 1048576.0::DOUBLE) WHEN strlen(text) * 100 >= 1024 THEN printf('%.1f KB', strlen(text) * 100 / 1024.0::DOUBLE) ELSE printf('%d B', strlen(text) * 100) END AS size FROM documents")
 def a4(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", text.human_size(F.octet_length("text") * 100).alias("size"))
 

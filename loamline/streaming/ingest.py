@@ -51,7 +51,7 @@ def merge(store: maintenance.Snapshots, files: DataFrame, store_id: str, source_
     own = current.filter((F.col("store_id") == store_id) & (F.col("source_id") == source_id)).select("uri", "resource_id", "content_hash", "policy_version")
     plan = maintenance.plan_changes(own, observed, None, policy, complete=False).cache()
     wanted = plan.filter(F.col("action").isin("insert", "replace")).join(new["resources"].select("uri", "resource_id"), "uri").select("resource_id")
-    store.write({n: maintenance.replace_resources(store.read(n), plan, new[n].join(wanted, "resource_id", "left_semi")) for n in ("resources", "blocks", "chunks")})
+    store.write({n: maintenance.replace_resources(store.read(n), plan, new[n].join(wanted, "resource_id", "left_semi"), store_id) for n in ("resources", "blocks", "chunks")})
     plan.unpersist()
 
 

@@ -143,3 +143,15 @@ def test_office_and_epub():
     assert extract.parse_one("a.docx", docx)[4:6] == ("# Title\n\nBody", "Title")
     epub = archive({"META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>', "o/p.opf": '<package><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Book</dc:title></metadata><manifest><item id="b" href="2.html"/><item id="a" href="1.html"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>', "o/1.html": "<p>one</p>", "o/2.html": "<p>two</p>"})
     assert extract.parse_one("a.epub", epub)[4:] == ("one\n\ntwo", "Book", {"dc.title": "Book"})
+
+
+def test_headings_that_stay_and_go():
+    stay = ["Note:", "Appendix A", "Anesthesia in the OR", "iOS Basics", "von Neumann Architecture", "pH", "J. R. Smith and Sons", "The Sum. A Part", "[Draft] Chapter Three", "US$ 2 Trillion", "What Are We Here For", "日本"]
+    go = ["ends with a mark,", "Ends with a dash -", "Ends with a dash —", "Opens (", "Reasons to", "lower start here", "$ ls -la", "> quoted", "[*] Started the handler", "C:\\Windows", "#!/bin/sh", "One thing. Two things. Three things", "x" * 201]
+    assert [x for x in stay if extract.spurious_heading(x)] == [] and [x for x in go if not extract.spurious_heading(x)] == []
+
+
+def test_every_article_is_main_content(spark):
+    html = "<body><header> Top </header><article>one</article><div>ad</div><article id='x'>two</article></body>"
+    rows = spark.createDataFrame([(html,), ("<body><main>m</main></body>",), ("<p>bare</p>",)], "html string")
+    assert [r[0] for r in rows.select(extract.html_text("html")).collect()] == ["Top onetwo", "m", "bare"]

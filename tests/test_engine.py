@@ -7,7 +7,7 @@ from email.message import Message
 import pytest
 
 from loamline.engine import Engine
-from loamline.operators import embedding
+from loamline.operators import embedding, maintenance
 from loamline.operators.retrieval import RetrievalError
 from loamline.sources import fetch
 
@@ -101,3 +101,55 @@ def test_batched_provider():
         embedding.batched(lambda texts: [], 2)([["a"]])
     with pytest.raises(ValueError):
         embedding.embed_query("x", lambda documents: [])
+
+
+def test_stores_that_share_documents(spark, tmp_path):
+    """Replacing, pruning and deleting in one store leave the other alone, and every store change has its own manifest."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("# One\n\nalpha text about rivers")
+    (folder / "b.md").write_text("# Two\n\nbeta text about bridges")
+    engine = Engine(spark, str(tmp_path / "root"))
+    spec = {"kind": "path", "root": str(folder)}
+    for name in ("one", "two"):
+        engine.add_store(name)
+        assert engine.index(name, spec)["indexed"] == 2
+    counts = lambda: {r["name"]: (r["document_count"], r["chunk_count"]) for r in engine.list_stores().collect()}
+    before = counts()
+    (folder / "b.md").unlink()
+    (folder / "a.md").write_text("# One\n\nalpha text about mountains")
+    assert engine.index("one", spec, prune=True)["deleted"] == 1
+    assert counts()["two"] == before["two"] and counts()["one"][0] == 1
+    said = lambda name: engine.search("rivers", stores=[name]).filter("scores.bm25 IS NOT NULL").count()
+    assert said("two") == 1 and said("one") == 0
+    chunk = engine.tables.read("chunks").filter(f"store_id = '{engine.store_id('two')}'").first()
+    assert engine.get_chunk("two", chunk["chunk_id"]).count() == 1 and engine.get_chunk("one", chunk["chunk_id"]).count() <= 1 and engine.get_chunk("two", "none").count() == 0
+    assert [b["seq"] for b in engine.get_blocks(chunk["resource_id"], "two").collect()] == [0, 1]
+    source = engine.list_sources("one").first()["source_id"]
+    assert engine.delete_source("one", source) and not engine.delete_source("one", source)
+    assert counts()["two"] == before["two"] and counts()["one"] == (0, 0)
+
+
+def test_manifests(spark, tmp_path):
+    """A draft that never got its number changes nothing; of two writers from one state the later fails."""
+    root = str(tmp_path / "root")
+    one, two = maintenance.Snapshots(spark, root), maintenance.Snapshots(spark, root)
+    one.write({"t": spark.range(3)})
+    (tmp_path / "root" / "manifests" / "draft-x").write_text("{")
+    assert one.read("t").count() == 3
+    state = two._current()
+    one.write({"t": spark.range(5)})
+    two._current = lambda: state
+    with pytest.raises(OSError):
+        two.write({"t": spark.range(7)})
+    assert one.read("t").count() == 5 and one.vacuum() > 0 and one.read("t").count() == 5 and len(one._numbers()) == 1
+
+
+def test_excerpts_end_at_sentences(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("Rivers run to the sea and carry sand with them. Then they rest for a while in wide valleys before they go on.")
+    engine = Engine(spark, str(tmp_path / "root"))
+    engine.add_store("one")
+    engine.index("one", {"kind": "path", "root": str(folder)})
+    assert engine.search("rivers", content_length=50).first()["excerpt"] == "Rivers run to the sea and carry sand with them."

@@ -51,7 +51,9 @@ def test_text_columns(spark):
     assert value(spark, text.last_segment(lit("https://e.example/a/b.md?x=1"))) == "b.md"
     assert [value(spark, text.extension(lit(x))) for x in ("a/b.tar.gz", ".bashrc", "x", "a.b/c")] == ["gz", None, None, None]
     assert [value(spark, text.duration_seconds(lit(x))) for x in ("24h", "30m", "3600s", "7", "0", "-1", "x", "99999999999999999d")] == [86400, 1800, 3600, 7, None, None, None, None]
-    assert [value(spark, text.human_size(lit(x))) for x in (10, 2048, 5 * 1024**3)] == ["10 B", "2.0 KiB", "5.0 GiB"]
+    assert [value(spark, text.human_size(lit(x))) for x in (10, 2048, 5 * 1024**3)] == ["10 B", "2.0 KB", "5.0 GB"]
+    # Ties of the first decimal: 81.25, 81.75 and 131.25 KB.
+    assert [value(spark, text.human_size(lit(x))) for x in (83200, 83712, 134400, 1024**5 * 2)] == ["81.2 KB", "81.8 KB", "131.2 KB", "2048.0 TB"]
     assert [value(spark, text.pdf_date(lit(x))) for x in ("D:2024", "D:202403", "D:20240317", "20240317120102Z", "D:20241399", "none")] == ["2024", "2024-03", "2024-03-17", "2024-03-17T12:01:02", "2024", None]
     assert value(spark, text.rfc3339(lit(0))) == "1970-01-01T00:00:00Z"
     assert value(spark, text.prose_like(lit("The quick brown fox jumps over the lazy dog, and then it rests."))) is True
@@ -67,6 +69,7 @@ def test_retry_after():
 
 def test_code_like():
     assert all(map(text.code_like, ["$ ls -la", "import os", "key: value", "a/b/c", "10.0.0.1", "0x1F", "  x\n  y\nz"]))
+    assert not text.code_like("Prose with *stars*, _lines_, a #tag, R&D, 5$ and ~ten^ `ticks` in it") and text.code_like("f(x); g[y]; {z}")
     assert not text.code_like("A plain sentence that says nothing at all") and not text.code_like("")
 
 
