@@ -16,12 +16,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import blank_words, let
+from loamline.llm.common import blank_words, cut, let
 
 WINDOW = 8
 #: Rows of the sample on which the rules' cost and selectivity are estimated.
 SAMPLE_ROWS = 300
 SAMPLE_CHARS = 100_000
+#: Rows drawn for each one wanted, as a draw's size varies.
+SPARE = 1.2
+SAMPLE_SEED = 17
 
 # Limits of the rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -100,9 +103,11 @@ def with_figures(rows: DataFrame) -> DataFrame:
 
 
 def sample_texts(documents: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The figures of a bounded sample: the first rows that a few tasks find, texts of up to SAMPLE_CHARS characters."""
-    some = documents.select(F.col(text_col).alias("text")).filter(F.length("text") <= SAMPLE_CHARS).head(rows)
-    return with_figures(documents.sparkSession.createDataFrame([(x["text"],) for x in some], "text string").coalesce(1))
+    """The figures of at most rows texts, drawn evenly over the whole table by one scan; longer ones than SAMPLE_CHARS and nulls are left out."""
+    texts = documents.select(F.col(text_col).alias("text"))
+    share = min(1.0, SPARE * rows / max(1, texts.count()))
+    some = texts.sample(share, seed=SAMPLE_SEED).filter(F.length("text") <= SAMPLE_CHARS).limit(rows)
+    return with_figures(cut(some).coalesce(1))
 
 
 def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
