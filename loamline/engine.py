@@ -69,7 +69,8 @@ class Engine:
         """How many chunks went with the document."""
         gone = reading.find_document(self.tables.read("resources"), resource_id, [self.store_id(name_or_id)]).select("store_id", "resource_id")
         n = self.tables.read("chunks").join(gone, ["store_id", "resource_id"], "left_semi").count()
-        self.tables.write({t: self.tables.read(t).join(gone, ["store_id", "resource_id"], "left_anti") for t in ("resources", "blocks", "chunks")})
+        have = self.tables.manifest()["tables"]
+        self.tables.write({t: self.tables.read(t).join(gone, ["store_id", "resource_id"], "left_anti") for t in maintenance.OWNED if t in have})
         return n
 
     def delete_source(self, name_or_id: str, source_id: str) -> bool:
@@ -77,9 +78,10 @@ class Engine:
         gone = self.sources().filter((F.col("store_id") == self.store_id(name_or_id)) & (F.col("source_id") == source_id))
         if gone.isEmpty():
             return False
-        have = [n for n in self.tables.manifest()["tables"] if n in ("sources", "resources", "blocks", "chunks")]
+        names = ("sources", *maintenance.OWNED)
+        have = [n for n in self.tables.manifest()["tables"] if n in names]
         none = self.spark.createDataFrame([], "store_id string, resource_id string, source_id string")
-        left = maintenance.cascade({n: self.tables.read(n) if n in have else none for n in ("sources", "resources", "blocks", "chunks")}, sources=gone)
+        left = maintenance.cascade({n: self.tables.read(n) if n in have else none for n in names}, sources=gone)
         self.tables.write({n: left[n] for n in have})
         return True
 
@@ -106,12 +108,16 @@ class Engine:
         lost = pages.filter(status.isin(404, 410)).select(F.col("url").alias("uri")) if parsed.kind == "url" else None
 
         new = ingest.index(listed, store, source, self.policy)
-        new["chunks"] = embedding.embed_chunks(new["chunks"].dropDuplicates(["store_id", "chunk_id"]), self.provider)
+        # The index needs no embeddings.
+        new["chunks"] = new["chunks"].dropDuplicates(["store_id", "chunk_id"])
+        new = maintenance.with_index(new) | {"chunks": embedding.embed_chunks(new["chunks"], self.provider)}
         fresh = self.spark.createDataFrame([(source, store, parsed.kind, place if parsed.kind == "path" else None, None if parsed.kind == "path" else place, parsed.refresh, int(time.time()), known[0]["created_at"] if known else _now())], SOURCES)
         outcome = ingest.outcomes(listed)
         observed = outcome.join(new["resources"].select("uri", "content_hash"), "uri", "left")
         have = self.tables.manifest()["tables"]
-        old = {n: self.tables.read(n) if n in have else new[n].filter("false") for n in ("resources", "blocks", "chunks")}
+        old = {n: self.tables.read(n) for n in maintenance.OWNED if n in have}
+        # A store from before the index gets one of its chunks.
+        old = (maintenance.with_index(old) | old) if old else {n: new[n].filter("false") for n in new}
         own = old["resources"].filter((F.col("store_id") == store) & (F.col("source_id") == source)).select("uri", "resource_id", "content_hash", "policy_version")
         plan = maintenance.plan_changes(own, observed, lost, self.policy, prune=prune, complete=parsed.kind == "path").persist()
         try:
@@ -139,7 +145,9 @@ class Engine:
             raise RetrievalError("invalid_request", "the query is blank")
         scope = retrieval.resolve_stores(self.stores(), stores)
         wanted = Filters(**{**(filters.__dict__ if filters else {}), "stores": scope})
-        return retrieval.search(self._chunks(), query, embedding.embed_query(query, self.provider), wanted, top_n=retrieval.clamp_limit(limit), offset=offset, snippet=content_length, excerpt=text.snippet)
+        kept = ("postings", "lengths")
+        index = tuple(self.tables.read(n) for n in kept) if all(n in self.tables.manifest()["tables"] for n in kept) else None
+        return retrieval.search(self._chunks(), query, embedding.embed_query(query, self.provider), wanted, top_n=retrieval.clamp_limit(limit), offset=offset, snippet=content_length, excerpt=text.snippet, index=index)
 
     def get_document(self, resource_id: str, store: str | None = None) -> DataFrame:
         """The document's row with its text."""

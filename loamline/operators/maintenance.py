@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamline.operators import retrieval
+
 KEYS = {"stores": ["store_id"], "sources": ["source_id"], "resources": ["store_id", "resource_id"], "blocks": ["store_id", "resource_id", "seq"], "chunks": ["store_id", "chunk_id"]}
 
 
@@ -51,6 +53,23 @@ def counters(plan: DataFrame) -> DataFrame:
     return plan.agg(n("insert", "replace").alias("indexed"), n("skip", "empty").alias("skipped"), n("unsupported").alias("unsupported"), n("error").alias("errors"), n("delete").alias("deleted"), n("prunable").alias("docs_prunable"))
 
 
+#: Tables whose rows belong to a resource of a store.
+OWNED = ("resources", "blocks", "chunks", "postings", "lengths")
+SALT = 64
+
+
+def with_index(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with the full-text index, postings and lengths, of their chunks."""
+    return {**tables, **dict(zip(("postings", "lengths"), retrieval.build_postings(tables["chunks"], ("resource_id",)), strict=True))}
+
+
+def in_order(name: str, frame: DataFrame) -> DataFrame:
+    """Postings sorted by store and term within files, so that a query reads few row groups; the chunks of one term are dealt over SALT tasks."""
+    if name != "postings":
+        return frame
+    return frame.repartition("store_id", "term", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT))).sortWithinPartitions("store_id", "term", "chunk_id")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """existing with the rows of new put in place of those with equal keys. Of new rows with one key, one stays."""
     last = new.dropDuplicates(key)
@@ -87,7 +106,7 @@ def cascade(tables: dict[str, DataFrame], stores: DataFrame | None = None, sourc
         resources = lost if resources is None else resources.select("store_id", "resource_id").unionByName(lost)
     if resources is not None:
         gone = resources.select("store_id", "resource_id").distinct()
-        for n in ("resources", "blocks", "chunks"):
+        for n in (n for n in OWNED if n in out):
             out[n] = out[n].join(gone, ["store_id", "resource_id"], "left_anti")
     return out
 
@@ -144,7 +163,7 @@ class Snapshots:
         for name, frame in tables.items():
             path = f"{self.root}/{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
             entries[name] = {"path": path, "schema": frame.schema.json()}
-            writer = frame.write
+            writer = in_order(name, frame).write
             (writer.partitionBy("store_id") if "store_id" in frame.columns and len(frame.columns) > 1 else writer).parquet(path)
         after = {"version": self.VERSION, "tables": entries}
         draft, target = self._path(f"{self.root}/manifests/draft-{uuid.uuid4().hex}"), self._manifest(number + 1)

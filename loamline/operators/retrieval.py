@@ -114,13 +114,16 @@ def bm25_scores(chunks: DataFrame, query: str) -> DataFrame:
     return held.filter(every).join(F.broadcast(stats)).select(*chunks.columns, score.alias("score"))
 
 
-def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings: term, store_id, chunk_id, tf, positions; lengths: store_id, chunk_id, len). Written sorted by term, a query reads only its terms' row groups."""
-    held = chunks.select("store_id", "chunk_id", tokens(F.col("text")).alias("terms"))
-    lengths = held.select("store_id", "chunk_id", F.size("terms").alias("len"))
-    at = held.select("store_id", "chunk_id", F.posexplode("terms").alias("at", "term"))
-    postings = at.groupBy("term", "store_id", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-    return postings, lengths
+def build_postings(chunks: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(postings: term, store_id, chunk_id, tf, positions, len; lengths: store_id, chunk_id, len), both with the columns to keep, which a chunk's id decides.
+
+    Written sorted by term, a query reads only its terms' row groups.
+    """
+    key = ["store_id", "chunk_id", *keep]
+    held = chunks.select(*key, tokens(F.col("text")).alias("terms")).withColumn("len", F.size("terms"))
+    at = held.select(*key, "len", F.posexplode("terms").alias("at", "term"))
+    postings = at.groupBy("term", *key, "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    return postings, held.select(*key, "len")
 
 
 def bm25_from_postings(postings: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
@@ -128,12 +131,12 @@ def bm25_from_postings(postings: DataFrame, lengths: DataFrame, query: str) -> D
     phrases = query_phrases(postings.sparkSession, query)
     legs, kinds = None, list(dict.fromkeys(map(tuple, phrases)))
     for phrase in kinds:
-        part = postings.filter(F.col("term") == phrase[0]).select("store_id", "chunk_id", F.col("positions").alias("at"))
+        part = postings.filter(F.col("term") == phrase[0]).select("store_id", "chunk_id", "len", F.col("positions").alias("at"))
         for j, term in enumerate(phrase[1:], 1):
             other = postings.filter(F.col("term") == term).select("store_id", "chunk_id", F.transform("positions", lambda p: p - j).alias("more"))
-            part = part.join(other, ["store_id", "chunk_id"]).select("store_id", "chunk_id", F.array_intersect("at", "more").alias("at"))
+            part = part.join(other, ["store_id", "chunk_id"]).select("store_id", "chunk_id", "len", F.array_intersect("at", "more").alias("at"))
         times = float(sum(tuple(p) == phrase for p in phrases))
-        part = part.filter(F.size("at") > 0).select("store_id", "chunk_id", F.size("at").alias("f"), F.lit(times).alias("times"), F.lit("\x1f".join(phrase)).alias("phrase"))
+        part = part.filter(F.size("at") > 0).select("store_id", "chunk_id", "len", F.size("at").alias("f"), F.lit(times).alias("times"), F.lit("\x1f".join(phrase)).alias("phrase"))
         legs = part if legs is None else legs.unionByName(part)
     if legs is None:
         return lengths.select("store_id", "chunk_id", F.lit(0.0).alias("score")).filter(F.lit(False))
@@ -141,7 +144,8 @@ def bm25_from_postings(postings: DataFrame, lengths: DataFrame, query: str) -> D
     stats = lengths.agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
     idf = F.ln((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    rows = legs.join(F.broadcast(found), "phrase").join(lengths, ["store_id", "chunk_id"]).join(F.broadcast(stats))
+    # A row for each of the query's phrases, and one row of statistics.
+    rows = legs.join(F.broadcast(found), "phrase").join(F.broadcast(stats))
     return rows.groupBy("store_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("held")).filter(F.col("held") == len(kinds)).drop("held")
 
 
@@ -191,12 +195,16 @@ def cite(rows: DataFrame, chunks: DataFrame, snippet: int = 400, excerpt=None) -
     return hit.select("position", "store_id", "chunk_id", excerpt(F.col("text"), snippet).alias("excerpt"), where.alias("provenance"), scores.alias("scores"), "total", "next")
 
 
-def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, filters: Filters | None = None, leg_k: int = LEG_K, top_n: int = TOP_N, offset: int = 0, encoding: str = "f32", snippet: int = 400, excerpt=None) -> DataFrame:
-    """Fused search over chunk rows with text, and embedding if query_vector is given; chunks whose embedding is null are in the BM25 leg only. Blank queries are an error."""
+def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, filters: Filters | None = None, leg_k: int = LEG_K, top_n: int = TOP_N, offset: int = 0, encoding: str = "f32", snippet: int = 400, excerpt=None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Fused search over chunk rows with text, and embedding if query_vector is given; chunks whose embedding is null are in the BM25 leg only. Blank queries are an error.
+
+    With index, build_postings() of the same chunks, the BM25 leg reads that instead of the texts.
+    """
     if not query.strip():
         raise RetrievalError("invalid_request", "the query is blank")
     top_n = clamp_limit(top_n)
-    words = leg(bm25_scores(chunks, query), leg_k, filters)
+    scored = bm25_scores(chunks, query) if index is None else chunks.join(bm25_from_postings(*index, query), ["store_id", "chunk_id"])
+    words = leg(scored, leg_k, filters)
     dense = leg(dense_scores(chunks.filter("embedding IS NOT NULL"), query_vector, encoding), leg_k, filters) if query_vector is not None else words.filter(F.lit(False))
     return cite(rerank(page(rrf(dense, words), offset, top_n)), chunks, snippet, excerpt)
 

@@ -44,14 +44,17 @@ def merge(store: maintenance.Snapshots, files: DataFrame, store_id: str, source_
     new = index(files, store_id, source_id, policy)
     known = store.manifest()["tables"]
     if "resources" not in known:
-        store.write(new)
+        store.write(maintenance.with_index(new))
         return
     current = store.read("resources")
     observed = outcomes(files).join(new["resources"].select("uri", "content_hash"), "uri", "left")
     own = current.filter((F.col("store_id") == store_id) & (F.col("source_id") == source_id)).select("uri", "resource_id", "content_hash", "policy_version")
     plan = maintenance.plan_changes(own, observed, None, policy, complete=False).cache()
     wanted = plan.filter(F.col("action").isin("insert", "replace")).join(new["resources"].select("uri", "resource_id"), "uri").select("resource_id")
-    store.write({n: maintenance.replace_resources(store.read(n), plan, new[n].join(wanted, "resource_id", "left_semi"), store_id) for n in ("resources", "blocks", "chunks")})
+    come = maintenance.with_index({n: new[n].join(wanted, "resource_id", "left_semi") for n in new})
+    old = {n: store.read(n) for n in maintenance.OWNED if n in known}
+    old = maintenance.with_index(old) | old
+    store.write({n: maintenance.replace_resources(old[n], plan, come[n], store_id) for n in come})
     plan.unpersist()
 
 

@@ -153,3 +153,48 @@ def test_excerpts_end_at_sentences(spark, tmp_path):
     engine.add_store("one")
     engine.index("one", {"kind": "path", "root": str(folder)})
     assert engine.search("rivers", content_length=50).first()["excerpt"] == "Rivers run to the sea and carry sand with them."
+
+
+def test_kept_index(spark, tmp_path):
+    """The index follows every change, a search through it gives what the texts give, and a store without one is searched and mended."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    texts = {"a": "the river runs by the old mill", "b": "a mill by the sea", "c": "the sea, the sea-wind and the river mill"}
+    for name, body in texts.items():
+        (folder / f"{name}.md").write_text(f"# {name}\n\n{body}")
+    engine = Engine(spark, str(tmp_path / "root"))
+    for store in ("one", "two"):
+        engine.add_store(store)
+        engine.index(store, {"kind": "path", "root": str(folder)})
+    found = lambda q, stores=None: [(r["position"], r["store_id"], r["chunk_id"], round(r["scores"]["fused"], 9), r["scores"]["bm25"] and round(r["scores"]["bm25"], 9)) for r in engine.search(q, stores).orderBy("position").collect()]
+    read = lambda n: sorted(map(str, engine.tables.read(n).select("store_id", "resource_id", "chunk_id", "len", *(["term", "tf", "positions"] if n == "postings" else [])).collect()))
+
+    def agrees():
+        fresh = maintenance.with_index({"chunks": engine.tables.read("chunks")})
+        assert read("lengths") == sorted(map(str, fresh["lengths"].select("store_id", "resource_id", "chunk_id", "len").collect()))
+        assert read("postings") == sorted(map(str, fresh["postings"].select("store_id", "resource_id", "chunk_id", "len", "term", "tf", "positions").collect()))
+
+    agrees()
+    asked = [("mill", None), ("the sea", ["two"]), ("sea-wind river", None), ("sea sea", ["one"]), ("...", None)]
+    through = [found(*x) for x in asked]
+    full = engine.tables.manifest
+
+    def without():
+        state = full()
+        return {**state, "tables": {n: t for n, t in state["tables"].items() if n not in ("postings", "lengths")}}
+
+    engine.tables.manifest = without
+    assert [found(*x) for x in asked] == through and any(x[-1] for x in through[0])
+    engine.tables.manifest = full
+    (folder / "b.md").write_text("# b\n\na lighthouse now")
+    (folder / "a.md").unlink()
+    engine.tables.manifest = without
+    engine.index("one", {"kind": "path", "root": str(folder)}, prune=True)
+    engine.tables.manifest = full
+    agrees()
+    engine.delete_document("one", engine.list_documents("one").filter("uri like '%c.md'").first()["resource_id"])
+    agrees()
+    assert engine.delete_source("one", engine.list_sources("one").first()["source_id"])
+    agrees()
+    engine.delete_store("two")
+    assert engine.tables.read("postings").isEmpty() and engine.tables.read("lengths").isEmpty()
