@@ -98,6 +98,14 @@ def test_quality_order_doesnt_matter(small):
     assert a == b
 
 
+def test_quality_sample_is_drawn_over_the_whole_table(spark):
+    docs = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("w "), F.col("id")).alias("text"))
+    drawn = [int(r["text"][2:]) for r in quality.sample_texts(docs, "text", 200).select("text").collect()]
+    assert 120 <= len(drawn) <= 200 and len({*drawn}) == len(drawn) and sum(x >= 2000 for x in drawn) >= 40
+    assert quality.sample_texts(docs.filter("false"), "text").count() == 0
+    assert quality.sample_texts(docs.limit(7).union(docs.limit(1).select(F.lit(None).cast("string"))), "text").count() == 7
+
+
 def test_rules_are_ordered_by_rejection_per_cost(small):
     sample = quality.sample_texts(small, "text")
     often, never = quality.Rule("often", F.col("n_words") >= 0), quality.Rule("never", F.col("n_words") < 0)
