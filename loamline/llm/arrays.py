@@ -1,7 +1,8 @@
 """Vectorised work on the byte buffers of Arrow string columns.
 
-A prefix sum of table[byte] * B^i modulo 2^64 gives the hash of any byte range in constant time:
+A prefix sum of (byte + 1) * B^i modulo the prime 2^61 - 1 gives the hash of any byte range in constant time:
 (H[end] - H[start]) * B^-start. Word hashes and word-range hashes are made the same way, one level up.
+(Modulo 2^64 there are strings, such as Thue-Morse words of 1,024 letters, that meet for every odd base.)
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
 CHUNK_BYTES = 1 << 19
+#: The modulus of hashes; masks of 31 and 30 bits; numbers that are worked on at once.
+PRIME = U64((1 << 61) - 1)
+_HALF, _THIRTY = U64((1 << 31) - 1), U64((1 << 30) - 1)
+BLOCK = 1 << 13
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,48 +28,106 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2^61 - 1."""
+    x = (x & PRIME) + (x >> U64(61))
+    x -= (x >= PRIME) * PRIME
+    return x
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values below it: products of 31-bit halves, as 2^61 is 1. b may be one number."""
+    if len(a) > BLOCK:
+        return np.concatenate([product(a[k : k + BLOCK], b[k : k + BLOCK] if b.ndim else b) for k in range(0, len(a), BLOCK)])
+    a1, a0, b1, b0 = a >> U64(31), a & _HALF, b >> U64(31), b & _HALF
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= b1
+    a1 <<= U64(1)
+    a1 += middle >> U64(30)
+    middle &= _THIRTY
+    middle <<= U64(31)
+    a1 += middle
+    a0 *= b0
+    a1 += a0
+    return reduced(a1)
+
+
+def running(values: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """0 and the running sums of values, or of (value + 1) * times for bytes, modulo the prime; a block at a time, which stays in the cache."""
+    out, last = np.zeros(len(values) + 1, U64), U64(0)
+    for k in range(0, len(values), BLOCK):
+        x = values[k : k + BLOCK]
+        if times is None:
+            high, low = np.cumsum(x >> U64(31)), np.cumsum(x & _HALF)
+        else:
+            x, y = x.astype(U64) + U64(1), times[k : k + BLOCK]
+            high, low = np.cumsum(x * (y >> U64(31))), np.cumsum(x * (y & _HALF))
+        high = reduced(high)
+        low = reduced(low)
+        low += high >> U64(30)
+        high &= _THIRTY
+        high <<= U64(31)
+        low += high
+        low += last
+        out[k + 1 : k + 1 + len(x)] = reduced(low)
+        last = out[k + len(x)]
+    return out
+
+
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, grown on demand."""
+    """Powers of a number and of its inverse modulo the prime, grown on demand by doubling."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        prime = int(PRIME)
+        self.base = base % (prime - 2) + 2
+        self.inverse = pow(self.base, -1, prime)
         self.up = self.down = np.ones(1, U64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            steps = np.ones(size, U64)
-            steps[1:] = U64(self.base)
-            self.up = np.multiply.accumulate(steps)
-            steps[1:] = U64(self.inverse)
-            self.down = np.multiply.accumulate(steps)
+        while len(self.up) < n:
+            size = len(self.up)
+            step = [U64(pow(x, size, int(PRIME))) for x in (self.base, self.inverse)]
+            self.up = np.concatenate([self.up, product(self.up, step[0])])
+            self.down = np.concatenate([self.down, product(self.down, step[1])])
         return self.up[:n], self.down[:n]
 
 
 class Hasher:
-    """Hashes of byte ranges; equal seeds give equal hashes in every process."""
+    """Hashes of byte ranges and of sequences of hashes; equal seeds give equal hashes in every process.
+
+    Two different strings of n bytes meet for at most n of the 2^61 bases, whatever they hold.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.table = rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        self.bytes, self.words = (Powers(int(x)) for x in rng.integers(1 << 61, 1 << 62, 2))
+        self.bytes, self.words = (Powers(int(x)) for x in rng.integers(1 << 60, 1 << 61, 2))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         up, _ = self.bytes.upto(len(data) + 1)
-        out = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.table[data] * up[: len(data)], out=out[1:])
-        return out
+        return running(data, up[: len(data)])
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         _, down = self.bytes.upto(len(prefix))
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+        return mix(product(reduced(prefix[end] + (PRIME - prefix[start])), down[start]) + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
     def runs(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of ranges of a sequence of hashes."""
         up, down = self.words.upto(len(hashes) + 1)
-        total = np.zeros(len(hashes) + 1, U64)
-        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
+        total = running(product(reduced(hashes), up[: len(hashes)]))
+        return mix(product(reduced(total[end] + (PRIME - total[start])), down[start]) + (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
+
+
+def quick_grams(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each width bytes, modulo 2^64: good for choosing places, as equal bytes have equal hashes, but different ones may meet."""
+    up = np.full(len(data) + 1, U64(0x9E3779B97F4A7C15))
+    down = np.full(len(data) + 1, U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+    up[0] = down[0] = U64(1)
+    np.multiply.accumulate(up, out=up)
+    np.multiply.accumulate(down, out=down)
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(mix(np.arange(1, 257, dtype=U64))[data] * up[:-1], out=total[1:])
+    return mix((total[width:] - total[: len(data) - width + 1]) * down[: len(data) - width + 1])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

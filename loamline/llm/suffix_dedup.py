@@ -47,7 +47,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, anchor: int, hashe
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, arrays.U64, arrays.U64))
     prefix = hasher.prefix(data)
-    grams = hasher.ranges(prefix, np.arange(n - anchor + 1), np.arange(anchor, n + 1))
+    grams = arrays.quick_grams(data, anchor)
     low = arrays.U64((1 << 24) - 1)
     least = window_least((grams & ~low) | np.arange(len(grams), dtype=arrays.U64), width)
     at = (least & low).astype(np.int64)  # of the window from each start
@@ -153,7 +153,15 @@ def _compared(kinds: DataFrame, length: int, anchor: int) -> DataFrame:
     """fp, cx, spans of segments by deep-shallow sorting of each anchor's group; groups arrive together, in any order."""
     spans_type = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
-    def solve(rows: list[tuple]) -> Iterator[tuple]:
+    def solve(group: list[tuple]) -> Iterator[tuple]:
+        # Anchors are compared byte by byte: equal hashes alone prove nothing.
+        by_anchor: dict[bytes, list[tuple]] = {}
+        for row in group:
+            by_anchor.setdefault(row[5][row[4] : row[4] + anchor], []).append(row)
+        for rows in by_anchor.values():
+            yield from solved(rows)
+
+    def solved(rows: list[tuple]) -> Iterator[tuple]:
         if len(rows) > 1:
             left, right = zip(*((s[: high][::-1], s[high:]) for _, _, _, _, high, s in rows), strict=True)
             shared = shared_windows(list(left), list(right), length, anchor)
