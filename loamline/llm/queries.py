@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamline.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
+from loamline.llm import bpe, decontaminate, line_dedup, merkle, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
 from loamline.llm.common import table
 
 
@@ -52,8 +53,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.digests(merkle.documents_manifest(table(spark, sf_dir, "documents"), tampered=tampered))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules, "pipeline": corpus_pipeline.run}
+    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules, "op13_merkle_manifest": op13_merkle_manifest, "pipeline": corpus_pipeline.run}
 
 
 #: The passages of d(doc_id, text), as chosen places i of windows.
@@ -176,6 +182,41 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN shared ON shared.doc_id = d.
 ).replace("@", PASSAGES_SQL)
 
 
+#: Trees level by level; the checksum is CRC-32 bit by bit.
+MANIFEST_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, coalesce(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * length(doc_id::VARCHAR)), lambda s: CASE WHEN s % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, s // 8 + 1, 1))::BIGINT ELSE 0::BIGINT END)),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 0) AS crc FROM documents
+), e AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM c
+), r AS (
+  SELECT lang, doc_id, leaf, probe, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT lang, doc_id, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+          sha256(head || coalesce(strlen(m::VARCHAR) || ':' || m::VARCHAR, '-') || tail) AS probe FROM (SELECT *, n_chars + (xor(crc, 4294967295) % 7 = 0 AND doc_id IS NOT NULL)::INT AS m FROM e))
+), tree AS (
+  SELECT lang, 0 AS lvl, rank AS idx, n, leaf AS h FROM r
+  UNION ALL SELECT lang, lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY lang, lvl, idx // 2
+), tops AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n FROM tree WHERE n = 1
+), upper AS (
+  SELECT 0 AS lvl, rank AS idx, n, subroot AS h FROM tops
+  UNION ALL SELECT lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM upper WHERE n > 1 GROUP BY lvl, idx // 2
+), steps AS (
+  SELECT r.lang, r.rank, k.lvl, a.idx < (r.rank >> k.lvl) AS before, a.h FROM r JOIN (SELECT DISTINCT lang, lvl FROM tree WHERE n > 1) k ON r.lang IS NOT DISTINCT FROM k.lang
+    LEFT JOIN tree a ON a.lang IS NOT DISTINCT FROM r.lang AND a.lvl = k.lvl AND a.idx = xor(r.rank >> k.lvl, 1)
+  UNION ALL SELECT r.lang, r.rank, 1000 + k.lvl, a.idx < (t.rank >> k.lvl), a.h FROM r JOIN tops t ON r.lang IS NOT DISTINCT FROM t.lang CROSS JOIN (SELECT DISTINCT lvl FROM upper WHERE n > 1) k
+    LEFT JOIN upper a ON a.lvl = k.lvl AND a.idx = xor(t.rank >> k.lvl, 1)
+), proofs AS (
+  SELECT lang, rank, coalesce(string_agg(h, '' ORDER BY lvl), '') AS beside, list(CASE WHEN h IS NULL THEN '-' WHEN before THEN 'l' || h ELSE 'r' || h END ORDER BY lvl) AS told FROM steps GROUP BY lang, rank
+), folded AS (
+  SELECT r.*, t.subroot, coalesce(p.beside, '') AS beside, (SELECT h FROM upper WHERE n = 1) AS root,
+    list_reduce(list_prepend(probe, coalesce(told, []::VARCHAR[])), lambda node, s: sha256(CASE WHEN s[1] = 'l' THEN s[2:] || node WHEN s[1] = 'r' THEN node || s[2:] ELSE node END)) AS folded_root
+  FROM r JOIN tops t ON r.lang IS NOT DISTINCT FROM t.lang LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM r.lang AND p.rank = r.rank
+)
+SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Segmentation, learning, encoding and overlapping pattern spans have none; tests hold those queries against plain Python."""
-    return {"op4_suffix_dedup": SUFFIX_SQL, "op6_decontamination": CONTAMINATION_SQL, "op7_ngram_join": JACCARD_SQL, "op9_line_dedup": LINES_SQL, "op10_quality_rules": QUALITY_SQL}
+    return {"op4_suffix_dedup": SUFFIX_SQL, "op6_decontamination": CONTAMINATION_SQL, "op7_ngram_join": JACCARD_SQL, "op9_line_dedup": LINES_SQL, "op10_quality_rules": QUALITY_SQL, "op13_merkle_manifest": MANIFEST_SQL}
