@@ -52,18 +52,25 @@ def blank_words(text: Column) -> Column:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset and the master is local (tests).
-
-    All of an application's folders are in one, which goes when its driver ends.
-    """
+def shared_base(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir, or a temporary one where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         base = tempfile.mkdtemp(prefix="loamline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    own = f"{base.rstrip('/')}/loamline-{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
+def kept_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below shared_base() for files that stay after the application."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below shared_base(). All of an application's folders are in one, which goes when its driver ends."""
+    own = f"{shared_base(spark)}/loamline-{spark.sparkContext.applicationId}"
     if own not in _OWN:
         _OWN.add(own)
         at, fs = _path(spark, own)
@@ -72,6 +79,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{own}/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def _path(spark: SparkSession, path: str):
     """The Hadoop path and its file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -105,17 +117,13 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads, and let Spark's cleaner find the shuffles of finished jobs."""
         for frame in frames:
-            self._delete(self.held.pop(id(frame))[1])
+            delete(self.spark, self.held.pop(id(frame))[1])
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def _delete(self, path: str) -> None:
-        at, fs = _path(self.spark, path)
-        fs.delete(at, True)
-
     def __exit__(self, *_) -> None:
         for _, path in self.held.values():
-            self._delete(path)
+            delete(self.spark, path)
         self.held.clear()
 
 
