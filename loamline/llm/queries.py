@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamline.llm import bpe, decontaminate, line_dedup, merkle, ngram_join, pii, quality, suffix_dedup, time_partitions, token_counts, toxicity, url_filter
+from loamline.llm import bpe, decontaminate, line_dedup, merkle, ngram_join, pii, quality, suffix_dedup, time_partitions, token_counts, toxicity, url_filter, vector_graph
 from loamline.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = table(spark, sf_dir, "clicks")
     early = F.col("arrived_at") < F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
@@ -65,7 +69,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules, "op12_time_partitions": op12_time_partitions, "op13_merkle_manifest": op13_merkle_manifest, "pipeline": corpus_pipeline.run}
+    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_ngram_join": op7_ngram_join, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_quality_rules": op10_quality_rules, "op11_embedding_dedup": op11_embedding_dedup, "op12_time_partitions": op12_time_partitions, "op13_merkle_manifest": op13_merkle_manifest, "pipeline": corpus_pipeline.run}
 
 
 #: The passages of d(doc_id, text), as chosen places i of windows.
