@@ -61,16 +61,22 @@ class Engine:
 
     def delete_store(self, name_or_id: str) -> None:
         """The store goes, with its sources, documents, blocks and chunks."""
-        gone = self.spark.createDataFrame([(self.store_id(name_or_id),)], "store_id string")
+        store = self.store_id(name_or_id)
         have = self.tables.manifest()["tables"]
+        small = {n: self._table(n, schema).filter(F.col("store_id") != store) for n, schema in (("stores", STORES), ("sources", SOURCES)) if n in have}
+        if self.tables.parted(maintenance.OWNED):
+            self.tables.forget(store, small)
+            return
+        gone = self.spark.createDataFrame([(store,)], "store_id string")
         self.tables.write(maintenance.cascade({n: self.tables.read(n) for n in have}, stores=gone))
 
     def delete_document(self, name_or_id: str, resource_id: str) -> int:
         """How many chunks went with the document."""
         gone = reading.find_document(self.tables.read("resources"), resource_id, [self.store_id(name_or_id)]).select("store_id", "resource_id")
-        n = self.tables.read("chunks").join(gone, ["store_id", "resource_id"], "left_semi").count()
+        parts = {r["part"] for r in gone.select(maintenance.part_key().alias("part")).collect()} if self.tables.parted(maintenance.OWNED) else None
+        n = self.tables.read("chunks", parts=parts).join(gone, ["store_id", "resource_id"], "left_semi").count()
         have = self.tables.manifest()["tables"]
-        self.tables.write({t: self.tables.read(t).join(gone, ["store_id", "resource_id"], "left_anti") for t in maintenance.OWNED if t in have})
+        self.tables.write({t: self.tables.read(t, parts=parts).join(gone, ["store_id", "resource_id"], "left_anti") for t in maintenance.OWNED if t in have}, parts=parts)
         return n
 
     def delete_source(self, name_or_id: str, source_id: str) -> bool:
@@ -107,27 +113,18 @@ class Engine:
             raise RetrievalError("invalid_request", f"a {parsed.kind} source needs fetched pages")
         lost = pages.filter(status.isin(404, 410)).select(F.col("url").alias("uri")) if parsed.kind == "url" else None
 
-        new = ingest.index(listed, store, source, self.policy)
-        # The index needs no embeddings.
-        new["chunks"] = new["chunks"].dropDuplicates(["store_id", "chunk_id"])
-        new = maintenance.with_index(new) | {"chunks": embedding.embed_chunks(new["chunks"], self.provider)}
         fresh = self.spark.createDataFrame([(source, store, parsed.kind, place if parsed.kind == "path" else None, None if parsed.kind == "path" else place, parsed.refresh, int(time.time()), known[0]["created_at"] if known else _now())], SOURCES)
-        outcome = ingest.outcomes(listed)
-        observed = outcome.join(new["resources"].select("uri", "content_hash"), "uri", "left")
-        have = self.tables.manifest()["tables"]
-        old = {n: self.tables.read(n) for n in maintenance.OWNED if n in have}
-        # A store from before the index gets one of its chunks.
-        old = (maintenance.with_index(old) | old) if old else {n: new[n].filter("false") for n in new}
-        own = old["resources"].filter((F.col("store_id") == store) & (F.col("source_id") == source)).select("uri", "resource_id", "content_hash", "policy_version")
-        plan = maintenance.plan_changes(own, observed, lost, self.policy, prune=prune, complete=parsed.kind == "path").persist()
-        try:
-            wanted = plan.filter(F.col("action").isin("insert", "replace")).select("uri").join(new["resources"].select("uri", "resource_id"), "uri").select("resource_id")
-            # All new rows are made, embeddings included, before the pointer moves.
-            tables = {n: maintenance.replace_resources(old[n], plan, new[n].join(wanted, "resource_id", "left_semi"), store) for n in old}
+        since = self.tables.number()
+        with self.tables.scratch() as keep:
+            new = ingest.index(listed, store, source, self.policy, keep)
+            # Embeddings are made once, too, and all new rows before the pointer moves.
+            new["chunks"] = keep(embedding.embed_chunks(new["chunks"].dropDuplicates(["store_id", "chunk_id"]), self.provider))
+            observed = new["outcomes"].join(new["resources"].select("uri", "content_hash"), "uri", "left")
+            old = self.tables.read("resources", [store]) if "resources" in self.tables.manifest()["tables"] else new["resources"].filter("false")
+            own = old.filter((F.col("store_id") == store) & (F.col("source_id") == source)).select("uri", "resource_id", "content_hash", "policy_version")
+            plan = keep(maintenance.plan_changes(own, observed, lost, self.policy, prune=prune, complete=parsed.kind == "path"))
             counts = maintenance.counters(plan).first().asDict()
-            self.tables.write({**tables, "sources": maintenance.upsert(self.sources(), fresh, ["source_id"])})
-        finally:
-            plan.unpersist()
+            ingest.apply(self.tables, plan, new, store, {"sources": maintenance.upsert(self.sources(), fresh, ["source_id"])}, since)
         return counts
 
     def due(self) -> DataFrame:
@@ -135,9 +132,9 @@ class Engine:
 
     # --- queries ---
 
-    def _chunks(self) -> DataFrame:
-        head = self.tables.read("resources").select("store_id", "resource_id", "uri", F.col("modified_at").alias("fetched_at"), "policy_version", files.stored_mime(F.col("uri")).alias("mime"))
-        return self.tables.read("chunks").join(head, ["store_id", "resource_id"])
+    def _chunks(self, stores: list[str] | None = None) -> DataFrame:
+        head = self.tables.read("resources", stores).select("store_id", "resource_id", "uri", F.col("modified_at").alias("fetched_at"), "policy_version", files.stored_mime(F.col("uri")).alias("mime"))
+        return self.tables.read("chunks", stores).join(head, ["store_id", "resource_id"])
 
     def search(self, query: str, stores: list[str] | None = None, limit: int | None = None, offset: int = 0, content_length: int = EXCERPT, filters: Filters | None = None) -> DataFrame:
         """Citations of the best chunks for a query over the named stores, or over all."""
@@ -147,7 +144,10 @@ class Engine:
         wanted = Filters(**{**(filters.__dict__ if filters else {}), "stores": scope})
         kept = ("postings", "lengths")
         index = tuple(self.tables.read(n) for n in kept) if all(n in self.tables.manifest()["tables"] for n in kept) else None
-        return retrieval.search(self._chunks(), query, embedding.embed_query(query, self.provider), wanted, top_n=retrieval.clamp_limit(limit), offset=offset, snippet=content_length, excerpt=text.snippet, index=index)
+        if index is None:
+            # Without an index the statistics come from all texts, so all are read.
+            return retrieval.search(self._chunks(), query, embedding.embed_query(query, self.provider), wanted, top_n=retrieval.clamp_limit(limit), offset=offset, snippet=content_length, excerpt=text.snippet)
+        return retrieval.search(self._chunks(scope), query, embedding.embed_query(query, self.provider), wanted, top_n=retrieval.clamp_limit(limit), offset=offset, snippet=content_length, excerpt=text.snippet, index=index, lengths=self.tables.lengths() if index else None)
 
     def get_document(self, resource_id: str, store: str | None = None) -> DataFrame:
         """The document's row with its text."""

@@ -6,10 +6,13 @@ Rows are immutable files, so a change is a new snapshot: plans are joins, and ap
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +59,8 @@ def counters(plan: DataFrame) -> DataFrame:
 #: Tables whose rows belong to a resource of a store.
 OWNED = ("resources", "blocks", "chunks", "postings", "lengths")
 SALT = 64
+#: Parts of a store in each of its tables; a change rewrites the parts of its resources only.
+BUCKETS = 16
 
 
 def with_index(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -92,9 +97,21 @@ def replace_resources(existing: DataFrame, plan: DataFrame, new: DataFrame, stor
     key = ["resource_id"]
     if store is not None:
         leaving, key = leaving.withColumn("store_id", F.lit(store)), ["store_id", "resource_id"]
+        new = of_store(new, store)
     return existing.join(leaving, key, "left_anti").select(*existing.columns).unionByName(new, allowMissingColumns=True)
 
 
+def of_store(rows: DataFrame, store: str) -> DataFrame:
+    """The rows; one of another store is an error when it is written."""
+    other = F.raise_error(F.concat(F.lit("tenant mismatch: a row of store "), F.coalesce("store_id", F.lit("null")), F.lit(f" in a write to {store}"))).cast("string")
+    return rows.withColumn("store_id", F.when(F.col("store_id") == store, F.col("store_id")).otherwise(other))
+
+
+def part_key() -> Column:
+    """The part of a table that a row belongs to: its store and one of BUCKETS by resource."""
+    return F.concat_ws(".", "store_id", F.lpad(F.pmod(F.xxhash64("resource_id"), F.lit(BUCKETS)).cast("string"), 2, "0"))
+
+
 def cascade(tables: dict[str, DataFrame], stores: DataFrame | None = None, sources: DataFrame | None = None, resources: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables without what belongs to the given stores (store_id), sources (source_id) and resources (store_id, resource_id)."""
     out = dict(tables)
@@ -117,13 +134,15 @@ def stale_stores(resources: DataFrame, policy: str) -> DataFrame:
 
 
 class Snapshots:
-    """Tables as immutable Parquet snapshots under one root, named by numbered manifests of which the highest is current.
+    """Tables as immutable Parquet folders under one root, named by numbered manifests of which the highest is current.
 
-    A snapshot is written in full before a manifest names it, and a manifest before it gets its number, so a failed write leaves the
-    former one current. A number is given once: of two writers that start from one state the later fails. The manifest has a schema version; a newer one is refused.
+    A table of resources' rows is held in parts, by store and bucket of resources, each a folder of its own; a write that says which parts it
+    touches leaves the files of all others in place. Everything is written in full before a manifest names it, and a manifest before it gets its number, so a failed
+    write leaves the former state. A number is given once: of two writers that start from one state the later fails. That rests on a rename that doesn't replace,
+    as local folders and HDFS have it; object stores whose rename replaces need a committer of their own. The manifest has a schema version; a newer one is refused.
     """
 
-    VERSION = 1
+    VERSION = 2
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -140,32 +159,85 @@ class Snapshots:
         return self._path(f"{self.root}/manifests/{number:012d}")
 
     def manifest(self) -> dict:
-        """{version, tables: {name: {path, schema}}}; empty for a fresh root."""
+        """{version, tables: {name: {schema, parts: {key: folder}}}, meta}; empty for a fresh root. Version 1 has a path in place of parts."""
         return self._current()[1]
 
     def _current(self) -> tuple[int, dict]:
         numbers = self._numbers()
         if not numbers:
-            return 0, {"version": self.VERSION, "tables": {}}
+            return 0, {"version": self.VERSION, "tables": {}, "meta": {}}
         found = json.loads(self.spark.read.text(self._manifest(numbers[-1]).toString(), wholetext=True).first()[0])
         if found["version"] > self.VERSION:
             raise ValueError(f"the store has version {found['version']}; this code knows {self.VERSION}")
         return numbers[-1], found
 
-    def read(self, name: str) -> DataFrame:
-        entry = self.manifest()["tables"][name]
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["path"])
+    def meta(self) -> dict:
+        return self.manifest().get("meta", {})
 
-    def write(self, tables: dict[str, DataFrame]) -> dict:
-        """Write the tables as new snapshots, then a manifest that names them; tables not given stay as they are."""
+    def read(self, name: str, stores: list[str] | None = None, parts: set[str] | None = None) -> DataFrame:
+        """The table, or only the parts of some stores, or some parts: other folders aren't listed."""
+        entry = self.manifest()["tables"][name]
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        if "path" in entry:
+            out = self.spark.read.schema(schema).parquet(entry["path"])
+            out = out.filter(F.col("store_id").isin(stores)) if stores is not None and "store_id" in out.columns else out
+            return out.filter(part_key().isin(sorted(parts))) if parts is not None and _parted(schema.names) else out
+        wanted = {k: d for k, d in entry["parts"].items() if (stores is None or not k or k.rpartition(".")[0] in stores) and (parts is None or not k or k in parts)}
+        return self.spark.read.schema(schema).parquet(*wanted.values()) if wanted else self.spark.createDataFrame([], schema)
+
+    def number(self) -> int:
+        """The current state's number, for write(since=...)."""
+        return self._current()[0]
+
+    def write(self, tables: dict[str, DataFrame], parts: set[str] | None = None, drop: tuple[str, ...] = (), meta: dict | None = None, since: int | None = None) -> dict:
+        """Write the tables, then a manifest that names them; tables not given stay as they are, but for those to drop. With parts, the
+        tables hold the new rows of these parts only, and all other parts stay. With since, a state that isn't the current one any more is an error."""
+        number, now = self._current()
+        if since is not None and since != number:
+            raise OSError("another writer has changed the store; nothing was changed here")
+        return self.commit(number, now, {n: self.staged(n, frame, now["tables"].get(n), parts) for n, frame in tables.items()}, drop, meta)
+
+    def staged(self, name: str, frame: DataFrame, entry: dict | None = None, parts: set[str] | None = None) -> dict:
+        """The manifest entry of rows that are written here and now."""
+        path = f"{self.root}/{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        out = {"schema": frame.schema.json()}
+        if not _parted(frame.columns):
+            in_order(name, frame).write.parquet(path)
+            return out | {"parts": {"": path}}
+        in_order(name, frame).withColumn("__part", part_key()).write.partitionBy("__part").parquet(path)
+        found = {d.removeprefix("__part="): f"{path}/{d}" for d in (x.getPath().getName() for x in self._fs.listStatus(self._path(path))) if d.startswith("__part=")}
+        # A hidden store name may hold characters that a folder's name can't.
+        found = {_unescaped(k): d for k, d in found.items()}
+        kept = {}
+        if parts is not None and entry is not None:
+            if "path" in entry:
+                raise ValueError(f"table {name} has no parts yet; write it whole")
+            kept = {k: d for k, d in entry["parts"].items() if k not in parts}
+        if name == "lengths":
+            # What BM25 needs of all chunks is kept by part, so that no query and no later change counts it again.
+            told = self.spark.read.schema(frame.schema).parquet(*found.values()).groupBy(part_key().alias("part")).agg(F.count("*").alias("n"), F.sum("len").alias("words")).collect() if found else []
+            out["stats"] = {k: x for k, x in (entry or {}).get("stats", {}).items() if k in kept} | {r["part"]: [r["n"], r["words"]] for r in told}
+        return out | {"parts": kept | found}
+
+    def lengths(self) -> tuple[int, float] | None:
+        """Number and mean length of all chunks, as kept by the manifest; None if it has none."""
+        stats = self.manifest()["tables"].get("lengths", {}).get("stats")
+        total = sum(n for n, _ in stats.values()) if stats is not None else 0
+        return (total, sum(w for _, w in stats.values()) / total) if total else None
+
+    def forget(self, store: str, tables: dict[str, DataFrame] | None = None) -> None:
+        """Drop a store's parts from all tables; no row of another store is read or written. tables are written along."""
         number, now = self._current()
-        entries = dict(now["tables"])
-        for name, frame in tables.items():
-            path = f"{self.root}/{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-            entries[name] = {"path": path, "schema": frame.schema.json()}
-            writer = in_order(name, frame).write
-            (writer.partitionBy("store_id") if "store_id" in frame.columns and len(frame.columns) > 1 else writer).parquet(path)
-        after = {"version": self.VERSION, "tables": entries}
+        entries = {}
+        for name, entry in now["tables"].items():
+            if "parts" in entry and _parted(T.StructType.fromJson(json.loads(entry["schema"])).names):
+                stay = lambda held: {k: v for k, v in held.items() if k.rpartition(".")[0] != store}
+                entries[name] = entry | {"parts": stay(entry["parts"])} | ({"stats": stay(entry["stats"])} if "stats" in entry else {})
+        self.commit(number, now, entries | {n: self.staged(n, t) for n, t in (tables or {}).items()})
+
+    def commit(self, number: int, now: dict, entries: dict[str, dict], drop: tuple[str, ...] = (), meta: dict | None = None) -> dict:
+        """The manifest after number, with entries in place of what now has; fails if another writer was first."""
+        after = {"version": self.VERSION, "tables": {n: e for n, e in {**now["tables"], **entries}.items() if n not in drop}, "meta": {**now.get("meta", {}), **(meta or {})}}
         draft, target = self._path(f"{self.root}/manifests/draft-{uuid.uuid4().hex}"), self._manifest(number + 1)
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(after), "utf-8"))
@@ -175,20 +247,76 @@ class Snapshots:
             raise OSError("another writer has changed the store; nothing was changed here")
         return after
 
+    def parted(self, names: tuple[str, ...]) -> bool:
+        """Whether all of these tables that there are have parts."""
+        have = self.manifest()["tables"]
+        return all("parts" in have[n] for n in names if n in have)
+
+    @contextmanager
+    def scratch(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes a frame below the root and reads it back, so that it is made once; its files go at the end."""
+        folder = f"{self.root}/staging/{uuid.uuid4().hex}"
+        made = []
+
+        def keep(frame: DataFrame) -> DataFrame:
+            made.append(f"{folder}/{len(made)}")
+            frame.write.parquet(made[-1])
+            return self.spark.read.schema(frame.schema).parquet(made[-1])
+
+        try:
+            yield keep
+        finally:
+            self._fs.delete(self._path(folder), True)
+
     def sizes(self) -> DataFrame:
         """table, bytes of the current snapshots."""
-        rows = [(n, self._fs.getContentSummary(self._path(e["path"])).getLength()) for n, e in self.manifest()["tables"].items()]
-        return self.spark.createDataFrame(rows, "table string, bytes long")
-
-    def vacuum(self) -> int:
-        """Delete snapshots that the current manifest doesn't name, and earlier manifests; the bytes freed."""
-        for number in self._numbers()[:-1]:
-            self._fs.delete(self._manifest(number), False)
-        keep, freed = {e["path"] for e in self.manifest()["tables"].values()}, 0
-        for name in {p.rsplit("/", 2)[-2] for p in keep}:
-            for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-                path = status.getPath()
-                if not any(k.endswith(f"/{name}/{path.getName()}") for k in keep):
-                    freed += self._fs.getContentSummary(path).getLength()
-                    self._fs.delete(path, True)
+        size = lambda e: sum(self._fs.getContentSummary(self._path(d)).getLength() for d in _folders(e))
+        return self.spark.createDataFrame([(n, size(e)) for n, e in self.manifest()["tables"].items()], "table string, bytes long")
+
+    def vacuum(self, keep_seconds: float = 0) -> int:
+        """Delete what the current manifest doesn't name, earlier manifests and drafts, if older than keep_seconds; the bytes freed. Without an age no writer and no reader of an older state may be at work."""
+        before, numbers, freed = (time.time() - keep_seconds) * 1000, self._numbers(), 0
+        keep = {_tail(d) for e in self.manifest()["tables"].values() for d in _folders(e)}
+        whole = {k.rsplit("/__part=", 1)[0] for k in keep}
+
+        def drop(path, recursive: bool) -> None:
+            nonlocal freed
+            if self._fs.getFileStatus(path).getModificationTime() <= before:
+                freed += self._fs.getContentSummary(path).getLength()
+                self._fs.delete(path, recursive)
+
+        for x in self._fs.listStatus(self._path(f"{self.root}/manifests")):
+            name = x.getPath().getName()
+            if not name.isdigit() or int(name) != numbers[-1]:
+                drop(x.getPath(), False)
+        for table in self._fs.listStatus(self._path(self.root)):
+            name = table.getPath().getName()
+            for version in self._fs.listStatus(table.getPath()) if name != "manifests" and table.isDirectory() else ():
+                path = version.getPath()
+                tail = f"{name}/{path.getName()}"
+                if tail not in whole:
+                    drop(path, True)
+                elif tail not in keep:
+                    for part in self._fs.listStatus(path):
+                        if part.isDirectory() and f"{tail}/{part.getPath().getName()}" not in keep:
+                            drop(part.getPath(), True)
         return freed
+
+
+def _parted(columns: list[str]) -> bool:
+    return "store_id" in columns and "resource_id" in columns
+
+
+def _folders(entry: dict) -> list[str]:
+    return [entry["path"]] if "path" in entry else list(entry["parts"].values())
+
+
+def _tail(folder: str) -> str:
+    """A folder's place below the root: table, version and, if it is one, part."""
+    steps = folder.split("/")
+    return "/".join(steps[-3:] if steps[-1].startswith("__part=") else steps[-2:])
+
+
+def _unescaped(name: str) -> str:
+    """A partition's value as it was before Hive's escaping of a folder's name."""
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), name)

@@ -126,8 +126,8 @@ def build_postings(chunks: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataF
     return postings, held.select(*key, "len")
 
 
-def bm25_from_postings(postings: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
-    """store_id, chunk_id, score: bm25_scores() for single-term tokens and phrases, from an index."""
+def bm25_from_postings(postings: DataFrame, lengths: DataFrame, query: str, stats: tuple[int, float] | None = None) -> DataFrame:
+    """store_id, chunk_id, score: bm25_scores() for single-term tokens and phrases, from an index. stats are number and mean of lengths, which isn't read then."""
     phrases = query_phrases(postings.sparkSession, query)
     legs, kinds = None, list(dict.fromkeys(map(tuple, phrases)))
     for phrase in kinds:
@@ -141,11 +141,13 @@ def bm25_from_postings(postings: DataFrame, lengths: DataFrame, query: str) -> D
     if legs is None:
         return lengths.select("store_id", "chunk_id", F.lit(0.0).alias("score")).filter(F.lit(False))
     found = legs.groupBy("phrase").agg(F.count("*").alias("n"))
-    stats = lengths.agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
-    idf = F.ln((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    total, mean = (F.col("total"), F.col("mean")) if stats is None else map(F.lit, stats)
+    idf = F.ln((total - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / mean))
     # A row for each of the query's phrases, and one row of statistics.
-    rows = legs.join(F.broadcast(found), "phrase").join(F.broadcast(stats))
+    rows = legs.join(F.broadcast(found), "phrase")
+    if stats is None:
+        rows = rows.join(F.broadcast(lengths.agg(F.count("*").alias("total"), F.avg("len").alias("mean"))))
     return rows.groupBy("store_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("held")).filter(F.col("held") == len(kinds)).drop("held")
 
 
@@ -195,15 +197,18 @@ def cite(rows: DataFrame, chunks: DataFrame, snippet: int = 400, excerpt=None) -
     return hit.select("position", "store_id", "chunk_id", excerpt(F.col("text"), snippet).alias("excerpt"), where.alias("provenance"), scores.alias("scores"), "total", "next")
 
 
-def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, filters: Filters | None = None, leg_k: int = LEG_K, top_n: int = TOP_N, offset: int = 0, encoding: str = "f32", snippet: int = 400, excerpt=None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, filters: Filters | None = None, leg_k: int = LEG_K, top_n: int = TOP_N, offset: int = 0, encoding: str = "f32", snippet: int = 400, excerpt=None, index: tuple[DataFrame, DataFrame] | None = None, lengths: tuple[int, float] | None = None) -> DataFrame:
     """Fused search over chunk rows with text, and embedding if query_vector is given; chunks whose embedding is null are in the BM25 leg only. Blank queries are an error.
 
-    With index, build_postings() of the same chunks, the BM25 leg reads that instead of the texts.
+    With index, build_postings() of the same chunks, the BM25 leg reads that instead of the texts, and with lengths (number and mean) not even all lengths. Hits meet their
+    chunks' rows before the leg only if a filter asks for more than stores.
     """
     if not query.strip():
         raise RetrievalError("invalid_request", "the query is blank")
     top_n = clamp_limit(top_n)
-    scored = bm25_scores(chunks, query) if index is None else chunks.join(bm25_from_postings(*index, query), ["store_id", "chunk_id"])
+    scored = bm25_scores(chunks, query) if index is None else bm25_from_postings(*index, query, lengths)
+    if index is not None and filters is not None and filters != Filters(stores=filters.stores):
+        scored = chunks.join(scored, ["store_id", "chunk_id"])
     words = leg(scored, leg_k, filters)
     dense = leg(dense_scores(chunks.filter("embedding IS NOT NULL"), query_vector, encoding), leg_k, filters) if query_vector is not None else words.filter(F.lit(False))
     return cite(rerank(page(rrf(dense, words), offset, top_n)), chunks, snippet, excerpt)

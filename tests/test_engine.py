@@ -198,3 +198,40 @@ def test_kept_index(spark, tmp_path):
     agrees()
     engine.delete_store("two")
     assert engine.tables.read("postings").isEmpty() and engine.tables.read("lengths").isEmpty()
+
+
+def test_changes_write_their_parts_only(spark, tmp_path):
+    """Files of untouched parts stay in place; a whole store leaves without a write of rows; a stale state and a row of another store are errors."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for k in range(30):
+        (folder / f"{k}.md").write_text(f"# Title {k}\n\ntext number {k} about rivers")
+    engine = Engine(spark, str(tmp_path / "root"))
+    spec = {"kind": "path", "root": str(folder)}
+    for name in ("one", "two"):
+        engine.add_store(name)
+        engine.index(name, spec)
+    held = lambda: {(n, k): d for n in maintenance.OWNED for k, d in engine.tables.manifest()["tables"][n]["parts"].items()}
+    before = held()
+    assert engine.index("one", spec)["skipped"] == 30 and held() == before
+    (folder / "3.md").write_text("# Title 3\n\nmountains")
+    assert engine.index("one", spec)["indexed"] == 1
+    after = held()
+    changed = {key for key in {*before, *after} if before.get(key) != after.get(key)}
+    assert 0 < len({k for _, k in changed}) <= 2 and all(k.startswith(engine.store_id("one")) for _, k in changed)
+    lengths = engine.tables.read("lengths")
+    assert engine.tables.lengths() == (lengths.count(), lengths.selectExpr("avg(len)").first()[0])
+    assert engine.search("mountains", ["one"]).filter("scores.bm25 is not null").count() == 1 and engine.search("rivers", ["one"], limit=100).filter("scores.bm25 is not null").count() == 29
+    since = engine.tables.number()
+    engine.add_store("three")
+    with pytest.raises(OSError):
+        engine.tables.write({"stores": engine.stores()}, since=since)
+    rows = engine.tables.read("resources")
+    with pytest.raises(Exception, match="tenant mismatch"):
+        maintenance.replace_resources(rows, spark.createDataFrame([], "action string, old_id string"), rows, engine.store_id("one")).collect()
+    two = engine.store_id("two")
+    one = {key: d for key, d in held().items() if not key[1].startswith(two)}
+    engine.delete_store("two")
+    assert held() == one and engine.tables.read("chunks").filter(f"store_id = '{two}'").isEmpty()
+    assert engine.tables.vacuum(3600) == 0 and engine.tables.vacuum() > 0 and engine.search("mountains").count() >= 1
+    assert held() == one and engine.tables.read("resources").count() == 30
