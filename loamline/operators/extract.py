@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamline.functions.columns import let
 from loamline.functions.text import code_like
 
 MARKDOWN_EXTENSIONS = {"md", "markdown", "mdown", "mkd", "mkdn"}
@@ -41,13 +42,37 @@ def html_title(html: Column) -> Column:
     return F.coalesce(inner("title"), inner("h1"))
 
 
+def inner_markup(html: Column, tag: str) -> Column:
+    """What lies inside each element of a kind, in order: nested ones count inside the outer one and for themselves; one that isn't closed ends with the page.
+
+    Tags cut the page into pieces, a running depth over the tags tells each opening one's end, and the pieces and tags between are joined again.
+    """
+    pattern = rf"(?i)</?{tag}(?:[\s/][^>]*)?>"
+    # How deep the page is after each tag; a closing tag without an opening one changes nothing.
+    depth = lambda tags: F.aggregate(tags, F.array().cast("array<int>"), lambda seen, t: F.concat(seen, F.array(F.greatest(F.lit(0), F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit(0)) + F.when(t.startswith("</"), -1).otherwise(1)))))
+
+    def inside(x: Column, k: Column) -> Column:
+        rest = F.slice(x["after"], k + 2, F.size(x["tags"]))
+        end = F.array_position(rest, F.get(x["after"], k) - 1)
+        n = F.when(end == 0, F.size(x["tags"]) - k - 1).otherwise(end - 1).cast("int")
+        between = F.zip_with(F.slice(x["tags"], k + 2, n), F.slice(x["pieces"], k + 3, n), lambda t, p: F.concat(t, p))
+        return F.concat(F.get(x["pieces"], k + 1), F.array_join(between, ""))
+
+    def every(x: Column) -> Column:
+        opens = F.filter(F.transform(x["tags"], lambda t, k: F.when(~t.startswith("</"), k)), lambda k: k.isNotNull())
+        return F.transform(opens, lambda k: inside(x, k))
+
+    cut = let(F.struct(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)).alias("tags"), F.split(html, pattern, -1).alias("pieces")), lambda x: F.struct(x["tags"].alias("tags"), x["pieces"].alias("pieces"), depth(x["tags"]).alias("after")))
+    return let(cut, every)
+
+
 def html_main(html: Column) -> Column:
-    """The main content's markup: every article, after the first header that isn't empty, else main, else role=main, else body, else everything."""
-    articles = F.regexp_extract_all(html, F.lit(r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"), F.lit(1))
-    header = F.regexp_extract(html, r"(?is)<header(?:\s[^>]*)?>(.*?)</header\s*>", 1)
-    some = [r"(?is)<main(?:\s[^>]*)?>(.*)</main\s*>", r"(?is)<[a-z]+\s[^>]*role=[\"']?main[\"']?[^>]*>(.*)", r"(?is)<body(?:\s[^>]*)?>(.*)</body\s*>"]
-    joined = F.when(F.size(articles) > 0, F.concat(header, F.array_join(articles, "")))
-    return F.coalesce(joined, *(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in some), html)
+    """The main content's markup: every article, after the first header unless that is blank, else main, else role=main, else body, else everything."""
+    header = F.coalesce(F.get(inner_markup(html, "header"), 0), F.lit(""))
+    joined = lambda found: F.when(F.size(found) > 0, F.concat(F.when(F.trim(F.regexp_replace(header, r"\s+", " ")) == "", "").otherwise(header), F.array_join(found, "")))
+    some = [r"(?is)<[a-z]+\s[^>]*role=[\"']?main[\"']?[^>]*>(.*)", r"(?is)<body(?:\s[^>]*)?>(.*)</body\s*>"]
+    main = F.nullif(F.get(inner_markup(html, "main"), 0), F.lit(""))
+    return F.coalesce(let(inner_markup(html, "article"), joined), main, *(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in some), html)
 
 
 def html_text(html: Column) -> Column:

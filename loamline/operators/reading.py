@@ -63,11 +63,15 @@ def centred(rows: DataFrame, is_anchor, size: int) -> DataFrame:
 
 
 def list_documents(resources: DataFrame, store_id: str, source_id: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """A page of a store's documents by URI, with position and total; a limit of -1 has no end."""
+    """A page of a store's documents by URI, with position and total; a limit of -1 has no end.
+
+    Each task keeps the first rows only, and a page's worth of them meet; the total is counted apart.
+    """
     rows = resources.filter((F.col("store_id") == store_id) & (F.col("source_id") == source_id if source_id else F.lit(True)))
-    rows = rows.select("store_id", "resource_id", "source_id", "uri", "mime", "fetched_at", F.row_number().over(Window.partitionBy("store_id").orderBy("uri", "resource_id")).alias("position"), F.count("*").over(Window.partitionBy("store_id")).alias("total"))
-    end = F.lit(True) if limit == -1 else F.col("position") <= offset + clamp_limit(limit, CHUNK_PAGE, MAX_PAGE)
-    return rows.filter((F.col("position") > offset) & end)
+    rows = rows.select("store_id", "resource_id", "source_id", "uri", "mime", "fetched_at")
+    total, order = rows.agg(F.count("*").alias("total")), Window.orderBy("uri", "resource_id")
+    page = rows if limit == -1 else rows.orderBy("uri", "resource_id").limit(offset + clamp_limit(limit, CHUNK_PAGE, MAX_PAGE))
+    return page.withColumn("position", F.row_number().over(order)).filter(F.col("position") > offset).join(F.broadcast(total))
 
 
 def first_per_uri(resources: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import ids, text, vectors
-from loamline.operators import blocks, chunking, embedding, extract, maintenance, reading, registry, retrieval
+from loamline.operators import blocks, chunking, embedding, extract, maintenance, reading, registry, retrieval, vector_index
 from loamline.sources import corpus, feeds, files, web
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,16 @@ def s8(spark, sf_dir):
     return web.url_outcomes(pages, known).select("uri", "outcome", "content_hash")
 
 
+@query("X8_articles", r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?i)</?article(?:[\s/][^>]*)?>') AS tags, string_split_regex(html, '(?i)</?article(?:[\s/][^>]*)?>') AS pieces FROM pages),
+t AS (SELECT page_id, k, lower(tags[k]) LIKE '</%' AS shuts, sum(CASE WHEN tags[k] LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY k) AS after FROM (SELECT page_id, tags, unnest(range(1, len(tags) + 1)) AS k FROM p)),
+m AS (SELECT o.page_id, o.k AS i, min(c.k) AS j FROM t o LEFT JOIN t c ON c.page_id = o.page_id AND c.k > o.k AND c.after = o.after - 1 WHERE NOT o.shuts GROUP BY o.page_id, o.k),
+x AS (SELECT page_id, i, pieces[i + 1] || array_to_string(list_transform(range(i + 1, coalesce(j, len(tags) + 1)), lambda k: tags[k] || pieces[k + 1]), '') AS body FROM m JOIN p USING (page_id))
+SELECT page_id, coalesce(n, 0) AS n, md5(coalesce(body, '')) AS digest FROM p LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(body, '' ORDER BY i) AS body FROM x GROUP BY page_id) USING (page_id)""")
+def x8_articles(spark, sf_dir):
+    found = corpus.table(spark, sf_dir, "pages").select("page_id", extract.inner_markup(F.col("html"), "article").alias("found"))
+    return found.select("page_id", F.size("found").cast("long").alias("n"), F.md5(F.array_join("found", "")).alias("digest"))
+
+
 @query("X8_html_text", f"SELECT page_id, {_BODY} AS text FROM pages")
 def x8(spark, sf_dir):
     return corpus.table(spark, sf_dir, "pages").select("page_id", extract.html_text(F.col("html")).alias("text"))
@@ -140,15 +150,6 @@ def x10(spark, sf_dir):
     return extract.parse_documents(raw, [("html", extract.parse_html)])
 
 
-@query("S18_globally_routable", """WITH ips AS (SELECT doc_id, regexp_extract(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}') AS ip FROM documents), n AS (
-  SELECT doc_id, ip, string_split(ip, '.')[1]::BIGINT * 16777216 + string_split(ip, '.')[2]::BIGINT * 65536 + string_split(ip, '.')[3]::BIGINT * 256 + string_split(ip, '.')[4]::BIGINT AS v FROM ips WHERE ip <> '')
-SELECT doc_id, ip, NOT (v // 16777216 IN (0, 10, 127) OR v // 16777216 >= 224 OR v // 65536 IN (43518, 49320) OR v // 1048576 = 2753 OR v // 4194304 = 401 OR v // 131072 = 25353
-  OR v // 256 IN (12582912, 12582914, 12605539, 12989284, 13303921)) AS routable FROM n""")
-def s18(spark, sf_dir):
-    ip = F.regexp_extract("text", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0)
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", ip.alias("ip")).filter("ip <> ''").withColumn("routable", web.globally_routable(F.col("ip")))
-
-
 @query("S18_globally_routable_all", """WITH ips AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) AS ip FROM documents), o AS (
   SELECT doc_id, ip, list_transform(string_split(ip, '.'), lambda x: x::BIGINT) AS k FROM ips), n AS (SELECT doc_id, ip, list_max(k) <= 255 AS valid, k[1] * 16777216 + k[2] * 65536 + k[3] * 256 + k[4] AS v FROM o)
 SELECT doc_id, ip, valid AND NOT (v // 16777216 IN (0, 10, 127) OR v // 16777216 >= 224 OR v // 65536 IN (43518, 49320) OR v // 1048576 = 2753 OR v // 4194304 = 401 OR v // 131072 = 25353
@@ -271,11 +272,6 @@ def x19(spark, sf_dir):
     return corpus.table(spark, sf_dir, "events").select("event_id", text.pdf_date(raw).alias("iso"))
 
 
-@query("X20_keywords", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(left(text, 200), '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM documents")
-def x20(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(F.substring("text", 1, 200)), "|").alias("keywords"))
-
-
 @query("X20_keywords_whole", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM documents")
 def x20_whole(spark, sf_dir):
     """X20_keywords, as its SQL, takes 200 characters of each text."""
@@ -420,6 +416,25 @@ def r5(spark, sf_dir):
     return _rounded(retrieval.leg(scored), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
+#: Vectors with ids divisible by 29 are centres; the nearest ones are probed, two and then twice as many, until each store has its ten.
+_CELLS = f"""{VEC}, unit AS (SELECT store_id, chunk_id, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec), centre AS (SELECT chunk_id AS c, u AS cu FROM unit WHERE chunk_id::BIGINT % 29 = 0),
+  near AS (SELECT c, row_number() OVER (ORDER BY list_dot_product(cu, w) DESC, c) AS r FROM centre, q), total AS (SELECT count(*) AS cells FROM centre),
+  placed AS (SELECT store_id, chunk_id, v, arg_max(c, list_dot_product(u, cu)) AS c FROM unit, centre GROUP BY ALL),
+  reach AS (SELECT store_id, r, row_number() OVER (PARTITION BY store_id ORDER BY r) AS have, count(*) OVER (PARTITION BY store_id) AS n FROM placed JOIN near USING (c)),
+  far AS (SELECT max(r) AS r FROM (SELECT store_id, min(r) AS r FROM reach WHERE have >= least(10, n) GROUP BY store_id)),
+  probed AS (SELECT CASE WHEN p >= cells THEN cells ELSE p END AS probes FROM (SELECT 2 * (2 ** greatest(0, ceil(log2(r / 2.0))))::BIGINT AS p FROM far), total),
+  read AS (SELECT store_id, chunk_id, 1 - (1 - list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))) / 2 AS score FROM placed JOIN near USING (c), q, probed WHERE r <= probes)"""
+
+
+@query("R5_indexed_topk", f"WITH {_CELLS}, {leg_sql('read', 'a', k=10)} SELECT store_id, chunk_id, round(score, 6) AS score, rank FROM a")
+def r5_indexed(spark, sf_dir):
+    rows = corpus.vectors(spark, sf_dir)
+    # The centres are given here, so that SQL can name them; without that they are fit.
+    centres = [r["embedding"] for r in rows.filter("cast(chunk_id AS bigint) % 29 = 0").orderBy("chunk_id").limit(vector_index.CELLS).collect()]
+    index = vector_index.VectorIndex.build(rows, corpus.new_folder(spark, "vectors"), centres)
+    return _rounded(index.search(_query_vector(spark, sf_dir), 10, probes=2), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("R6_cosine_scores", f"WITH {VEC}, {COS} SELECT store_id, chunk_id, round(score, 6) AS score FROM cosd")
 def r6(spark, sf_dir):
     return _rounded(retrieval.dense_scores(corpus.vectors(spark, sf_dir), _query_vector(spark, sf_dir)).select("store_id", "chunk_id", "score"), "score")
@@ -475,14 +490,6 @@ def _fused_rows(found: DataFrame) -> DataFrame:
     return _rounded(found.select(F.col("position").cast("long").alias("position"), "store_id", "chunk_id", F.col("scores.fused").alias("fused"), "total"), "fused")
 
 
-@query("search_fused", f"""WITH {bm25_sql(['the', 'and', 'of'], True)}, {leg_sql('bm', 'w')}, {VEC}, j AS (SELECT ch.store_id, ch.chunk_id, vec.v FROM ch JOIN vec ON lpad(ch.doc_id::VARCHAR, 8, '0') = vec.chunk_id),
- cj AS (SELECT store_id, chunk_id, 1 - (1 - list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))) / 2 AS score FROM j, q), {leg_sql('cj', 'a')}, {rrf_sql('a', 'w')}, p AS (SELECT *, row_number() OVER (ORDER BY fused DESC, store_id, chunk_id) AS position, count(*) OVER () AS total FROM fused)
-SELECT position, store_id, chunk_id, round(fused, 6) AS fused, total FROM p WHERE position <= 10""")
-def search_fused(spark, sf_dir):
-    """Its SQL is over documents with a vector only; search_fused_all is over all of them."""
-    return _fused_rows(flagship(spark, sf_dir, embedded=True))
-
-
 @query("search_fused_all", f"""WITH {bm25_sql(['the', 'and', 'of'])}, {leg_sql('bm', 'w')}, {VEC}, j AS (SELECT ch.store_id, ch.chunk_id, vec.v FROM ch JOIN vec ON lpad(ch.doc_id::VARCHAR, 8, '0') = vec.chunk_id),
  cj AS (SELECT store_id, chunk_id, 1 - (1 - list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))) / 2 AS score FROM j, q), {leg_sql('cj', 'a')}, {rrf_sql('a', 'w')}, p AS (SELECT *, row_number() OVER (ORDER BY fused DESC, store_id, chunk_id) AS position, count(*) OVER () AS total FROM fused)
 SELECT position, store_id, chunk_id, round(fused, 6) AS fused, total FROM p WHERE position <= 10""")
@@ -554,12 +561,6 @@ def fn_collapse(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", text.collapse_blanks(F.col("text"), 80).alias("flat"))
 
 
-@query("fn_display_uri", "SELECT doc_id, 'https://e.example/' || regexp_replace(left(text, 30), '\\pC', chr(65533), 'g') || '+x' AS shown FROM documents")
-def fn_display(spark, sf_dir):
-    raw = F.concat(F.lit("https://e.example/"), F.replace(F.url_encode(F.substring("text", 1, 30)), F.lit("+"), F.lit("%20")), F.lit("+x"))
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", text.display_uri(raw).alias("shown"))
-
-
 @query("fn_display_uri_whole", "SELECT doc_id, 'https://e.example/' || regexp_replace(text, '\\pC', chr(65533), 'g') || '+x' AS shown FROM documents")
 def fn_display_whole(spark, sf_dir):
     """fn_display_uri, as its SQL, takes 30 characters of each text."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder's path, never given before, below spark.checkpoint.dir, or below a temporary one where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: files need a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="loamline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as resources: the language is the store, the source column the source."""
     docs = table(spark, sf_dir, "documents").withColumn("uri", F.concat(F.lit("doc://"), F.col("doc_id").cast("string")))

@@ -3,6 +3,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from loamline.operators import blocks, chunking, extract
 
 MD = """---
@@ -155,3 +157,47 @@ def test_every_article_is_main_content(spark):
     html = "<body><header> Top </header><article>one</article><div>ad</div><article id='x'>two</article></body>"
     rows = spark.createDataFrame([(html,), ("<body><main>m</main></body>",), ("<p>bare</p>",)], "html string")
     assert [r[0] for r in rows.select(extract.html_text("html")).collect()] == ["Top onetwo", "m", "bare"]
+
+
+def test_nested_elements_are_kept_whole(spark):
+    """Against html.parser: nested and several articles, unclosed and stray tags, a blank first header."""
+    from html.parser import HTMLParser
+
+    class Inner(HTMLParser):
+        def __init__(self, html, tag):
+            super().__init__(convert_charrefs=False)
+            self.html, self.tag, self.open, self.found = html, tag, [], []
+            self.lines = [0]
+            for line in html.split("\n"):
+                self.lines.append(self.lines[-1] + len(line) + 1)
+            self.feed(html)
+            self.close()
+            for k, start in self.open:
+                self.found.append((k, html[start:]))
+
+        def at(self):
+            row, column = self.getpos()
+            return self.lines[row - 1] + column
+
+        def handle_starttag(self, tag, attrs):
+            if tag == self.tag:
+                self.open.append((self.at(), self.at() + len(self.get_starttag_text())))
+
+        def handle_endtag(self, tag):
+            if tag == self.tag and self.open:
+                k, start = self.open.pop()
+                self.found.append((k, self.html[start : self.at()]))
+
+    pages = [
+        "<article>A <article>B</article> C</article>",
+        "<body><ARTICLE class='x'>one\n<p>two</p></ARTICLE><div></div><article>three<article><article>four</article></article>five</article></body>",
+        "</article>stray<article>open <article>closed</article> to the end",
+        "<articles>no</articles><article/ >yes</article>",
+        "none at all", "",
+    ]
+    rows = spark.createDataFrame([(p,) for p in pages], "html string")
+    got = [r[0] for r in rows.select(extract.inner_markup(F.col("html"), "article")).collect()]
+    assert got == [[x for _, x in sorted(Inner(p, "article").found)] for p in pages]
+    assert [len(x) for x in got] == [2, 4, 2, 1, 0, 0]
+    heads = spark.createDataFrame([("<header> </header><header>second</header><article>x</article>",), ("<header>first</header><article>x</article>",), ("<main>a<main>b</main>c</main>",)], "html string")
+    assert [r[0] for r in heads.select(extract.html_main(F.col("html"))).collect()] == ["x", "firstx", "a<main>b</main>c"]
