@@ -41,7 +41,7 @@ def _runs(children: Column, limit: int) -> Column:
     run = lambda first, last, n, joins: F.struct(first.alias("first"), last.alias("last"), n.alias("n"), joins.alias("joins"))
 
     def step(runs: Column, x: Column) -> Column:
-        top = F.element_at(runs, -1)
+        top = F.try_element_at(runs, F.lit(-1))
         grows = (F.size(runs) > 0) & top["joins"] & (x["n"] <= limit) & (top["n"] + x["n"] <= limit)
         grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(run(top["first"], x["no"], top["n"] + x["n"], F.lit(True))))
         return F.when(F.coalesce(grows, F.lit(False)), grown).otherwise(F.concat(runs, F.array(run(x["no"], x["no"], x["n"], x["n"] <= limit)))).cast(kind)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.llm import bpe
+from loamline.llm.common import cut
 from loamline.session import shipped
 
 BLOCK_TOKENS = 1 << 17
@@ -73,8 +74,14 @@ def pack(documents: DataFrame, path: str | None = None, separator: int | None =
 
 
 def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of flat files of little-endian unsigned 16-bit ids: file (the path), block, tokens. A file is read by one task, so very large ones should be cut."""
+    """Blocks of flat files of little-endian unsigned 16-bit ids: file (the path), block, tokens.
+
+    A file is one row, read by one task, so it has to stay below 2 GB (Spark's limit of a binary value, which fails with Spark's own error); larger ones are to be cut
+    at any even byte. A file with an odd number of bytes holds half an id and is an error that names it; an empty one has no blocks.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    odd = F.raise_error(F.concat(F.lit("a token file of an odd number of bytes: "), "path")).cast("binary")
+    files = files.withColumn("content", F.when(F.length("content") % 2 == 0, F.col("content")).otherwise(odd))
     spans = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / (2 * block_tokens)).cast("int") - 1, F.lit(0)))
     blocks = files.select(F.col("path").alias("file"), "content", F.explode(spans).alias("block"))
     return blocks.select("file", "block", F.substring("content", F.col("block") * (2 * block_tokens) + 1, F.lit(2 * block_tokens)).alias("tokens")).filter(F.length("tokens") > 0)
@@ -101,14 +108,17 @@ def scan(blocks: DataFrame, separator: int, block_tokens: int = BLOCK_TOKENS) ->
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column(3)] if ids else [])], names)
 
     extra = "".join(f", doc_ids {f.dataType.simpleString()}" for f in ids)
-    ends = shipped(blocks).select("file", "block", "tokens", *(f.name for f in ids)).mapInArrow(run, f"file {kind}, block int, first long, last long, inner array<bigint>{extra}")
+    # Written once: blocks are made, and their documents encoded, one time, and a lost task can't deal rows to files anew. A number for each document and two for each block.
+    ends = cut(shipped(blocks).select("file", "block", "tokens", *(f.name for f in ids)).mapInArrow(run, f"file {kind}, block int, first long, last long, inner array<bigint>{extra}"))
     # A scan of two levels: the last separator of each span of blocks, scanned over a file's spans, then the blocks within a span.
     ends = ends.withColumn("span", F.floor(F.col("block") / SPAN))
     earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     spans = ends.groupBy("file", "span").agg(F.max("last").alias("top")).withColumn("before", F.max("top").over(earlier("file").orderBy("span"))).drop("top")
-    ends = ends.join(spans.withColumnsRenamed({"file": "of", "span": "at"}), F.col("file").eqNullSafe(F.col("of")) & (F.col("span") == F.col("at")))
-    opened = F.col("first") - F.coalesce(F.max("last").over(earlier("file", "span").orderBy("block")), "before", F.lit(-1)) - 1
-    counts = ends.withColumn("opened", opened).filter("first is not null").withColumn("counts", F.concat(F.array("opened"), "inner"))
+    # Only the last separators go through the window and the joins; a block's counts and ids stay where they are but for one join by block.
+    tops = ends.select("file", "span", "block", "last").join(spans.withColumnsRenamed({"file": "of", "span": "at"}), F.col("file").eqNullSafe(F.col("of")) & (F.col("span") == F.col("at")))
+    tops = tops.select(F.col("file").alias("of"), F.col("block").alias("at"), F.coalesce(F.max("last").over(earlier("file", "span").orderBy("block")), "before", F.lit(-1)).alias("open"))
+    ends = ends.filter("first is not null").join(tops, F.col("file").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    counts = ends.withColumn("counts", F.concat(F.array(F.col("first") - F.col("open") - 1), "inner"))
     if not ids:
         return counts.select("file", "block", F.posexplode("counts").alias("place", "n_tokens"))
     out = counts.select("file", "block", F.posexplode(F.arrays_zip("counts", "doc_ids")).alias("place", "x"))

@@ -239,6 +239,29 @@ def test_token_counts(hard, small, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_against_the_library(spark, hard):
+    """Counts by the tokenizers library; rows that are dealt anew at each evaluation are still counted once."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    library.encode_special_tokens = True
+    rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
+    want = sorted(repr((k, len(library.encode(t or "", add_special_tokens=False).ids))) for k, t in rows)
+    dealt = hard.withColumn("__r", F.rand()).repartition(4, "__r").drop("__r")
+    got = token_counts.token_counts(dealt, block_tokens=64)
+    assert sorted(repr((r["doc_id"], r["n_tokens"])) for r in got.collect()) == want
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_token_files(spark, tmp_path):
+    (tmp_path / "odd").write_bytes(b"abc")
+    with pytest.raises(Exception, match="odd number of bytes"):
+        token_counts.scan(token_counts.read_token_files(ship(spark), str(tmp_path)), 0).collect()
+
+
 def test_flat_token_files(spark, tmp_path):
     streams = {"a": [5, 6, 9, 9, 7, 9, 1], "b": [9], "c": [], "d": [1] * 10 + [9]}
     for name, ids in streams.items():
