@@ -12,10 +12,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loamline.llm import arrays
-from loamline.llm.common import Scratch
 
 WORDS, GROUP = 25, 26
 #: Words whose keys a task remembers.
@@ -129,10 +127,3 @@ def units(texts: DataFrame, min_words: int, keys) -> DataFrame:
                 )
 
     return texts.mapInArrow(emit, f"doc_id {kind}, row binary, low int, high int, one long, two long, passage boolean")
-
-
-def shared(texts: DataFrame, keys, scratch: Scratch) -> DataFrame:
-    """digest (by keys; rows that have the same are counted as copies) and n_passages of rows with passages that occur elsewhere, in the row itself or another."""
-    found = scratch.cut(units(texts, 0, keys).select("row", "low", "one", "two"))
-    often = scratch.cut(found.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").select("one", "two"))
-    return found.join(often, ["one", "two"], "left_semi").groupBy(F.col("row").alias("digest")).agg(F.count_distinct("low").alias("n_passages"))

@@ -26,7 +26,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")), "n_passages")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")), "n_repeated")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,23 +175,19 @@ SELECT doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(other) AS co
 ).replace("@", _LOWERED)
 
 #: Bytes as pairs of hexadecimal digits; a window is told by its digest.
-SUFFIX_SQL = (
-    r"""
+SUFFIX_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
-@,
-shared AS (SELECT doc_id, count(*) AS n_passages FROM (SELECT doc_id, count(*) OVER (PARTITION BY words) AS times FROM windows JOIN chosen USING (doc_id, i)) WHERE times > 1 GROUP BY doc_id),
+v AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 480)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 239)) AS i FROM d WHERE length(h) >= 480)),
+shared AS (SELECT doc_id, sum(bytes)::BIGINT AS n_repeated FROM (SELECT doc_id, least(240, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 240)) AS bytes FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS times FROM v) WHERE times > 1) GROUP BY doc_id),
 w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
 t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS times FROM w) WHERE times > 1),
 o AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) AS opens FROM t),
 r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM r),
 s AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN after IS NULL THEN substr(h, 2 * b + 1) ELSE '' END) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
-SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(n_passages, 0)::BIGINT AS n_passages
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(n_repeated, 0)::BIGINT AS n_repeated
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN shared ON shared.doc_id = d.doc_id
 """
-).replace("@", PASSAGES_SQL)
-
-
 #: Trees level by level; the checksum is CRC-32 bit by bit.
 MANIFEST_SQL = r"""
 WITH RECURSIVE c AS (

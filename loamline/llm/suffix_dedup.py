@@ -22,16 +22,18 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm import arrays, passages
+from loamline.llm import arrays
 from loamline.llm.common import Scratch, bloom, cut
 from loamline.llm.passages import window_least
 from loamline.llm.suffixes import shared_windows
 from loamline.session import ship
 
 LENGTH = 400
+#: Bytes of the shorter strings that are counted: 99 of 100 passages of 51 words have more.
+SHORT = 240
 #: Bytes of an anchor; at most LENGTH. A longer one meets fewer strangers, but there are more of them.
 ANCHOR = 128
 #: Most different segments of an anchor that are sorted in one group.
@@ -224,15 +226,25 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int | None = None, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def covered(ranges: Column) -> Column:
+    """How many bytes the ranges (array<struct<low,high>>, which may overlap) cover."""
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["high"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["high"] - F.greatest(acc["end"], x["low"]))).alias("n"))
+    return F.aggregate(F.array_sort(ranges), none, step)["n"]
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int | None = None, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", short: int | None = SHORT) -> DataFrame:
     """doc_id, n_bytes, removed (array<struct<low,high>> of the text's bytes), kept (the remaining bytes; null if nothing is removed), kept_sha256 and
-    n_passages for each row: how many of its passages (see passages; 25 words, so often fewer than length bytes) occur elsewhere. Those are counted, not removed."""
+    n_repeated for each row: how many bytes recurring strings of short bytes cover, by the same sort. Those are counted, not removed; without short there is no such column."""
     anchor = anchor or min(ANCHOR, length)
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     with Scratch(ship(texts.sparkSession)) as scratch:
-        named = scratch.cut(passages.shared(texts, lambda batch: _digests(batch.column(1)), scratch))
-        ranges = cut(repeated_ranges(texts, scratch, length, anchor, hot).join(named, "digest", "full"))
-    return strip(texts, ranges, lambda batch: _digests(batch.column(1)), ["n_passages"])
+        ranges = repeated_ranges(texts, scratch, length, anchor, hot)
+        if short:
+            also = scratch.cut(repeated_ranges(texts, scratch, short, max(1, short // 3), hot).select("digest", covered(F.col("ranges")).alias("n_repeated")))
+            ranges = ranges.join(also, "digest", "full")
+        ranges = cut(ranges)
+    return strip(texts, ranges, lambda batch: _digests(batch.column(1)), ["n_repeated"] if short else [])
 
 
 def strip(texts: DataFrame, ranges: DataFrame, keys, more: Sequence[str] = ()) -> DataFrame:

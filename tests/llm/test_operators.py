@@ -354,33 +354,34 @@ def test_queries_agree_with_their_sql(spark):
 
 def test_every_operator_has_a_query():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
 
 
 def test_passages_inside_lines(spark):
-    """Fifty words that two texts share are found wherever they begin, by both substring operators; texts without any are left alone."""
+    """Fifty words that two texts share are found wherever they begin, by op9, upper case and line breaks or not, and by op4 where the bytes are equal; texts without any are left alone."""
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     rows, shared = [], 60
     for k in range(shared):
         body = words(50)
         rows += [(2 * k, " ".join(words(rng.randrange(90)) + body + words(rng.randrange(90)))), (2 * k + 1, " ".join(words(rng.randrange(90))) + " " + "\n".join(body).upper() + " " + " ".join(words(rng.randrange(90))))]
-    rows += [(1000 + k, " ".join(words(120))) for k in range(40)]
+    rows += [(1000 + k, " ".join(words(120))) for k in range(40)] + [(2000 + k, f"x{k} {rows[0][1]}") for k in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lines = {r["doc_id"]: r for r in line_dedup.digest(line_dedup.remove_lines(docs)).collect()}
-    bytes_ = {r["doc_id"]: r for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs), "n_passages").collect()}
+    bytes_ = {r["doc_id"]: r for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs), "n_repeated").collect()}
     for k in range(shared):
         assert lines[2 * k]["n_passages"] and lines[2 * k + 1]["n_passages"] and not lines[2 * k]["n_removed"] and lines[2 * k + 1]["n_removed"]
-        assert bytes_[2 * k]["n_passages"] == lines[2 * k]["n_passages"]
-    assert not any(x[k]["n_passages"] or x[k]["n_removed"] for x in (lines, bytes_) for k in range(1000, 1040))
+    assert all(bytes_[k]["n_repeated"] for k in (0, 2000, 2001))
+    assert not any(lines[k]["n_passages"] or bytes_[k]["n_repeated"] or x[k]["n_removed"] for x in (lines, bytes_) for k in range(1000, 1040))
 
 
-def test_suffix_dedup_counts_passages(hard, small):
+def test_suffix_dedup_counts_shorter_strings(hard, small):
     for docs in (hard.filter("length(text) < 5000 or text is null"), small.filter("doc_id < 80")):
         rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-        times = Counter(w for _, t in rows for _, _, w in brute.passages(t))
-        got = suffix_dedup.remove_repeats(docs)
-        assert sorted(repr((r["doc_id"], r["n_passages"])) for r in got.collect()) == sorted(repr((d, sum(times[w] > 1 for _, _, w in brute.passages(t)))) for d, t in rows)
+        got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs), "n_repeated")
+        want = [x[1] for x in brute.repeats([t for _, t in rows], suffix_dedup.SHORT)]
+        assert sorted(repr((r["doc_id"], r["n_repeated"])) for r in got.collect()) == sorted(repr((d, w)) for (d, _), w in zip(rows, want, strict=True))
+        assert "n_repeated" not in suffix_dedup.remove_repeats(docs, short=None).columns
 
 
 def test_bloom_sizes(spark):
