@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text that are worked on at once; a longer document is worked on alone.
-CHUNK_BYTES = 1 << 19
+#: Bytes of text that are worked on at once, few enough for a core's cache; a longer document is worked on alone.
+CHUNK_BYTES = 1 << 17
 #: The modulus of hashes; masks of 31 and 30 bits; numbers that are worked on at once.
 PRIME = U64((1 << 61) - 1)
 _HALF, _THIRTY = U64((1 << 31) - 1), U64((1 << 30) - 1)
@@ -118,15 +118,29 @@ class Hasher:
         return mix(product(reduced(total[end] + (PRIME - total[start])), down[start]) + (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
 
 
+class _Quick:
+    """Powers of an odd number and of its inverse modulo 2^64, grown on demand, and a table of bytes."""
+
+    up = down = np.ones(1, U64)
+    table = mix(np.arange(1, 257, dtype=U64))
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            made = []
+            for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+                steps = np.full(max(n, 1 << 18), U64(x))
+                steps[0] = U64(1)
+                made.append(np.multiply.accumulate(steps))
+            cls.up, cls.down = made
+        return cls.up[:n], cls.down[:n]
+
+
 def quick_grams(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of each width bytes, modulo 2^64: good for choosing places, as equal bytes have equal hashes, but different ones may meet."""
-    up = np.full(len(data) + 1, U64(0x9E3779B97F4A7C15))
-    down = np.full(len(data) + 1, U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
-    up[0] = down[0] = U64(1)
-    np.multiply.accumulate(up, out=up)
-    np.multiply.accumulate(down, out=down)
+    up, down = _Quick.upto(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(mix(np.arange(1, 257, dtype=U64))[data] * up[:-1], out=total[1:])
+    np.cumsum(_Quick.table[data] * up[:-1], out=total[1:])
     return mix((total[width:] - total[: len(data) - width + 1]) * down[: len(data) - width + 1])
 
 
