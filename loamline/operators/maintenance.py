@@ -11,6 +11,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,29 @@ def with_index(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {**tables, **dict(zip(("postings", "lengths"), retrieval.build_postings(tables["chunks"], ("resource_id",)), strict=True))}
 
 
+def change_index(store: Snapshots, added: DataFrame | None = None, removed: DataFrame | None = None) -> set[str]:
+    """Add chunks (store_id, resource_id, chunk_id, text) to a stored full-text index and take resources (store_id, resource_id) out of it, in one manifest; the parts written.
+
+    Only parts that hold one of these resources are read and written, no text but that of added chunks is read, and the numbers that BM25 needs of all chunks follow by part.
+    """
+    since, have, key = store.number(), store.manifest()["tables"], ["store_id", "resource_id"]
+    some = [f.select(*key) for f in (added, removed) if f is not None]
+    # At most BUCKETS keys for each store.
+    touched = {r["part"] for f in some for r in f.select(part_key().alias("part")).distinct().collect()}
+    if not touched:
+        return touched
+    tables = with_index({"chunks": added}) if added is not None else {}
+    for name in ("postings", "lengths"):
+        if name in have:
+            old = store.read(name, parts=touched)
+            if removed is not None:
+                gone = removed.select(*(F.col(c).alias(f"gone_{c}") for c in key)).distinct()
+                old = old.join(gone, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"gone_{c}")) for c in key)), "left_anti")
+            tables[name] = old.unionByName(tables[name]) if name in tables else old
+    store.write({n: tables[n] for n in ("postings", "lengths") if n in tables}, parts=touched, since=since)
+    return touched
+
+
 def in_order(name: str, frame: DataFrame) -> DataFrame:
     """Postings sorted by store and term within files, so that a query reads few row groups; the chunks of one term are dealt over SALT tasks."""
     if name != "postings":

@@ -403,6 +403,20 @@ def r3_postings(spark, sf_dir):
     return _rounded(retrieval.bm25_from_postings(*retrieval.build_postings(corpus.chunks(spark, sf_dir)), "the and the"), "score")
 
 
+@query("R4_stored_index", f"WITH {bm25_sql(['the', 'and', 'the'])} SELECT store_id, chunk_id, round(score, 6) AS score FROM bm")
+def r4(spark, sf_dir):
+    """An index that was written, added to, taken from and added to again, and then holds every document: the query reads its postings alone."""
+    rows = corpus.chunks(spark, sf_dir).select("store_id", "resource_id", "chunk_id", "source_id", "text")
+    some = F.coalesce(F.col("source_id").isin("src0", "src1"), F.lit(False))
+    first, rest = rows.filter(some).drop("source_id"), rows.filter(~some).drop("source_id")
+    index = maintenance.Snapshots(spark, corpus.new_folder(spark, "index"))
+    maintenance.change_index(index, first)
+    maintenance.change_index(index, rest)
+    maintenance.change_index(index, removed=first.select("store_id", "resource_id"))
+    maintenance.change_index(index, first)
+    return _rounded(retrieval.bm25_from_postings(index.read("postings"), index.read("lengths"), "the and the", index.lengths()), "score")
+
+
 @query("R2_bm25_phrase", f"""WITH {RES}, {TOK}, tf AS (SELECT *, len(terms) AS len, len(list_filter(range(1, len(terms)), lambda k: terms[k] = 'of' AND terms[k + 1] = 'the')) AS f FROM tok),
   st AS (SELECT count(*)::DOUBLE AS cnt, avg(len) AS mean, sum((f > 0)::INT) AS n FROM tf)
 SELECT store_id, chunk_id, round(CASE WHEN ln((cnt - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((cnt - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)), 6) AS score FROM tf, st WHERE f > 0""")
