@@ -19,8 +19,8 @@ from loamline.functions import ids, text
 from loamline.operators import embedding, maintenance, reading, registry, retrieval
 from loamline.operators.retrieval import Filters, RetrievalError
 from loamline.session import ship
-from loamline.sources import files, web
-from loamline.streaming import ingest
+from loamline.sources import crawl, feeds, files, web
+from loamline.streaming import feed_entries, ingest
 
 STORES = "store_id string, name string, visibility string, policy_version string, created_at string"
 SOURCES = "source_id string, store_id string, kind string, root string, url string, refresh long, refreshed_at long, created_at string"
@@ -63,7 +63,7 @@ class Engine:
         """The store goes, with its sources, documents, blocks and chunks."""
         store = self.store_id(name_or_id)
         have = self.tables.manifest()["tables"]
-        small = {n: self._table(n, schema).filter(F.col("store_id") != store) for n, schema in (("stores", STORES), ("sources", SOURCES)) if n in have}
+        small = {n: self._table(n, schema).filter(F.col("store_id") != store) for n, schema in (("stores", STORES), ("sources", SOURCES), ("fetches", crawl.FETCHES)) if n in have}
         if self.tables.parted(maintenance.OWNED):
             self.tables.forget(store, small)
             return
@@ -93,40 +93,100 @@ class Engine:
 
     # --- indexing ---
 
-    def index(self, name_or_id: str, spec: dict, prune: bool = False, pages: DataFrame | None = None) -> dict:
+    def index(self, name_or_id: str, spec: dict, prune: bool = False, pages: DataFrame | None = None, fetcher=None) -> dict:
         """Bring the store in step with a source and return the counters of the run.
 
-        Path sources list files below a root. Url sources take fetched pages (url, html and, optionally, status), since
-        fetching belongs to whatever may reach the network. What can't be listed or read deletes nothing; what is gone is deleted only with prune.
+        Path sources list files below a root. Url and feed sources take responses (see sources.crawl) as pages, or a fetcher as
+        sources.fetch.fetch, which is asked with the validators of the last fetch and has to reach every executor. What can't be listed or read deletes nothing; what is gone is deleted only with prune.
         """
         store, parsed = self.store_id(name_or_id), web.parse_spec(spec)
         place = parsed.root or ",".join(parsed.urls)
         known = registry.find_source(self.sources(), store, place).collect()
         source = known[0]["source_id"] if known else registry.ulid()
-        if parsed.kind == "path":
-            found = files.enumerate_files(self.spark, parsed.root, parsed.include, parsed.exclude)
-            listed = found.select("uri", "modified", "content")
-        elif parsed.kind == "url" and pages is not None:
-            status = F.col("status") if "status" in pages.columns else F.lit(200)
-            listed = pages.filter(F.col("url").isin(list(parsed.urls)) & (status < 400)).select(F.col("url").alias("uri"), F.current_timestamp().alias("modified"), F.col("html").cast("binary").alias("content"))
-        else:
-            raise RetrievalError("invalid_request", f"a {parsed.kind} source needs fetched pages")
-        lost = pages.filter(status.isin(404, 410)).select(F.col("url").alias("uri")) if parsed.kind == "url" else None
-
+        if parsed.kind != "path" and pages is None and fetcher is None:
+            raise RetrievalError("invalid_request", f"a {parsed.kind} source needs fetched pages or a fetcher")
         fresh = self.spark.createDataFrame([(source, store, parsed.kind, place if parsed.kind == "path" else None, None if parsed.kind == "path" else place, parsed.refresh, int(time.time()), known[0]["created_at"] if known else _now())], SOURCES)
         since = self.tables.number()
         with self.tables.scratch() as keep:
-            new = ingest.index(listed, store, source, self.policy, keep)
+            more, lost = {"sources": maintenance.upsert(self.sources(), fresh, ["source_id"])}, None
+            if parsed.kind == "path":
+                found = files.enumerate_files(self.spark, parsed.root, parsed.include, parsed.exclude)
+                new = ingest.index(found.select("uri", "modified", "content"), store, source, self.policy, keep)
+                status = new["outcomes"]
+            else:
+                docs, status, lost, state = self._fetched(parsed, store, source, pages, fetcher, keep)
+                new = ingest.index(docs.select("uri", F.current_timestamp().alias("modified")), store, source, self.policy, keep, docs)
+                others = self._table("fetches", crawl.FETCHES).filter((F.col("store_id") != store) | (F.col("source_id") != source))
+                more["fetches"] = others.unionByName(state)
             # Embeddings are made once, too, and all new rows before the pointer moves.
             new["chunks"] = keep(embedding.embed_chunks(new["chunks"].dropDuplicates(["store_id", "chunk_id"]), self.provider))
-            observed = new["outcomes"].join(new["resources"].select("uri", "content_hash"), "uri", "left")
+            observed = status.join(new["resources"].select("uri", "content_hash"), "uri", "left")
             old = self.tables.read("resources", [store]) if "resources" in self.tables.manifest()["tables"] else new["resources"].filter("false")
             own = old.filter((F.col("store_id") == store) & (F.col("source_id") == source)).select("uri", "resource_id", "content_hash", "policy_version")
-            plan = keep(maintenance.plan_changes(own, observed, lost, self.policy, prune=prune, complete=parsed.kind == "path"))
+            plan = keep(maintenance.plan_changes(own, observed, lost, self.policy, prune=prune, complete=parsed.kind == "path", feed=parsed.kind == "feed"))
             counts = maintenance.counters(plan).first().asDict()
-            ingest.apply(self.tables, plan, new, store, {"sources": maintenance.upsert(self.sources(), fresh, ["source_id"])}, since)
+            ingest.apply(self.tables, plan, new, store, more, since)
         return counts
 
+    def _fetched(self, spec: web.SourceSpec, store: str, source: str, pages: DataFrame | None, fetcher, keep) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Parsed documents of a url or feed source, uri and status of what was seen, uris that are confirmed gone, and the source's fetches after the run."""
+        fetches = self._table("fetches", crawl.FETCHES).filter((F.col("store_id") == store) & (F.col("source_id") == source))
+        # A document that has been deleted since is fetched as a new one.
+        held = self.tables.read("resources", [store]) if "resources" in self.tables.manifest()["tables"] else self.spark.createDataFrame([], "store_id string, source_id string, uri string")
+        held = held.filter((F.col("store_id") == store) & (F.col("source_id") == source)).select("uri", F.lit(True).alias("held")).distinct()
+        fetches = keep(fetches.join(held, "uri", "left").withColumn("body_hash", F.when(F.col("held"), F.col("body_hash"))).select(*fetches.columns))
+
+        def get(urls: DataFrame) -> DataFrame:
+            if pages is not None:
+                return keep(crawl.responses(pages).join(urls.select("url").distinct(), "url", "left_semi"))
+            return keep(crawl.responses(crawl.fetch(crawl.requests(urls, fetches), fetcher)))
+
+        first = get(self.spark.createDataFrame([(u,) for u in spec.urls], "url string"))
+        if spec.kind == "url":
+            told, parsed = crawl.outcomes(first, fetches, self.policy, keep)
+            told = keep(told)
+            return parsed, crawl.observed(told), told.filter("outcome = 'Gone'").select("uri"), keep(crawl.after(fetches, told, store, source, self.policy))
+        # The feed itself is never a document: it has no body to vouch for, so it is always asked for whole.
+        entries = keep(feeds.resolved(feeds.entries(first.filter("status BETWEEN 200 AND 299").select("url", F.col("body").cast("string").alias("body")))))
+        entries = keep(feeds.newest(entries, spec.max_entries))
+        none = self.spark.createDataFrame([], "uri string")
+        if spec.mode == "single":
+            docs = keep(feeds.one_document(entries))
+            return docs, docs.select("uri", "status"), none, fetches
+        told, parsed = crawl.outcomes(get(entries.filter("fetchable").select(F.col("uri").alias("url"))), fetches, self.policy, keep)
+        told = keep(told)
+        own = keep(feeds.own_documents(entries, told))
+        docs = parsed.join(own.select("uri"), "uri", "left_anti").unionByName(own)
+        seen = own.select("uri", "status").unionByName(crawl.observed(told).join(own.select("uri"), "uri", "left_anti"))
+        unanswered = entries.select("uri").join(seen.select("uri"), "uri", "left_anti").select("uri", F.lit("error").alias("status"))
+        return docs, keep(seen.unionByName(unanswered)), none, keep(crawl.after(fetches, told, store, source, self.policy))
+
+    def follow_feeds(self, name_or_id: str, responses: DataFrame, checkpoint: str, expiry: int | None = None, trigger: dict | None = None):
+        """Start a streaming query that keeps the newest version of each entry of fetched feeds (url, body) in the table `entries`, and indexes the own content of entries that change.
+
+        Replayed and late feeds change nothing; see streaming.feed_entries.
+        """
+        store = self.store_id(name_or_id)
+        rows = feeds.resolved(feeds.entries(responses))
+
+        def then(changed: DataFrame) -> None:
+            with self.tables.scratch() as keep:
+                docs = keep(feeds.own_documents(changed.withColumn("fetchable", F.lit(False)), self.spark.createDataFrame([], "uri string, outcome string")))
+                since = self.tables.number()
+                new = ingest.index(docs.select("uri", F.current_timestamp().alias("modified")), store, "feeds", self.policy, keep, docs)
+                new["chunks"] = keep(embedding.embed_chunks(new["chunks"].dropDuplicates(["store_id", "chunk_id"]), self.provider))
+                seen = docs.select("uri", "status").join(new["resources"].select("uri", "content_hash"), "uri", "left")
+                old = self.tables.read("resources", [store]) if "resources" in self.tables.manifest()["tables"] else new["resources"].filter("false")
+                own = old.filter((F.col("store_id") == store) & (F.col("source_id") == "feeds")).select("uri", "resource_id", "content_hash", "policy_version")
+                ingest.apply(self.tables, keep(maintenance.plan_changes(own, seen, None, self.policy, complete=False)), new, store, since=since)
+
+        return feed_entries.follow(rows, self.tables, store, checkpoint, expiry, then, trigger)
+
+    def fetch_outcomes(self, name_or_id: str, source_id: str | None = None) -> DataFrame:
+        """uri, outcome, fetched_at of the last fetch of each URL of the store."""
+        rows = self._table("fetches", crawl.FETCHES).filter(F.col("store_id") == self.store_id(name_or_id))
+        return (rows if source_id is None else rows.filter(F.col("source_id") == source_id)).select("source_id", "uri", "outcome", "fetched_at")
+
     def due(self) -> DataFrame:
         return registry.due(self.sources(), int(time.time()))
 

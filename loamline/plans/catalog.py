@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loamline.functions import ids, text, vectors
 from loamline.operators import blocks, chunking, embedding, extract, maintenance, reading, registry, retrieval, vector_index
-from loamline.sources import corpus, feeds, files, web
+from loamline.sources import corpus, crawl, feeds, files, web
+from loamline.streaming import feed_entries
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -183,6 +184,47 @@ def s10(spark, sf_dir):
     return rows.select("feed", "uri", "ordinal", (F.row_number().over(own) - 1).cast("long").alias("position"))
 
 
+@query("S8_fetch_outcomes", """SELECT url || CASE WHEN page_id % 12 = 9 THEN '.docx' ELSE '' END AS uri, CASE page_id % 12 WHEN 0 THEN 'Unchanged' WHEN 1 THEN 'Unchanged' WHEN 2 THEN 'Gone' WHEN 3 THEN 'Gone' WHEN 4 THEN 'Blocked' WHEN 5 THEN 'Blocked' WHEN 6 THEN 'FetchError' WHEN 7 THEN 'FetchError'
+  WHEN 8 THEN 'Unsupported' WHEN 9 THEN 'ParseFailed' WHEN 10 THEN 'Empty' ELSE 'Indexed' END AS outcome, CASE page_id % 12 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 0 THEN 'new' WHEN 1 THEN 'new' WHEN 11 THEN 'new' ELSE 'old' END AS etag, CASE WHEN page_id % 12 NOT IN (2, 3) THEN sha256(html) END AS body_hash FROM pages""")
+def s8_all(spark, sf_dir):
+    """Responses to a second fetch of all pages, a twelfth of each kind, with the state of the first: outcomes and the state after."""
+    k = F.col("page_id") % 12
+    # Parsers go by names: what is called a document and holds none is what fails.
+    pages = corpus.table(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.when(k == 9, ".docx").otherwise("")))
+    text_of = lambda x: F.lit(x).cast("binary")
+    status = F.when(k == 1, 304).when(k == 2, 404).when(k == 3, 410).when(k == 4, 403).when(k == 6, 503).when(k != 7, 200)
+    body = F.when(k == 8, text_of("%PDF-1.7 no reader")).when(k == 9, F.unhex(F.lit("504B0304FFFE00"))).when(k == 10, text_of("<html> </html>")).when(k.isin(0, 11), F.col("html").cast("binary"))
+    got = pages.select("url", status.alias("status"), body.alias("body"), F.lit("new").alias("etag"), F.lit(None).cast("string").alias("last_modified"), (k == 5).alias("blocked"))
+    # Pages of kind 11 were indexed under an earlier policy, so the same body is parsed anew.
+    known = pages.select(
+        F.lit("s").alias("store_id"), F.lit("u").alias("source_id"), F.col("url").alias("uri"), F.lit("Indexed").alias("outcome"), F.lit("old").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.sha2(F.col("html").cast("binary"), 256).alias("body_hash"), F.when(k == 11, "earlier").otherwise("p").alias("policy_version"), F.lit(None).cast("string").alias("fetched_at"),
+    )
+    store = maintenance.Snapshots(spark, corpus.new_folder(spark, "fetches"))
+    with store.scratch() as keep:
+        found, _ = crawl.outcomes(crawl.responses(got), known, "p", keep)
+        store.write({"fetches": crawl.after(known, found, "s", "u", "p")})
+    # A body that was fetched again unchanged comes with new validators.
+    return store.read("fetches").select("uri", "outcome", "etag", "body_hash")
+
+
+@query("S11_entry_stream", """SELECT feed, uri, published, seq FROM (SELECT source AS feed, client_id::VARCHAR AS uri, strftime(valid_at, '%Y-%m-%dT%H:%M:%S') AS published, seq,
+  row_number() OVER (PARTITION BY source, client_id ORDER BY valid_at DESC NULLS LAST, seq DESC) AS r FROM client_changes WHERE source IS NOT NULL AND client_id IS NOT NULL) WHERE r = 1""")
+def s11_stream(spark, sf_dir):
+    """The changes of clients as entries of their sources, read as a stream that sees every file: late and repeated versions leave the newest of each."""
+    rows = corpus.table(spark, sf_dir, "client_changes")
+    # By a pattern, as a stream can't start from a path that is one file.
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/client_change[s].parquet")
+    entries = stream.select(
+        F.col("source").alias("feed"), F.col("client_id").cast("string").alias("uri"), F.date_format("valid_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published"),
+        F.lit(None).cast("string").alias("updated"), (-F.col("seq")).alias("ordinal"), "op", "segment", "city", "balance",
+    )
+    folder = corpus.new_folder(spark, "entries")
+    store = maintenance.Snapshots(spark, f"{folder}/store")
+    feed_entries.follow(entries, store, "clients", f"{folder}/checkpoint").awaitTermination()
+    return store.read("entries").select("feed", "uri", "published", (-F.col("ordinal")).alias("seq"))
+
+
 @query("S11_feed_dedup", f"""WITH {_ENTRIES}, d AS (SELECT *, row_number() OVER (PARTITION BY feed, uri ORDER BY coalesce(published, updated) DESC NULLS LAST, ordinal) AS r FROM e),
   p AS (SELECT feed, uri, ordinal, (row_number() OVER (PARTITION BY feed ORDER BY coalesce(published, updated) DESC NULLS LAST, ordinal) - 1) AS position FROM d WHERE r = 1) SELECT * FROM p WHERE position < 25""")
 def s11(spark, sf_dir):

@@ -149,3 +149,29 @@ def single_document(rows: DataFrame) -> DataFrame:
     parts = rows.groupBy("feed").agg(F.min("feed_title").alias("t"), F.min("feed_description").alias("d"), F.array_sort(F.collect_list(F.struct("position", section.alias("s")))).alias("s"))
     body = F.array_join(F.transform("s", lambda x: x["s"]), "\n\n")
     return parts.select("feed", F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("t", F.col("feed"))), "d", body).alias("markdown"))
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """The entries that entries() gives with uri, names (of authors) and fetchable; rows without an entry are left out."""
+    rows = found.filter("status = 'ok'").withColumn("uri", entry_uri(F.col("feed"), F.col("id"), F.col("links"))).filter("uri IS NOT NULL")
+    return rows.withColumns({"names": inherited_authors(F.col("authors"), F.col("feed_authors")), "fetchable": fetchable(F.col("uri"))})
+
+
+def own_documents(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Parsed documents (as of extract.parse_documents) that entries make of their own content, where their pages lastingly give none or they have none to fetch.
+
+    outcomes (uri, outcome) are those of fetched pages. An entry with nothing of its own is empty.
+    """
+    told = rows.join(outcomes.select("uri", "outcome"), "uri", "left").withColumn("told", F.when(~F.col("fetchable"), "Gone").otherwise(F.col("outcome")))
+    own = fallback_body(F.col("told"), F.lit(None).cast("string"), F.col("content"), F.col("summary"), F.col("title"))
+    lasting = told.filter("told IN ('Gone', 'Unsupported', 'Empty', 'Blocked')").withColumn("markdown", own)
+    meta = F.map_from_entries(F.filter(F.array(F.struct(F.lit("dc.creator").alias("k"), F.nullif(F.array_join("names", "; "), F.lit("")).alias("v")), F.struct(F.lit("dc.source").alias("k"), F.col("feed").alias("v"))), lambda x: x["v"].isNotNull()))
+    return lasting.select("uri", F.when(F.col("markdown").isNull(), "empty").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit("feed").alias("parser"), F.coalesce("markdown", F.lit("")).alias("markdown"), "title", meta.alias("meta"))
+
+
+def one_document(rows: DataFrame) -> DataFrame:
+    """A parsed document for each feed, of all its entries' own content; its uri is the feed's."""
+    body = fallback_body(F.lit("Gone"), F.lit(None).cast("string"), F.col("content"), F.col("summary"), F.lit(None).cast("string"))
+    made = single_document(rows.withColumn("entry_body", body))
+    titles = rows.groupBy("feed").agg(F.min("feed_title").alias("title"))
+    return made.join(titles, "feed").select(F.col("feed").alias("uri"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit("feed").alias("parser"), "markdown", F.coalesce("title", "feed").alias("title"), F.create_map(F.lit("dc.source"), F.col("feed")).alias("meta"))

@@ -18,12 +18,12 @@ from loamline.session import ship
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
-def index(files: DataFrame, store_id: str, source_id: str, policy: str, keep: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> dict[str, DataFrame]:
+def index(files: DataFrame, store_id: str, source_id: str, policy: str, keep: Callable[[DataFrame], DataFrame] = lambda frame: frame, parsed: DataFrame | None = None) -> dict[str, DataFrame]:
     """resources, blocks and chunks of files (uri, modified, content), and outcomes (uri, status: ok, empty, unsupported, error). Files without text give none.
 
-    keep() may write a frame and read it back: files are then parsed once.
+    keep() may write a frame and read it back: files are then parsed once. With parsed (as of parse_documents), files need no content.
     """
-    parsed = keep(parse_documents(files.select("uri", "content")))
+    parsed = keep(parse_documents(files.select("uri", "content"))) if parsed is None else parsed
     outcomes, parsed = parsed.select("uri", "status"), parsed.filter("status = 'ok'")
     blocks = keep(blocks_of(parsed))
     hashes = blocks.groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "page"))).alias("b")).select("uri", ids.content_hash(F.col("b")).alias("content_hash"))
