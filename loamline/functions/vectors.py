@@ -65,12 +65,37 @@ def plan_windows(sizes: list[int], separator: int = 1, budget: int = 4096) -> li
     return out + [(start, len(sizes))] if sizes else out
 
 
+_POWERS = np.cumprod(np.full(4096, 31, np.uint64))
+
+
 def embed(text: str, dim: int = 64) -> list[float]:
-    """A deterministic unit vector of a text: for each dimension a rolling hash over the UTF-8 bytes, seeded with the dimension."""
+    """A deterministic unit vector of a text: for each dimension a rolling hash over the UTF-8 bytes, seeded with the dimension.
+
+    All dimensions share the polynomial of the bytes; a seed counts times the power of their number.
+    """
     lanes = np.arange(dim, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
-    for b in text.encode():
-        lanes = lanes * np.uint64(31) + np.uint64(b)
+    octets = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+    for at in range(0, len(octets), len(_POWERS)):
+        part = octets[at : at + len(_POWERS)]
+        lanes = lanes * _POWERS[len(part) - 1] + (part[:-1] * _POWERS[: len(part) - 1][::-1]).sum(dtype=np.uint64) + part[-1]
     lanes = (lanes ^ (lanes >> np.uint64(31))) * np.uint64(0xD1B54A32D192ED03)
     values = (lanes >> np.uint64(40)).astype(np.float64) / float(1 << 24) - 0.5
     norm = np.linalg.norm(values)
     return (values / norm if norm else values).astype(np.float32).tolist()
+
+
+def token_states(token_ids: list[int], dim: int = 64) -> np.ndarray:
+    """A deterministic stand-in for a contextual model: a row of signs for each token, to which those beside it add a half and the mean of all a quarter."""
+    ids = np.array(token_ids, np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(dim, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    mixed = (ids ^ (ids >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    own = np.where(mixed >> np.uint64(63) > 0, 1.0, -1.0).reshape(len(token_ids), dim)
+    out = own.copy()
+    out[1:] += own[:-1] / 2
+    out[:-1] += own[1:] / 2
+    return out + (own.mean(axis=0) / 4 if len(own) else 0.0)
+
+
+def quantised(rows: np.ndarray) -> np.ndarray:
+    """quantise() for rows of an array."""
+    scaled = np.tanh(rows) * 127
+    return np.clip(np.sign(scaled) * np.floor(np.abs(scaled) + 0.5), -128, 127)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,27 @@ def rolling_hash(dim: int = 64) -> Provider:
     return lambda documents: [[vectors.embed(t, dim) for t in chunks] for chunks in documents]
 
 
+@dataclass(frozen=True)
+class TokenModel:
+    """A contextual model by its parts: ids of a text's tokens, and the states of a sequence of ids. Chunks that share a window are told apart by the separator."""
+
+    tokenize: Callable[[str], list[int]]
+    states: Callable[[list[int]], np.ndarray]
+    separator: int = 0
+    budget: int = 4096
+    int8: bool = True
+
+
+def words_as_tokens(text: str) -> list[int]:
+    """A crc32 for each lower-cased word; a null text has none."""
+    return [zlib.crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())]
+
+
+def hashed_context(dim: int = 64, budget: int = 4096) -> TokenModel:
+    """The offline token model: words as tokens, states by hashing."""
+    return TokenModel(words_as_tokens, lambda token_ids: vectors.token_states(token_ids, dim), budget=budget)
+
+
 def checked(documents: list[list[str]], found: list[list[list[float]]]) -> list[list[list[float]]]:
     """The vectors, if there is a document's list for each document and a vector for each chunk."""
     if len(found) != len(documents) or any(len(a) != len(b) for a, b in zip(documents, found, strict=True)):
@@ -28,9 +53,67 @@ def checked(documents: list[list[str]], found: list[list[list[float]]]) -> list[
     return found
 
 
-def embed_chunks(chunks: DataFrame, provider: Provider | None = None) -> DataFrame:
-    """Chunks with embedding. A document's chunks are embedded together, in order."""
+def window_vectors(texts: list[str], model: TokenModel) -> list[list[float]]:
+    """The vectors of the chunks of one window: token states of all of them joined by separators, then their mean over each chunk's own.
+
+    Tokens beyond the budget are cut off, as a model would; only a chunk that is longer by itself loses any. A chunk without tokens gets zeros.
+    """
+    joined: list[int] = []
+    spans = []
+    for k, found in enumerate(map(model.tokenize, texts)):
+        joined += ([model.separator] if k else []) + list(found)
+        spans.append((len(joined) - len(found), len(joined)))
+    rows = np.asarray(model.states(joined[: model.budget]), dtype=np.float64)
+    if len(rows) != min(len(joined), model.budget):
+        raise ValueError("the model returned as many states as it was given tokens in no window")
+    pooled = vectors.mean_pool(rows, [(a, min(b, len(rows))) for a, b in spans])
+    return (vectors.quantised(pooled) if model.int8 else pooled).astype(np.float32).tolist()
+
+
+def late_windows(chunks: DataFrame, model: TokenModel) -> DataFrame:
+    """resource_id, chunk_id, n_tokens and window (from 0 in each resource) of chunks (resource_id, chunk_id, block_seq, seq_in_block, text).
+
+    Windows are packed greedily in document order; a chunk over the budget stands alone. Texts are tokenized where they lie:
+    one row of a resource gathers ids and counts only. A repeated chunk is one.
+    """
+    tokenize, budget = model.tokenize, model.budget
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="text").assign(n_tokens=[len(tokenize(t)) for t in batch["text"]])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for resource, own in zip(batch["resource_id"], batch["own"], strict=True):
+                for window, (a, b) in enumerate(vectors.plan_windows([c["n_tokens"] for c in own], 1, budget)):
+                    rows += [(resource, own[k]["chunk_id"], own[k]["n_tokens"], window) for k in range(a, b)]
+            yield pd.DataFrame(rows, columns=["resource_id", "chunk_id", "n_tokens", "window"])
+
+    sized = chunks.select("resource_id", "chunk_id", "block_seq", "seq_in_block", "text").mapInPandas(count, "resource_id string, chunk_id string, block_seq int, seq_in_block int, n_tokens int")
+    whole = sized.groupBy("resource_id").agg(F.array_sort(F.collect_set(F.struct("block_seq", "seq_in_block", "chunk_id", "n_tokens"))).alias("own"))
+    return whole.mapInPandas(pack, "resource_id string, chunk_id string, n_tokens int, window int")
+
+
+def embed_late(chunks: DataFrame, model: TokenModel) -> DataFrame:
+    """chunk_id and embedding by late chunking: a task holds one window of a document's chunks at a time, never the document."""
+    planned = late_windows(chunks, model).select("resource_id", "chunk_id", "window")
+    texts = chunks.select("resource_id", "chunk_id", "block_seq", "seq_in_block", "text")
+    whole = texts.join(planned, ["resource_id", "chunk_id"]).groupBy("resource_id", "window").agg(F.array_sort(F.collect_set(F.struct("block_seq", "seq_in_block", "chunk_id", "text"))).alias("own"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(c["chunk_id"], v) for own in batch["own"] for c, v in zip(own, window_vectors([c["text"] for c in own], model), strict=True)]
+            yield pd.DataFrame(rows, columns=["chunk_id", "embedding"])
+
+    return whole.mapInPandas(run, "chunk_id string, embedding array<float>")
+
+
+def embed_chunks(chunks: DataFrame, provider: Provider | TokenModel | None = None) -> DataFrame:
+    """Chunks with embedding. A document's chunks are embedded together, in order; with a TokenModel by late chunking, window by window."""
     model = provider or rolling_hash()
+    if isinstance(model, TokenModel):
+        return chunks.join(embed_late(chunks, model).dropDuplicates(["chunk_id"]), "chunk_id").select(*chunks.columns, "embedding")
     names = chunks.columns
     whole = chunks.groupBy("resource_id").agg(F.array_sort(F.collect_list(F.struct("block_seq", "seq_in_block", "chunk_id", "text"))).alias("own"))
 
@@ -45,8 +128,10 @@ def embed_chunks(chunks: DataFrame, provider: Provider | None = None) -> DataFra
     return chunks.join(embedded, "chunk_id").select(*names, "embedding")
 
 
-def embed_query(text: str, provider: Provider | None = None) -> list[float]:
+def embed_query(text: str, provider: Provider | TokenModel | None = None) -> list[float]:
     """The vector of a query, a document of one chunk."""
+    if isinstance(provider, TokenModel):
+        return window_vectors([text], provider)[0]
     return checked([[text]], (provider or rolling_hash())([[text]]))[0][0]
 
 

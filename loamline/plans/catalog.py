@@ -410,6 +410,22 @@ def e3(spark, sf_dir):
     return embedding.embed_chunks(corpus.chunks(spark, sf_dir).select("resource_id", "chunk_id", "block_seq", "seq_in_block", "text")).select("chunk_id", "embedding")
 
 
+@query("E4_late_windows", r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
+c AS (SELECT doc_id, seq, n, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l) WHERE n > 0),
+w AS (SELECT doc_id, seq, n, k, n AS used, 0 AS own FROM c WHERE k = 1 UNION ALL
+  SELECT c.doc_id, c.seq, c.n, c.k, CASE WHEN used + 1 + c.n > 512 THEN c.n ELSE used + 1 + c.n END, own + (used + 1 + c.n > 512)::INT FROM w JOIN c ON c.doc_id = w.doc_id AND c.k = w.k + 1)
+SELECT doc_id::VARCHAR AS resource_id, seq::INT AS block_seq, n::INT AS n_tokens, own AS "window" FROM w""")
+def e4(spark, sf_dir):
+    rows = corpus.line_chunks(spark, sf_dir)
+    return embedding.late_windows(rows, embedding.hashed_context(budget=512)).join(rows.select("resource_id", "chunk_id", "block_seq"), ["resource_id", "chunk_id"]).select("resource_id", "block_seq", "n_tokens", "window")
+
+
+@query("E5_late_chunks")
+def e5(spark, sf_dir):
+    """Int8 vectors of every line of every document, each in the context of its window."""
+    return embedding.embed_chunks(corpus.line_chunks(spark, sf_dir), embedding.hashed_context(budget=512)).select("resource_id", "block_seq", F.array_join(F.col("embedding").cast("array<int>").cast("array<string>"), ",").alias("q"))
+
+
 @query("E6_quantise", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: greatest(-128, least(127, round(tanh(x::DOUBLE) * 127)::INT))), ',') AS q FROM embeddings")
 def e6(spark, sf_dir):
     return corpus.table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(vectors.quantise(F.col("embedding")).cast("array<string>"), ",").alias("q"))

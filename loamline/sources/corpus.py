@@ -54,6 +54,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("chunk_id", ids.chunk_id(F.col("resource_id"), F.col("block_seq"), F.col("text"), F.col("seq_in_block")))
 
 
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk for each non-blank line of each document, numbered from 0 over all of its lines."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("resource_id"), F.posexplode(F.split("text", "\n", -1)).alias("block_seq", "text"))
+    rows = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("seq_in_block", F.lit(0))
+    return rows.withColumn("chunk_id", ids.chunk_id(F.col("resource_id"), F.col("block_seq"), F.col("text"), F.col("seq_in_block")))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as chunk vectors: the label is the store."""
     rows = table(spark, sf_dir, "embeddings")

@@ -88,6 +88,19 @@ def test_vectors(spark):
     assert abs(sum(x * x for x in vectors.embed("hello")) - 1) < 1e-5 and vectors.embed("a") != vectors.embed("b")
 
 
+def test_embedder_equals_its_byte_by_byte_rule():
+    def plain(text, dim=8):
+        lanes = [(d * 0x9E3779B97F4A7C15 + 1) % 2**64 for d in range(dim)]
+        for b in text.encode():
+            lanes = [(x * 31 + b) % 2**64 for x in lanes]
+        values = [(((x ^ x >> 31) * 0xD1B54A32D192ED03 % 2**64) >> 40) / 2**24 - 0.5 for x in lanes]
+        norm = sum(v * v for v in values) ** 0.5
+        return [v / norm for v in values]
+
+    for text in ("", "a", "h\u00e9llo", "x" * 4095, "y\u00fc" * 2048, "z" * 4097, "ab c" * 5000):
+        assert np.allclose(vectors.embed(text, 8), plain(text), atol=1e-6), len(text)
+
+
 def test_policy_version_ignores_key_order_not_parser_order():
     a = ids.policy_version("x", {"b": 1, "a": 2}, "m", "p", ["html", "md"])
     assert a == ids.policy_version("x", {"a": 2, "b": 1}, "m", "p", ["html", "md"]) and a != ids.policy_version("x", {"a": 2, "b": 1}, "m", "p", ["md", "html"])
