@@ -110,7 +110,7 @@ class Engine:
         with self.tables.scratch() as keep:
             more, lost = {"sources": maintenance.upsert(self.sources(), fresh, ["source_id"])}, None
             if parsed.kind == "path":
-                found = files.enumerate_files(self.spark, parsed.root, parsed.include, parsed.exclude)
+                found = files.enumerate_files(self.spark, parsed.root, parsed.include, parsed.exclude, keep)
                 new = ingest.index(found.select("uri", "modified", "content"), store, source, self.policy, keep)
                 status = new["outcomes"]
             else:
