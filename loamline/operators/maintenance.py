@@ -60,43 +60,88 @@ def counters(plan: DataFrame) -> DataFrame:
 #: Tables whose rows belong to a resource of a store.
 OWNED = ("resources", "blocks", "chunks", "postings", "lengths")
 SALT = 64
+#: Characters of the chunks whose postings one task sorts, resources to take out that are broadcast at a time, and bytes of stored files that one task rewrites: what is sorted then fits a task's memory.
+PIECE, GONE, SPLIT = 4_000_000, 200_000, "8m"
 #: Parts of a store in each of its tables; a change rewrites the parts of its resources only.
 BUCKETS = 16
 
 
-def with_index(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables with the full-text index, postings and lengths, of their chunks."""
-    return {**tables, **dict(zip(("postings", "lengths"), retrieval.build_postings(tables["chunks"], ("resource_id",)), strict=True))}
+def with_index(tables: dict[str, DataFrame], tasks: int | None = None, parts: int = BUCKETS) -> dict[str, DataFrame]:
+    """The tables with the full-text index, postings and lengths, of their chunks. Chunks are dealt by part, over so many tasks (for so many parts) or as Spark sees fit; their postings, which are larger, stay where they are made."""
+    chunks = tables["chunks"]
+    kept = chunks.select("store_id", "resource_id", "chunk_id", "text")
+    keys = (part_key(), F.pmod(F.xxhash64("chunk_id"), F.lit(-(-tasks // parts) if tasks else SALT)))
+    dealt = kept.repartition(tasks, *keys) if tasks else kept.repartition(*keys)
+    postings, _ = retrieval.build_postings(dealt, ("resource_id",))
+    return {**tables, "postings": postings, "lengths": retrieval.build_postings(chunks, ("resource_id",))[1]}
 
 
 def change_index(store: Snapshots, added: DataFrame | None = None, removed: DataFrame | None = None) -> set[str]:
     """Add chunks (store_id, resource_id, chunk_id, text) to a stored full-text index and take resources (store_id, resource_id) out of it, in one manifest; the parts written.
 
     Only parts that hold one of these resources are read and written, no text but that of added chunks is read, and the numbers that BM25 needs of all chunks follow by part.
+    Stored postings are never shuffled: what leaves is broadcast, for GONE resources' parts at a time (a part with more of them alone is joined as Spark sees fit), and added chunks are dealt before their postings are made.
     """
-    since, have, key = store.number(), store.manifest()["tables"], ["store_id", "resource_id"]
-    some = [f.select(*key) for f in (added, removed) if f is not None]
-    # At most BUCKETS keys for each store.
-    touched = {r["part"] for f in some for r in f.select(part_key().alias("part")).distinct().collect()}
-    if not touched:
-        return touched
-    tables = with_index({"chunks": added}) if added is not None else {}
-    for name in ("postings", "lengths"):
-        if name in have:
-            old = store.read(name, parts=touched)
-            if removed is not None:
-                gone = removed.select(*(F.col(c).alias(f"gone_{c}") for c in key)).distinct()
-                old = old.join(gone, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"gone_{c}")) for c in key)), "left_anti")
-            tables[name] = old.unionByName(tables[name]) if name in tables else old
-    store.write({n: tables[n] for n in ("postings", "lengths") if n in tables}, parts=touched, since=since)
+    (number, now), key, names = store._current(), ["store_id", "resource_id"], ("postings", "lengths")
+    entries, touched = {n: now["tables"][n] for n in names if n in now["tables"]}, set()
+    part = part_key().alias("part")
+    with store.scratch() as keep, _small_splits(store.spark):
+        if removed is not None:
+            gone = keep(removed.select(*(F.col(c).alias(f"gone_{c}") for c in key), part).distinct())
+            # At most BUCKETS keys for each store, here and below.
+            counts = sorted((r["part"], r["count"]) for r in gone.groupBy("part").count().collect())
+            touched |= {p for p, _ in counts}
+            for some, n in _groups(counts) if entries else ():
+                own = gone.filter(F.col("part").isin(some)).drop("part")
+                own = F.broadcast(own) if n <= GONE else own
+                for name in names:
+                    old = store.rows_of(entries[name], parts=set(some))
+                    left = old.join(own, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"gone_{c}")) for c in key)), "left_anti")
+                    entries[name] = store.staged(name, left, entries[name], set(some))
+        if added is not None:
+            sizes = added.groupBy(part).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 100).alias("n")).collect()
+            come = {r["part"] for r in sizes}
+            touched |= come
+            if come:
+                new = with_index({"chunks": added}, max(1, -(-sum(r["n"] for r in sizes) // PIECE)), len(come))
+                for name in names:
+                    rows = store.rows_of(entries[name], parts=come).unionByName(new[name]) if name in entries else new[name]
+                    entries[name] = store.staged(name, rows, entries.get(name), come)
+    if touched:
+        store.commit(number, now, entries)
     return touched
 
 
+def _groups(counts: list[tuple[str, int]]) -> Iterator[tuple[list[str], int]]:
+    """Parts with their counts in groups of at most GONE, or of one part."""
+    held, n = [], 0
+    for part, k in counts:
+        if held and n + k > GONE:
+            yield held, n
+            held, n = [], 0
+        held, n = [*held, part], n + k
+    if held:
+        yield held, n
+
+
+@contextmanager
+def _small_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are read in tasks of SPLIT bytes meanwhile."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, SPLIT)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def in_order(name: str, frame: DataFrame) -> DataFrame:
-    """Postings sorted by store and term within files, so that a query reads few row groups; the chunks of one term are dealt over SALT tasks."""
-    if name != "postings":
-        return frame
-    return frame.repartition("store_id", "term", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT))).sortWithinPartitions("store_id", "term", "chunk_id")
+    """The rows with __part, postings sorted by part, store and term within tasks and so within files: a query reads few row groups. Only lengths, a short row for each chunk, are shuffled, so that a part is few files."""
+    frame = frame.withColumn("__part", part_key())
+    if name == "lengths":
+        return frame.hint("rebalance", F.col("__part"))
+    return frame.sortWithinPartitions("__part", "store_id", "term", "chunk_id") if name == "postings" else frame
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -200,7 +245,10 @@ class Snapshots:
 
     def read(self, name: str, stores: list[str] | None = None, parts: set[str] | None = None) -> DataFrame:
         """The table, or only the parts of some stores, or some parts: other folders aren't listed."""
-        entry = self.manifest()["tables"][name]
+        return self.rows_of(self.manifest()["tables"][name], stores, parts)
+
+    def rows_of(self, entry: dict, stores: list[str] | None = None, parts: set[str] | None = None) -> DataFrame:
+        """read() of a manifest's entry."""
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
         if "path" in entry:
             out = self.spark.read.schema(schema).parquet(entry["path"])
@@ -226,9 +274,9 @@ class Snapshots:
         path = f"{self.root}/{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         out = {"schema": frame.schema.json()}
         if not _parted(frame.columns):
-            in_order(name, frame).write.parquet(path)
+            frame.write.parquet(path)
             return out | {"parts": {"": path}}
-        in_order(name, frame).withColumn("__part", part_key()).write.partitionBy("__part").parquet(path)
+        in_order(name, frame).write.partitionBy("__part").parquet(path)
         found = {d.removeprefix("__part="): f"{path}/{d}" for d in (x.getPath().getName() for x in self._fs.listStatus(self._path(path))) if d.startswith("__part=")}
         # A hidden store name may hold characters that a folder's name can't.
         found = {_unescaped(k): d for k, d in found.items()}
