@@ -3,10 +3,10 @@
 Versions of an entry are ranked totally: by published, else updated time, those without either last, then by ordinal, then by
 a digest of the whole row. The newest of any set of versions is a maximum, so replays, late rows and retried batches change nothing.
 
-State remembers the best version seen of each entry and lets only better ones through; in a query that keeps running it forgets
-after `expiry` seconds without a better one. The table decides again when it is merged, so what is forgotten costs a rewrite, never a
-wrong version. Entries are dealt by a salt of the version's digest too: an entry with very many versions is many keys, and a replayed
-version always meets its own.
+State remembers the best version seen of each entry: a streaming aggregation that combines versions before they are shuffled. With `expiry`,
+in a query that keeps running, a stateful processor lets only better versions through and forgets an entry after so many seconds without one.
+The table decides again when it is merged, so what is forgotten costs a rewrite, never a wrong version. For the processor entries are dealt by a
+salt of the version's digest too: an entry with very many versions is many keys, and a replayed version always meets its own.
 
 Defined results: rows without feed or uri are dropped (they name no entry); null times and ordinals rank last; equal rows are one.
 """
@@ -51,7 +51,7 @@ def newest(rows: DataFrame) -> DataFrame:
 class _Best(StatefulProcessor):
     """Lets a version through if it beats all that its key has seen."""
 
-    def __init__(self, expiry_ms: int | None):
+    def __init__(self, expiry_ms: int):
         self.expiry_ms = expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -74,10 +74,15 @@ class _Best(StatefulProcessor):
 
 
 def better(entries: DataFrame, expiry: int | None = None) -> DataFrame:
-    """A stream of ranked entries without the versions that can't be the newest, as far as state remembers: for ever, or for expiry seconds. Needs the RocksDB state store."""
+    """A stream of ranked entries without the versions that can't be the newest, as far as state remembers: for ever, or for expiry seconds. Needs the RocksDB state store.
+
+    What is kept for ever is an aggregation: versions combine before they are shuffled, and an entry that a batch touches comes with its best version so far, which may be one that came before.
+    """
+    if not expiry:
+        return newest(entries)
     dealt = entries.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in dealt.schema])
-    return dealt.groupBy(*ENTRY_KEY, "salt").transformWithStateInPandas(statefulProcessor=_Best(expiry and expiry * 1000), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if expiry else "None").drop("salt")
+    return dealt.groupBy(*ENTRY_KEY, "salt").transformWithStateInPandas(statefulProcessor=_Best(expiry * 1000), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime").drop("salt")
 
 
 def merge_entries(store: maintenance.Snapshots, changed: DataFrame, keep: Callable[[DataFrame], DataFrame], since: int | None = None) -> tuple[dict[str, DataFrame], set[str]]:
