@@ -24,6 +24,8 @@ from loamline.session import ship
 #: Vectors that centres are fit on, most cells, rounds of fitting, and rows that one file of a cell should hold.
 SAMPLE, CELLS, FITS, FILE_ROWS = 20_000, 4096, 8, 1 << 18
 PROBES = 8
+#: Decimals to which centres are equally near: products that differ by rounding alone are ties, and go by cell.
+NEAR = 9
 REST = -1
 
 
@@ -78,7 +80,7 @@ class VectorIndex:
                 values = batch.column(at).to_pylist()
                 fits = [k for k, x in enumerate(values) if x and len(x) == shared.value.shape[1] and None not in x and any(x)]
                 if fits and len(shared.value):
-                    cells[fits] = (np.array([values[k] for k in fits], float) @ shared.value.T).argmax(axis=1)
+                    cells[fits] = np.round(_unit(np.array([values[k] for k in fits], float)) @ shared.value.T, NEAR).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], [*columns, "cell"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
@@ -96,7 +98,7 @@ class VectorIndex:
         """All cells, nearest first; REST is part of each search."""
         if not len(self.centres) or len(query) != self.centres.shape[1]:
             return list(range(len(self.centres)))
-        return np.argsort(-(self.centres @ np.asarray(query, float)), kind="stable").tolist()
+        return np.argsort(-np.round(self.centres @ np.asarray(query, float), NEAR), kind="stable").tolist()
 
     def cells(self, query: list[float], k: int, filters: retrieval.Filters | None = None, probes: int = PROBES) -> list[int]:
         """The cells that a search reads."""
@@ -124,7 +126,7 @@ class VectorIndex:
     def search_many(self, queries: DataFrame, k: int = retrieval.LEG_K, probes: int = PROBES) -> DataFrame:
         """query_id, store_id, chunk_id, score, rank (from 0) of the k best rows for each of queries (query_id, vector), by the probes nearest cells; queries meet cells, never all rows."""
         # At most CELLS centres meet each query.
-        near = queries.join(F.broadcast(self._centres)).withColumn("close", vec.dot(F.col("vector"), F.col("centre")))
+        near = queries.join(F.broadcast(self._centres)).withColumn("close", F.round(vec.dot(F.col("vector"), F.col("centre")), NEAR))
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("close"), "cell"))).filter(F.col("r") <= probes).select("query_id", "vector", "cell")
         near = near.unionByName(queries.select("query_id", "vector", F.lit(REST).alias("cell")))
         return _best(self.rows.select("store_id", "chunk_id", "embedding", "cell").join(near, "cell"), k)

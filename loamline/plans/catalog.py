@@ -488,10 +488,10 @@ def r5(spark, sf_dir):
     return _rounded(retrieval.leg(scored), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-#: Vectors with ids divisible by 29 are centres; the nearest ones are probed, two and then twice as many, until each store has its ten.
-_CELLS = f"""{VEC}, unit AS (SELECT store_id, chunk_id, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec), centre AS (SELECT chunk_id AS c, u AS cu FROM unit WHERE chunk_id::BIGINT % 29 = 0),
-  near AS (SELECT c, row_number() OVER (ORDER BY list_dot_product(cu, w) DESC, c) AS r FROM centre, q), total AS (SELECT count(*) AS cells FROM centre),
-  placed AS (SELECT store_id, chunk_id, v, arg_max(c, list_dot_product(u, cu)) AS c FROM unit, centre GROUP BY ALL),
+#: Vectors with ids divisible by 29 are centres, the first 4,096 of them; centres that are equally near to nine decimals go by id; the nearest ones are probed, two and then twice as many, until each store has its ten.
+_CELLS = f"""{VEC}, unit AS (SELECT store_id, chunk_id, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec), centre AS (SELECT chunk_id AS c, u AS cu FROM unit WHERE chunk_id::BIGINT % 29 = 0 ORDER BY chunk_id LIMIT {vector_index.CELLS}),
+  near AS (SELECT c, row_number() OVER (ORDER BY round(list_dot_product(cu, w), 9) DESC, c) AS r FROM centre, q), total AS (SELECT count(*) AS cells FROM centre),
+  placed AS (SELECT store_id, chunk_id, v, arg_max(c, struct_pack(d := round(list_dot_product(u, cu), 9), k := -(c::BIGINT))) AS c FROM unit, centre GROUP BY ALL),
   reach AS (SELECT store_id, r, row_number() OVER (PARTITION BY store_id ORDER BY r) AS have, count(*) OVER (PARTITION BY store_id) AS n FROM placed JOIN near USING (c)),
   far AS (SELECT max(r) AS r FROM (SELECT store_id, min(r) AS r FROM reach WHERE have >= least(10, n) GROUP BY store_id)),
   probed AS (SELECT CASE WHEN p >= cells THEN cells ELSE p END AS probes FROM (SELECT 2 * (2 ** greatest(0, ceil(log2(r / 2.0))))::BIGINT AS p FROM far), total),
