@@ -118,10 +118,14 @@ _MAIN = "coalesce(nullif(regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>(.*)</
 _BODY = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MAIN}, '(?is)<script(?:\\s[^>]*)?>.*?</script\\s*>', ' ', 'g'), '(?is)<style(?:\\s[^>]*)?>.*?</style\\s*>', ' ', 'g'), '(?is)<nav(?:\\s[^>]*)?>.*?</nav\\s*>', ' ', 'g'), '(?is)<footer(?:\\s[^>]*)?>.*?</footer\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("S8_url_outcomes", f"SELECT url AS uri, CASE WHEN {_BODY} = '' THEN 'Empty' WHEN page_id % 5 = 0 THEN 'Unchanged' ELSE 'Indexed' END AS outcome, sha256('text:' || {_BODY}) AS content_hash FROM pages")
+#: A page's URL may recur: what is known of a URL is its known page of the least page_id, and each page is judged against that.
+@query("S8_url_outcomes", rf"""WITH b AS (SELECT page_id, url, html, {_BODY} AS body FROM pages), k AS (SELECT url, hash FROM (SELECT url, sha256('text:' || body) AS hash, row_number() OVER (PARTITION BY url ORDER BY page_id, html) AS r FROM b WHERE page_id % 5 = 0) WHERE r = 1),
+  o AS (SELECT url, html, coalesce(body, '') AS body, sha256('text:' || coalesce(body, '')) AS content_hash FROM b)
+SELECT url AS uri, CASE WHEN html IS NULL THEN 'FetchError' WHEN NOT regexp_matches(html, '^\s*<') THEN 'Unsupported' WHEN body = '' THEN 'Empty' WHEN content_hash = hash THEN 'Unchanged' ELSE 'Indexed' END AS outcome, content_hash FROM o LEFT JOIN k USING (url)""")
 def s8(spark, sf_dir):
     pages = corpus.table(spark, sf_dir, "pages")
-    known = pages.filter("page_id % 5 = 0").select(F.col("url").alias("uri"), F.sha2(F.concat(F.lit("text:"), extract.html_text(F.col("html"))), 256).alias("content_hash")).dropDuplicates(["uri"])
+    first = pages.filter("page_id % 5 = 0").groupBy(F.col("url").alias("uri")).agg(F.min_by("html", F.struct("page_id", "html")).alias("html"))
+    known = first.select("uri", F.sha2(F.concat(F.lit("text:"), extract.html_text(F.col("html"))), 256).alias("content_hash"))
     return web.url_outcomes(pages, known).select("uri", "outcome", "content_hash")
 
 
