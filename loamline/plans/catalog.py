@@ -188,10 +188,16 @@ def s10(spark, sf_dir):
     return rows.select("feed", "uri", "ordinal", (F.row_number().over(own) - 1).cast("long").alias("position"))
 
 
-@query("S8_fetch_outcomes", """SELECT url || CASE WHEN page_id % 12 = 9 THEN '.docx' ELSE '' END AS uri, CASE page_id % 12 WHEN 0 THEN 'Unchanged' WHEN 1 THEN 'Unchanged' WHEN 2 THEN 'Gone' WHEN 3 THEN 'Gone' WHEN 4 THEN 'Blocked' WHEN 5 THEN 'Blocked' WHEN 6 THEN 'FetchError' WHEN 7 THEN 'FetchError'
-  WHEN 8 THEN 'Unsupported' WHEN 9 THEN 'ParseFailed' WHEN 10 THEN 'Empty' ELSE 'Indexed' END AS outcome, CASE page_id % 12 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 0 THEN 'new' WHEN 1 THEN 'new' WHEN 11 THEN 'new' ELSE 'old' END AS etag, CASE WHEN page_id % 12 NOT IN (2, 3) THEN sha256(html) END AS body_hash FROM pages""")
+#: One row for each URL: the state of its first page, and the response that responses() takes, by status and digest of the body. A name that is nothing but .docx has no extension, so no parser takes it.
+@query("S8_fetch_outcomes", """WITH p AS (SELECT url || CASE WHEN page_id % 12 = 9 THEN '.docx' ELSE '' END AS uri, page_id, page_id % 12 AS k, sha256(html) AS hash, CASE page_id % 12 WHEN 1 THEN 304 WHEN 2 THEN 404 WHEN 3 THEN 410 WHEN 4 THEN 403 WHEN 6 THEN 503 WHEN 7 THEN NULL ELSE 200 END AS status,
+    CASE page_id % 12 WHEN 8 THEN sha256('%PDF-1.7 no reader') WHEN 9 THEN sha256(unhex('504B0304FFFE00')) WHEN 10 THEN sha256('<html> </html>') WHEN 0 THEN sha256(html) WHEN 11 THEN sha256(html) END AS body FROM pages WHERE url IS NOT NULL),
+  old AS (SELECT uri, k, hash FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY page_id, hash) AS r FROM p) WHERE r = 1),
+  new AS (SELECT uri, k, status, body FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY status DESC NULLS LAST, coalesce(body, sha256('')) DESC) AS r FROM p) WHERE r = 1),
+  told AS (SELECT uri, hash, body, CASE WHEN new.k IN (4, 5) THEN 'Blocked' WHEN new.k = 1 THEN 'Unchanged' WHEN new.k IN (2, 3) THEN 'Gone' WHEN body IS NULL THEN 'FetchError' WHEN body = hash AND old.k <> 11 THEN 'Unchanged'
+    WHEN new.k = 8 THEN 'Unsupported' WHEN new.k = 9 THEN CASE WHEN uri LIKE '%/.docx' THEN 'Unsupported' ELSE 'ParseFailed' END WHEN new.k = 10 THEN 'Empty' ELSE 'Indexed' END AS outcome FROM new JOIN old USING (uri))
+SELECT uri, outcome, CASE WHEN outcome = 'Gone' THEN NULL WHEN outcome IN ('Unchanged', 'Indexed') THEN 'new' ELSE 'old' END AS etag, CASE outcome WHEN 'Gone' THEN NULL WHEN 'Indexed' THEN body ELSE hash END AS body_hash FROM told""")
 def s8_all(spark, sf_dir):
-    """Responses to a second fetch of all pages, a twelfth of each kind, with the state of the first: outcomes and the state after."""
+    """Responses to a second fetch of all pages, a twelfth of each kind, with the state of the first: outcomes and the state after, by URL. Of pages with one URL the one of the least page_id was fetched first."""
     k = F.col("page_id") % 12
     # Parsers go by names: what is called a document and holds none is what fails.
     pages = corpus.table(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.when(k == 9, ".docx").otherwise("")))
@@ -200,9 +206,11 @@ def s8_all(spark, sf_dir):
     body = F.when(k == 8, text_of("%PDF-1.7 no reader")).when(k == 9, F.unhex(F.lit("504B0304FFFE00"))).when(k == 10, text_of("<html> </html>")).when(k.isin(0, 11), F.col("html").cast("binary"))
     got = pages.select("url", status.alias("status"), body.alias("body"), F.lit("new").alias("etag"), F.lit(None).cast("string").alias("last_modified"), (k == 5).alias("blocked"))
     # Pages of kind 11 were indexed under an earlier policy, so the same body is parsed anew.
-    known = pages.select(
+    digest = F.sha2(F.col("html").cast("binary"), 256)
+    first = pages.filter("url IS NOT NULL").select("url", F.struct("page_id", digest.alias("hash")).alias("p")).groupBy("url").agg(F.min("p").alias("p")).withColumn("k", F.col("p.page_id") % 12)
+    known = first.select(
         F.lit("s").alias("store_id"), F.lit("u").alias("source_id"), F.col("url").alias("uri"), F.lit("Indexed").alias("outcome"), F.lit("old").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.sha2(F.col("html").cast("binary"), 256).alias("body_hash"), F.when(k == 11, "earlier").otherwise("p").alias("policy_version"), F.lit(None).cast("string").alias("fetched_at"),
+        F.col("p.hash").alias("body_hash"), F.when(F.col("k") == 11, "earlier").otherwise("p").alias("policy_version"), F.lit(None).cast("string").alias("fetched_at"),
     )
     store = maintenance.Snapshots(spark, corpus.new_folder(spark, "fetches"))
     with store.scratch() as keep:
