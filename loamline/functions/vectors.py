@@ -50,19 +50,25 @@ def quantise(vector: Column) -> Column:
 
 def mean_pool(rows: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """The mean of each span of token rows; zeros for an empty span."""
-    return np.stack([rows[a:b].mean(axis=0) if b > a else np.zeros(rows.shape[1]) for a, b in spans]) if spans else np.zeros((0, rows.shape[1]))
+    out = np.zeros((len(spans), rows.shape[1]))
+    for k, (a, b) in enumerate(spans):
+        if b > a:
+            np.divide(np.add.reduce(rows[a:b], axis=0), b - a, out=out[k])
+    return out
+
+
+def next_window(used: int, size: int, separator: int = 1, budget: int = 4096) -> tuple[bool, int]:
+    """Whether a chunk of so many tokens begins another window after one with used tokens, and the tokens of the window that it is in."""
+    return (True, size) if used + separator + size > budget else (False, used + separator + size)
 
 
 def plan_windows(sizes: list[int], separator: int = 1, budget: int = 4096) -> list[tuple[int, int]]:
     """Greedy ranges of chunks whose tokens, with a separator between chunks, fit the budget; an oversized chunk stands alone."""
-    out, start, used = [], 0, 0
-    for k, size in enumerate(sizes):
-        extra = size + (separator if k > start else 0)
-        if k > start and used + extra > budget:
-            out.append((start, k))
-            start, used, extra = k, 0, size
-        used += extra
-    return out + [(start, len(sizes))] if sizes else out
+    starts, used = [0], sizes[0] if sizes else 0
+    for k in range(1, len(sizes)):
+        new, used = next_window(used, sizes[k], separator, budget)
+        starts += [k] if new else []
+    return list(zip(starts, [*starts[1:], len(sizes)], strict=True)) if sizes else []
 
 
 _POWERS = np.cumprod(np.full(4096, 31, np.uint64))
@@ -84,18 +90,38 @@ def embed(text: str, dim: int = 64) -> list[float]:
     return (values / norm if norm else values).astype(np.float32).tolist()
 
 
+class TokenStates:
+    """token_states() in memory that is used again: what a call returns holds until the next call."""
+
+    def __init__(self, dim: int = 64):
+        self.lanes = np.arange(dim, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        self.wide, self.narrow = np.empty((2, 0, dim), np.uint64), np.empty((2, 0, dim), np.int8)
+
+    def __call__(self, token_ids: list[int]) -> np.ndarray:
+        n = len(token_ids)
+        if self.wide.shape[1] < n:
+            self.wide, self.narrow = np.empty((2, n, len(self.lanes)), np.uint64), np.empty((2, n, len(self.lanes)), np.int8)
+        (mixed, other), (own, twice) = self.wide[:, :n], self.narrow[:, :n]
+        np.add(np.array(token_ids, np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15), self.lanes, out=mixed)
+        np.right_shift(mixed, np.uint64(29), out=other)
+        np.bitwise_xor(mixed, other, out=mixed)
+        np.multiply(mixed, np.uint64(0xBF58476D1CE4E5B9), out=mixed)
+        np.less(mixed.view(np.int64), 0, out=own.view(np.bool_))
+        np.add(own, own, out=own)
+        np.subtract(own, np.int8(1), out=own)
+        np.add(own, own, out=twice)
+        twice[1:] += own[:-1]
+        twice[:-1] += own[1:]
+        out = np.multiply(twice, 0.5, out=other.view(np.float64))
+        return np.add(out, own.sum(axis=0, dtype=np.int32) / n / 4 if n else 0.0, out=out)
+
+
 def token_states(token_ids: list[int], dim: int = 64) -> np.ndarray:
     """A deterministic stand-in for a contextual model: a row of signs for each token, to which those beside it add a half and the mean of all a quarter."""
-    ids = np.array(token_ids, np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(dim, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    mixed = (ids ^ (ids >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    own = np.where(mixed >> np.uint64(63) > 0, 1.0, -1.0).reshape(len(token_ids), dim)
-    out = own.copy()
-    out[1:] += own[:-1] / 2
-    out[:-1] += own[1:] / 2
-    return out + (own.mean(axis=0) / 4 if len(own) else 0.0)
+    return TokenStates(dim)(token_ids)
 
 
 def quantised(rows: np.ndarray) -> np.ndarray:
     """quantise() for rows of an array."""
     scaled = np.tanh(rows) * 127
-    return np.clip(np.sign(scaled) * np.floor(np.abs(scaled) + 0.5), -128, 127)
+    return np.clip(np.copysign(np.floor(np.abs(scaled) + 0.5), scaled) + 0.0, -128, 127)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, FloatType, IntegerType, StructField, StructType
 
 from loamline.functions import vectors
 
@@ -38,12 +40,13 @@ class TokenModel:
 
 def words_as_tokens(text: str) -> list[int]:
     """A crc32 for each lower-cased word; a null text has none."""
-    return [zlib.crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())]
+    # Bytes are split at 0x20 and 0x09 to 0x0D, which no other character's UTF-8 holds.
+    return list(map(zlib.crc32, (text or "").lower().encode().split()))
 
 
 def hashed_context(dim: int = 64, budget: int = 4096) -> TokenModel:
     """The offline token model: words as tokens, states by hashing."""
-    return TokenModel(words_as_tokens, lambda token_ids: vectors.token_states(token_ids, dim), budget=budget)
+    return TokenModel(words_as_tokens, vectors.TokenStates(dim), budget=budget)
 
 
 def checked(documents: list[list[str]], found: list[list[list[float]]]) -> list[list[list[float]]]:
@@ -53,67 +56,156 @@ def checked(documents: list[list[str]], found: list[list[list[float]]]) -> list[
     return found
 
 
-def window_vectors(texts: list[str], model: TokenModel) -> list[list[float]]:
-    """The vectors of the chunks of one window: token states of all of them joined by separators, then their mean over each chunk's own.
+def pooled(tokens: list[list[int]], model: TokenModel) -> np.ndarray:
+    """For each chunk of one window, given by its tokens: states of all of them joined by separators, then their mean over the chunk's own.
 
     Tokens beyond the budget are cut off, as a model would; only a chunk that is longer by itself loses any. A chunk without tokens gets zeros.
     """
     joined: list[int] = []
     spans = []
-    for k, found in enumerate(map(model.tokenize, texts)):
-        joined += ([model.separator] if k else []) + list(found)
+    for k, found in enumerate(tokens):
+        if k:
+            joined.append(model.separator)
+        joined.extend(found)
         spans.append((len(joined) - len(found), len(joined)))
     rows = np.asarray(model.states(joined[: model.budget]), dtype=np.float64)
     if len(rows) != min(len(joined), model.budget):
         raise ValueError("the model returned as many states as it was given tokens in no window")
-    pooled = vectors.mean_pool(rows, [(a, min(b, len(rows))) for a, b in spans])
-    return (vectors.quantised(pooled) if model.int8 else pooled).astype(np.float32).tolist()
+    return vectors.mean_pool(rows, [(a, min(b, len(rows))) for a, b in spans])
+
+
+def finished(means: np.ndarray, model: TokenModel) -> np.ndarray:
+    return (vectors.quantised(means) if model.int8 else means).astype(np.float32)
+
+
+def window_vectors(texts: list[str], model: TokenModel) -> list[list[float]]:
+    """The vectors of the chunks of one window."""
+    return finished(pooled([model.tokenize(t) for t in texts], model), model).tolist()
+
+
+class Windows:
+    """Greedy windows of chunks that come resource by resource, in order. A repeated chunk, which has the same place and id, counts once."""
+
+    def __init__(self, budget: int):
+        self.budget, self.last, self.used, self.window = budget, None, 0, 0
+
+    def repeats(self, resource: str | None, place: tuple) -> bool:
+        return self.last == (resource, place)
+
+    def add(self, resource: str | None, place: tuple, size: int) -> bool:
+        """Whether another chunk, of so many tokens, begins a window."""
+        if self.last is None or self.last[0] != resource:
+            new, self.used, self.window = True, size, 0
+        else:
+            new, self.used = vectors.next_window(self.used, size, 1, self.budget)
+            self.window += new
+        self.last = (resource, place)
+        return new
+
+
+_PLACE = ("block_seq", "seq_in_block", "chunk_id")
+
+
+def _places(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """resource_id and place of each row."""
+    return zip(batch.column("resource_id").to_pylist(), zip(*(batch.column(c).to_pylist() for c in _PLACE), strict=True), strict=True)
+
+
+def _in_order(chunks: DataFrame) -> DataFrame:
+    """Each resource's chunks in one task, in document order."""
+    return chunks.repartition("resource_id").sortWithinPartitions("resource_id", *_PLACE)
+
+
+def _and(chunks: DataFrame, name: str, kind: DataType) -> StructType:
+    return StructType([*(StructField(f.name, f.dataType) for f in chunks.schema.fields), StructField(name, kind)])
+
+
+def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
 
 def late_windows(chunks: DataFrame, model: TokenModel) -> DataFrame:
-    """resource_id, chunk_id, n_tokens and window (from 0 in each resource) of chunks (resource_id, chunk_id, block_seq, seq_in_block, text).
+    """resource_id, block_seq, seq_in_block, chunk_id, n_tokens and window (from 0 in each resource) of each row of chunks (these four, text).
 
     Windows are packed greedily in document order; a chunk over the budget stands alone. Texts are tokenized where they lie:
-    one row of a resource gathers ids and counts only. A repeated chunk is one.
+    ids and counts alone are shuffled, once. Rows of a repeated chunk share its window and count once; rows without a resource count as one resource.
     """
     tokenize, budget = model.tokenize, model.budget
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(n_tokens=[len(tokenize(t)) for t in batch["text"]])
+            sizes = pa.array([len(tokenize(t)) for t in batch.column("text").to_pylist()], pa.int32())
+            yield _with(batch.select(["resource_id", *_PLACE]), "n_tokens", sizes)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(budget)
         for batch in batches:
-            rows = []
-            for resource, own in zip(batch["resource_id"], batch["own"], strict=True):
-                for window, (a, b) in enumerate(vectors.plan_windows([c["n_tokens"] for c in own], 1, budget)):
-                    rows += [(resource, own[k]["chunk_id"], own[k]["n_tokens"], window) for k in range(a, b)]
-            yield pd.DataFrame(rows, columns=["resource_id", "chunk_id", "n_tokens", "window"])
+            found = []
+            for (resource, place), size in zip(_places(batch), batch.column("n_tokens").to_pylist(), strict=True):
+                if not windows.repeats(resource, place):
+                    windows.add(resource, place, size)
+                found.append(windows.window)
+            yield _with(batch, "window", pa.array(found, pa.int32()))
 
-    sized = chunks.select("resource_id", "chunk_id", "block_seq", "seq_in_block", "text").mapInPandas(count, "resource_id string, chunk_id string, block_seq int, seq_in_block int, n_tokens int")
-    whole = sized.groupBy("resource_id").agg(F.array_sort(F.collect_set(F.struct("block_seq", "seq_in_block", "chunk_id", "n_tokens"))).alias("own"))
-    return whole.mapInPandas(pack, "resource_id string, chunk_id string, n_tokens int, window int")
+    keys = chunks.select("resource_id", *_PLACE)
+    sized = chunks.select(*keys.columns, "text").mapInArrow(count, _and(keys, "n_tokens", IntegerType()))
+    return _in_order(sized).mapInArrow(pack, _and(sized, "window", IntegerType()))
 
 
 def embed_late(chunks: DataFrame, model: TokenModel) -> DataFrame:
-    """chunk_id and embedding by late chunking: a task holds one window of a document's chunks at a time, never the document."""
-    planned = late_windows(chunks, model).select("resource_id", "chunk_id", "window")
-    texts = chunks.select("resource_id", "chunk_id", "block_seq", "seq_in_block", "text")
-    whole = texts.join(planned, ["resource_id", "chunk_id"]).groupBy("resource_id", "window").agg(F.array_sort(F.collect_set(F.struct("block_seq", "seq_in_block", "chunk_id", "text"))).alias("own"))
+    """chunks with embedding by late chunking: texts are shuffled once, by resource, and tokenized once.
+
+    A task goes through its resources in order and holds one window at a time, never the document; a window's rows, repeated ones too, wait for its end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(model.budget)
+        waiting: deque[pa.RecordBatch] = deque()
+        own: list[list[int]] = []  # tokens of the open window's chunks
+        rows: list[int] = []  # for each of its rows, which of them it holds
+        found: list[np.ndarray] = []  # means of the waiting rows whose windows have ended
+
+        def close() -> None:
+            if rows:
+                means = pooled(own, model)
+                found.append(means if len(rows) == len(own) else means[rows])
+            own.clear()
+            rows.clear()
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            values = finished(np.concatenate(found), model) if found else []
+            found.clear()
+            at = 0
+            while at < len(values):
+                batch = waiting.popleft()
+                part = batch.slice(0, len(values) - at)
+                if len(part) < len(batch):
+                    waiting.appendleft(batch.slice(len(part)))
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * values.shape[1], pa.int32())
+                yield _with(part, "embedding", pa.ListArray.from_arrays(ends, pa.array(values[at : at + len(part)].ravel())))
+                at += len(part)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(c["chunk_id"], v) for own in batch["own"] for c, v in zip(own, window_vectors([c["text"] for c in own], model), strict=True)]
-            yield pd.DataFrame(rows, columns=["chunk_id", "embedding"])
+            waiting += [batch] if len(batch) else []
+            for (resource, place), text in zip(_places(batch), batch.column("text").to_pylist(), strict=True):
+                if not windows.repeats(resource, place):
+                    tokens = model.tokenize(text)
+                    if windows.add(resource, place, len(tokens)):
+                        close()
+                    own.append(tokens)
+                rows.append(len(own) - 1)
+            yield from ended()
+        close()
+        yield from ended()
 
-    return whole.mapInPandas(run, "chunk_id string, embedding array<float>")
+    return _in_order(chunks).mapInArrow(run, _and(chunks, "embedding", ArrayType(FloatType())))
 
 
 def embed_chunks(chunks: DataFrame, provider: Provider | TokenModel | None = None) -> DataFrame:
     """Chunks with embedding. A document's chunks are embedded together, in order; with a TokenModel by late chunking, window by window."""
     model = provider or rolling_hash()
     if isinstance(model, TokenModel):
-        return chunks.join(embed_late(chunks, model).dropDuplicates(["chunk_id"]), "chunk_id").select(*chunks.columns, "embedding")
+        return embed_late(chunks, model)
     names = chunks.columns
     whole = chunks.groupBy("resource_id").agg(F.array_sort(F.collect_list(F.struct("block_seq", "seq_in_block", "chunk_id", "text"))).alias("own"))
 

@@ -428,8 +428,7 @@ w AS (SELECT doc_id, seq, n, k, n AS used, 0 AS own FROM c WHERE k = 1 UNION ALL
   SELECT c.doc_id, c.seq, c.n, c.k, CASE WHEN used + 1 + c.n > 512 THEN c.n ELSE used + 1 + c.n END, own + (used + 1 + c.n > 512)::INT FROM w JOIN c ON c.doc_id = w.doc_id AND c.k = w.k + 1)
 SELECT doc_id::VARCHAR AS resource_id, seq::INT AS block_seq, n::INT AS n_tokens, own AS "window" FROM w""")
 def e4(spark, sf_dir):
-    rows = corpus.line_chunks(spark, sf_dir)
-    return embedding.late_windows(rows, embedding.hashed_context(budget=512)).join(rows.select("resource_id", "chunk_id", "block_seq"), ["resource_id", "chunk_id"]).select("resource_id", "block_seq", "n_tokens", "window")
+    return embedding.late_windows(corpus.line_chunks(spark, sf_dir), embedding.hashed_context(budget=512)).select("resource_id", "block_seq", "n_tokens", "window")
 
 
 @query("E5_late_chunks")
